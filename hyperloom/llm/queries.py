@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, mixing
+from hyperloom.llm import bpe, mixing, quality, simhash
 from hyperloom.llm.common import table
 
 
@@ -18,6 +18,15 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", *quality.ADDED)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
@@ -27,5 +36,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+w AS (SELECT doc_id, t, source, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words FROM d),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, source, t, line, trim(lower(regexp_replace(line, '[^\p{L}]+', ' ', 'g'))) AS norm,
+             len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> '')) AS words FROM l),
+texts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+f AS (SELECT n.source, norm, min(doc_id) AS first FROM n JOIN texts ON n.source IS NOT DISTINCT FROM texts.source WHERE norm <> ''
+      GROUP BY n.source, norm, texts HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.005 * texts),
+gone AS (SELECT n.doc_id, sum(n.words) AS gone FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.norm = f.norm AND n.doc_id <> f.first GROUP BY n.doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n WHERE words > 0 GROUP BY doc_id),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM w, unnest(range(1, len(words) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, unnest([0, 1, 2]) AS u(k) GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_removed_words
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+       AND (n_removed_words = 0 OR (n_words - n_removed_words >= 0.4 * n_words AND n_words - n_removed_words >= 25)) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": OP6_SQL}
