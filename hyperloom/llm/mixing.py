@@ -127,3 +127,19 @@ def chosen(rows: DataFrame, plan: DataFrame) -> DataFrame:
     both = ranked.alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.size") == F.col("b.size")) & (F.col("r.slice") == F.col("b.slice")))
     times = F.when(F.col("r.size") > 0, F.col("times") + F.when(F.col("before") + F.col("nth") <= F.col("picked"), 1).otherwise(0)).otherwise(0)
     return both.select("key", "r.source", "r.size", "source_size", "target", times.cast("long").alias("times"))
+
+
+def taken_rows(df: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows, in their columns, each as often as the mix takes it.
+
+    Rows of one key and size are alike to the mix, so its counts are laid over them in order.
+    """
+    columns = df.columns
+    words = F.size(words_of(text_or_empty(text))).cast("long")
+    order = W.partitionBy("_key", "_source", "_size").orderBy("times")
+    plan = mix(df, text=text, source=source, key=key, **options).filter("times > 0")
+    plan = plan.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times").withColumn("_nth", F.row_number().over(order))
+    rows = df.withColumns({"_k": F.col(key), "_s": F.col(source), "_n": words})
+    rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_k", "_s", "_n").orderBy(F.xxhash64(text))))
+    met = rows.join(plan, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_m") == F.col("_nth")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*columns)
