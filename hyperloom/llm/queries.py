@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, mixing, pii, quality, simhash, spans, suffix, topk
+from hyperloom.llm import bpe, interpolated, mixing, pii, quality, simhash, spans, suffix, topk
 from hyperloom.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op9_interpolated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
