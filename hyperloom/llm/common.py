@@ -40,10 +40,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read back: columns can be pruned on each read."""
+def stored(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read back: columns can be pruned on each read.
+
+    With release the driver collects its garbage, so that Spark drops shuffle files of finished jobs now rather than at
+    its next periodic collection; for steps that have moved much of the input.
+    """
     path = f"{shared_dir(df.sparkSession)}/hyperloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

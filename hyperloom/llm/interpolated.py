@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from hyperloom.llm.common import stored, without
 
 #: Characters in a block and for each range of keys.
-CHARS, RANGE = 12_000_000, 20_000_000
+CHARS, RANGE = 5_000_000, 8_000_000
 #: Training documents are split by the same remainder; this one is held out to learn the weights.
 PARTS, SCORED, WEIGHTS = 5, 1, 0
 #: Steps of a power of two by which estimates are rounded for the weights, and rounds of learning.
@@ -77,7 +77,14 @@ class Tokens:
 
 
 def numbers(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, dtype=kind).tobytes()
+    """Numbers as planes of bytes: the high bytes of ordered keys and of small counts compress well then."""
+    values = np.ascontiguousarray(values, dtype=kind)
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def read_back(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 RUNS = "range int, block int, part int, keys binary, counts binary, tokens long, docs long"
@@ -103,8 +110,8 @@ def answers(sent: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
-        keys = [np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")]
+        keys = [read_back(x.as_py(), "<u8") for x in table.column("keys")]
+        counts = [read_back(x.as_py(), "<u4") for x in table.column("counts")]
         sizes = [len(x) for x in keys]
         part = np.repeat(parts, sizes)
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -127,7 +134,7 @@ def answers(sent: DataFrame) -> DataFrame:
 def looked_up(docs: pa.Table, told: pa.Table, which: str, begun: int) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
     """Of every token of a block the counts of itself, of its context and of both; ``begun``: counted texts."""
     order = np.argsort(told.column("range").to_numpy())
-    counts = np.concatenate([np.frombuffer(told.column(which)[int(i)].as_py(), "<i8") for i in order])
+    counts = np.concatenate([read_back(told.column(which)[int(i)].as_py(), "<i8") for i in order])
     tokens = Tokens(docs.column("text"))
     _, place, _ = tokens.counted()
     found = counts[place]
@@ -188,7 +195,7 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFram
     kind = F.when(F.col("part") == SCORED, 0).when(F.col("part") == WEIGHTS, 1).otherwise(2)
     of_kind = F.when(kind < 2, F.lit(max(1, -(-blocks // PARTS)))).otherwise(F.lit(max(1, -(-blocks * 3 // PARTS))))
     docs = docs.withColumn("block", (F.pmod("h", of_kind) * 3 + kind).cast("int")).drop("h")
-    told = stored(answers(runs(docs.select("block", F.when(F.col("part").isin(SCORED, WEIGHTS), F.col("part")).otherwise(2).cast("int").alias("part"), "text"), ranges)), "counts")
+    told = stored(answers(runs(docs.select("block", F.when(F.col("part").isin(SCORED, WEIGHTS), F.col("part")).otherwise(2).cast("int").alias("part"), "text"), ranges)), "counts", release=True)
     totals = {r.part: r for r in told.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}
     of = lambda what, *parts: sum(totals[k][what] for k in parts if k in totals)
     tokens, begun = of("tokens", WEIGHTS, 2), of("docs", WEIGHTS, 2)

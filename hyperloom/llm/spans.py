@@ -91,7 +91,7 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     every = stored(hashed(df, key, text), "runs")
     place = F.struct(F.col("key").isNull().alias("no_key"), "key", "same", "at")
     first = every.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
-    met = every.join(stored(first, "first-runs"), "h").filter(place != F.col("first"))
+    met = every.join(stored(first, "first-runs", release=True), "h").filter(place != F.col("first"))
     return met.select("key", "same", "at")
 
 

@@ -177,12 +177,12 @@ def more_than_one(rows: DataFrame, *by: str) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, pack) of the starts of strings that start elsewhere too, from (doc, text)."""
     found = stored(each_document(docs, lambda text: stretch_columns(text), "pack long, h long, e long"), "stretches")
-    kinds = stored(found.groupBy("h", "e").agg(F.count("*").alias("times"), F.min(F.struct("doc", "pack")).alias("one")), "kinds")
+    kinds = stored(found.groupBy("h", "e").agg(F.count("*").alias("times"), F.min(F.struct("doc", "pack")).alias("one")), "kinds", release=True)
     settled = kinds.filter("times > 1").select("h", "e")
     done = found.join(settled, ["h", "e"]).select("doc", "pack")
     mixed = more_than_one(kinds, "h")
     some = kinds.join(mixed, "h").select("one.*")
-    groups = stored(each_document(with_packs(docs, some), grouped, "pack long, h long, inner long, outer long"), "groups")
+    groups = stored(each_document(with_packs(docs, some), grouped, "pack long, h long, inner long, outer long"), "groups", release=True)
     inner = more_than_one(groups, "h", "inner")
     outer = more_than_one(groups.filter("outer <> 0"), "h", "outer").withColumn("whole", F.lit(True))
     met = stored(groups.join(inner, ["h", "inner"]).join(outer, ["h", "outer"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "met")
@@ -191,7 +191,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     alike = met.filter("whole").groupBy("h", "inner", "outer", F.col("pack").bitwiseAND(F.lit((1 << 20) - 1))).agg(F.min(F.struct("doc", "pack")).alias("one"))
     alike = alike.join(stored(open_.select("h", "inner").distinct(), "open"), ["h", "inner"]).select("one.*")
     asked = open_.select("doc", "pack").union(alike)
-    strings = stored(each_document(with_packs(docs, asked), single, "pack long, h long, w long"), "strings")
+    strings = stored(each_document(with_packs(docs, asked), single, "pack long, h long, w long"), "strings", release=True)
     last = strings.join(more_than_one(strings, "h", "w"), ["h", "w"])
     return done.union(met.filter("whole").select("doc", "pack")).union(last.select("doc", "pack"))
 

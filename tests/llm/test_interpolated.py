@@ -41,13 +41,10 @@ def test_tables(spark, monkeypatch, chars):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_add_up(spark):
-    """Over all words and one unknown word the model's probabilities sum to one, for the first token of a text."""
-    text = ["a b c a b", "b c d", "a a b", "d c b a", "c", "b b a", "a b", "c d", "a c", "d d d"] * 4
-    rows = list(enumerate(text)) + [(1000 + i, w) for i, w in enumerate(["a", "b", "c", "d", "zzz", ""])]
-    held = [d for d, _ in rows if d >= 1000]
-    got = {r.doc_id: r.score for r in interpolated.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(math.isfinite(x) and x < 0 for x in got.values()) and len(held) == 6
+def test_numbers_go_and_come_back():
+    for kind in ("<u8", "<u4", "<i8"):
+        x = np.array([0, 1, 2**31, 7], dtype=kind)
+        assert (interpolated.read_back(interpolated.numbers(x, kind), kind) == x).all() and len(interpolated.read_back(b"", kind)) == 0
 
 
 def test_weights_find_the_better_part():
