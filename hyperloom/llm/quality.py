@@ -122,6 +122,7 @@ def verdicts(df: DataFrame, **options) -> DataFrame:
 def clean(df: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows kept, with the columns they had, and their texts without the lines removed."""
     columns = df.columns
-    out = judged(df, text=text, **options).filter("kept")
+    # the number of the row keeps the filter above the verdict: pushed below, it would repeat all that leads to it
+    out = judged(df, text=text, **options).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")
     left = F.array_join(F.transform(F.filter(F.arrays_zip(F.col("_raw").alias("raw"), F.col("_gone").alias("gone")), lambda x: ~x["gone"]), lambda x: x["raw"]), "\n")
     return out.withColumn(text, F.when(F.col("n_removed_words") > 0, left).otherwise(F.col(text))).select(*columns)
