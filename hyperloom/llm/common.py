@@ -40,17 +40,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str, release: bool = False) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read back: columns can be pruned on each read.
-
-    With release the driver collects its garbage, so that Spark drops shuffle files of finished jobs now rather than at
-    its next periodic collection; for steps that have moved much of the input.
-    """
-    path = f"{shared_dir(df.sparkSession)}/hyperloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: With this setting Spark drops the shuffle files of a query once it ends, rather than when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read back: lineage is cut, columns can be pruned on each
+    read, and the shuffle files of the steps before it go."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hyperloom-{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

@@ -162,7 +162,7 @@ def learned(docs: DataFrame, told: DataFrame, tokens: int, begun: int, words: in
         return pa.table({k: pa.array(x) for k, x in zip(("level", "two", "one", "n"), (*rows.T, n))})
 
     met = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, "level long, two long, one long, n long")
-    rows = np.array([tuple(r) for r in met.groupBy("level", "two", "one").agg(F.sum("n").alias("n")).collect()], dtype=np.int64).reshape(-1, 4)
+    rows = np.array([tuple(r) for r in stored(met.groupBy("level", "two", "one").agg(F.sum("n").alias("n")), "weights").collect()], dtype=np.int64).reshape(-1, 4)
     value = lambda x: np.where(x == zero, 0.0, np.exp2(x / STEPS))
     estimates = np.stack([value(rows[:, 1]), value(rows[:, 2]), np.full(len(rows), 1 / (words + 1))], 1)
     weights = {-1: fitted(estimates, rows[:, 3])}
@@ -195,7 +195,7 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFram
     kind = F.when(F.col("part") == SCORED, 0).when(F.col("part") == WEIGHTS, 1).otherwise(2)
     of_kind = F.when(kind < 2, F.lit(max(1, -(-blocks // PARTS)))).otherwise(F.lit(max(1, -(-blocks * 3 // PARTS))))
     docs = docs.withColumn("block", (F.pmod("h", of_kind) * 3 + kind).cast("int")).drop("h")
-    told = stored(answers(runs(docs.select("block", F.when(F.col("part").isin(SCORED, WEIGHTS), F.col("part")).otherwise(2).cast("int").alias("part"), "text"), ranges)), "counts", release=True)
+    told = stored(answers(runs(docs.select("block", F.when(F.col("part").isin(SCORED, WEIGHTS), F.col("part")).otherwise(2).cast("int").alias("part"), "text"), ranges)), "counts")
     totals = {r.part: r for r in told.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}
     of = lambda what, *parts: sum(totals[k][what] for k in parts if k in totals)
     tokens, begun = of("tokens", WEIGHTS, 2), of("docs", WEIGHTS, 2)
