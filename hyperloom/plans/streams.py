@@ -42,7 +42,7 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def samples(spark, sf):
-    return streamed(spark, sf, "events").select(F.col("user_id").alias("subject"), "ts", F.col("value").alias("x"), (F.col("value") > 100).cast("int").alias("y"))
+    return streamed(spark, sf, "events").select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"), (F.col("value") > 100).cast("int").alias("y"))
 
 
 @query("WITH w AS (SELECT user_id AS subject, date_trunc('day', ts) - to_days(k::INT) AS start, value AS x FROM events, unnest([0, 1]) AS u(k)) SELECT subject, start::TIMESTAMP AS start, count(*) AS n, round(avg(x), 6) AS mean FROM w GROUP BY 1, 2")
