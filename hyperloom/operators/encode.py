@@ -20,8 +20,8 @@ from hyperloom.functions.itemmem import item_memory, packed
 
 def majority(bits: DataFrame, keys: list[str], part: int = 2) -> DataFrame:
     """Bits set in more than floor(n / part) of the rows; part 4 is the rule for AND-bound vectors."""
-    counted = bits.groupBy(*keys, "pos").agg(F.sum("bit").alias("s"), F.count("*").alias("n"))
-    return counted.select(*keys, "pos", (F.col("s") > F.floor(F.col("n") / part)).cast("int").alias("bit"))
+    counted = bits.groupBy(*keys, "pos").agg(F.sum("bit").alias("_set"), F.count("*").alias("_rows"))
+    return counted.select(*keys, "pos", (F.col("_set") > F.floor(F.col("_rows") / part)).cast("int").alias("bit"))
 
 
 def share(bits: DataFrame, keys: list[str]) -> DataFrame:
