@@ -17,6 +17,12 @@ BANDS = {"total": (0, 45), "dc": (0, 0.5), "mov": (0.1, 0.5), "delta": (0.5, 4),
 DB4 = [-0.010597401785069, 0.032883011666885, 0.030841381835987, -0.187034811719094, -0.027983769416984, 0.630880767929590, 0.714846570552542, 0.230377813308855]
 
 
+def feature_names(thresholds: list[int] = (16, 32, 64, 128, 256)) -> list[str]:
+    """Names of the features of one channel, by families: amplitude, line length, spectrum, zero crossings."""
+    relative = [f"rel_{k}" for k in BANDS if k != "total"]
+    return ["mean_ampl", "line_length", *BANDS, *relative, "zero_cross", *[f"zero_cross_{t}" for t in thresholds]]
+
+
 def amplitude(df: DataFrame, keys: list[str], length: int, step: int) -> DataFrame:
     """mean_ampl and line_length of every window."""
     w = W.partitionBy(*keys, "win").orderBy("t")

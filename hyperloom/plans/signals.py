@@ -108,6 +108,12 @@ def prj5_merge_features(spark, sf):
     return u.groupBy("win").agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"), F.count_distinct("feature").alias("families"))
 
 
+@query("SELECT channel || '_' || u.name AS feature FROM (SELECT DISTINCT event_type AS channel FROM events), unnest([" + ", ".join(f"'{n}'" for n in fe.feature_names()) + "]) AS u(name)")
+def prj6_feature_names(spark, sf):
+    names = F.explode(F.array(*map(F.lit, fe.feature_names())))
+    return table(spark, sf, "events").select(F.col("event_type").alias("channel")).distinct().withColumn("name", names).select(F.concat_ws("_", "channel", "name").alias("feature"))
+
+
 @query(f"WITH {S}, d AS (SELECT subject, channel, t, CASE WHEN label = 1 THEN NULL ELSE x END AS v FROM s), m AS (SELECT channel, avg(v) AS m FROM d GROUP BY 1) SELECT subject, channel, t, round(coalesce(v, m, 0), 6) AS v FROM d JOIN m USING (channel)")
 def prj7_clean(spark, sf):
     v = F.when(F.col("label") == 1, F.when(F.col("t") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("x"))
