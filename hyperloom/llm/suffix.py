@@ -21,6 +21,7 @@ bytes; extra columns stay, clashing ones are replaced; an empty table gives no r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from hyperloom.llm.common import stored, without
 
 LENGTH, Q, STEP = 400, 64, 16
-#: Starts of strings that are handled together; longer texts are cut in such blocks.
+#: Starts of strings that are handled together; longer texts are cut in such blocks (LENGTH at least), never inside a stretch.
 BLOCK = 1 << 18
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))  # odd numbers with mixed bits
@@ -64,23 +65,28 @@ def least(ids: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(ids[: len(ids) - (n - k)], ids[n - k :]) if k < n else ids
 
 
-def stretches(text: bytes) -> tuple[np.ndarray, ...]:
+def stretches(text: bytes, block: int) -> tuple[np.ndarray, ...]:
     """Of each stretch of strings that share an anchor: first start, number of starts, anchor's place behind the first
     start, bucket of the anchor, hash of all its bytes."""
     from xxhash import xxh3_64_intdigest
 
-    parts = []
-    for at in range(0, len(text) - LENGTH + 1, BLOCK):
-        piece = text[at : at + BLOCK + LENGTH - 1]
+    parts, at, end = [], 0, len(text) - LENGTH + 1
+    while at < end:
+        piece = text[at : at + block + LENGTH - 1]
         data = np.frombuffer(piece, dtype=np.uint8)
         ids = buckets(data, Q)
         mask = np.uint64((1 << 20) - 1)
         owner = (least((ids & ~mask) | np.arange(len(ids), dtype=np.uint64), LENGTH - Q + 1) & mask).astype(np.int64)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         n = np.diff(np.append(first, len(owner)))
+        following = at + len(owner)
+        if following < end:  # the last stretch may go on: the next block starts with it
+            following = at + int(first[-1])
+            first, n = first[:-1], n[:-1]
         anchor = owner[first]
         hashes = np.fromiter((xxh3_64_intdigest(piece[a : a + k + LENGTH - 1], (p - a) * 1024 + k) for a, k, p in zip(first.tolist(), n.tolist(), anchor.tolist(), strict=True)), np.uint64, len(first))
         parts.append((first + at, n, anchor - first, ids[anchor], hashes))
+        at = following
     if not parts:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -123,19 +129,19 @@ def chain(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low, refined(refined(low, 64), 128)
 
 
-def in_blocks(text: bytes, packs: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def in_blocks(text: bytes, packs: np.ndarray, block: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """The packs in blocks of the text: the block's place and bytes, and the packs' parts, by places in the block."""
     first, n, before = unpacked(np.sort(packs))
-    for k in np.unique(first // BLOCK).tolist():
-        own, at = first // BLOCK == k, max(0, k * BLOCK - STEP)
-        yield at, text[at : (k + 1) * BLOCK + 1024 + 2 * LENGTH], first[own] - at, n[own], before[own]
+    for k in np.unique(first // block).tolist():
+        own, at = first // block == k, max(0, k * block - STEP)
+        yield at, text[at : (k + 1) * block + 1024 + 2 * LENGTH], first[own] - at, n[own], before[own]
 
 
-def grouped(text: bytes, packs: np.ndarray) -> tuple[np.ndarray, ...]:
+def grouped(text: bytes, packs: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
     """For every STEP strings of the stretches: pack, anchor bucket, bucket of what all share, bucket of all they cover
     (0: beyond the text, so of no other)."""
     out = []
-    for at, piece, first, n, before in in_blocks(text, packs):
+    for at, piece, first, n, before in in_blocks(text, packs, block):
         low, high = chain(piece)
         shared, cover = refined(high, LENGTH - STEP + 1 - 256), refined(high, LENGTH + STEP - 1 - 256)
         anchor, lo, hi = first + before, (before - n + 1) // STEP, before // STEP
@@ -151,10 +157,10 @@ def grouped(text: bytes, packs: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
 
 
-def single(text: bytes, packs: np.ndarray) -> tuple[np.ndarray, ...]:
+def single(text: bytes, packs: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
     """For every string of the packs: its own pack, its anchor's bucket and its bucket."""
     out = []
-    for at, piece, first, n, before in in_blocks(text, packs):
+    for at, piece, first, n, before in in_blocks(text, packs, block):
         low, high = chain(piece)
         whole = refined(high, LENGTH - 256)
         which = np.repeat(np.arange(len(first)), n)
@@ -176,13 +182,14 @@ def more_than_one(rows: DataFrame, *by: str) -> DataFrame:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, pack) of the starts of strings that start elsewhere too, from (doc, text)."""
-    found = stored(each_document(docs, lambda text: stretch_columns(text), "pack long, h long, e long"), "stretches")
+    block = BLOCK  # goes to the workers inside the functions
+    found = stored(each_document(docs, partial(stretch_columns, block=block), "pack long, h long, e long"), "stretches")
     kinds = stored(found.groupBy("h", "e").agg(F.count("*").alias("times"), F.min(F.struct("doc", "pack")).alias("one")), "kinds")
     settled = kinds.filter("times > 1").select("h", "e")
     done = found.join(settled, ["h", "e"]).select("doc", "pack")
     mixed = more_than_one(kinds, "h")
     some = kinds.join(mixed, "h").select("one.*")
-    groups = stored(each_document(with_packs(docs, some), grouped, "pack long, h long, inner long, outer long"), "groups")
+    groups = stored(each_document(with_packs(docs, some), partial(grouped, block=block), "pack long, h long, inner long, outer long"), "groups")
     inner = more_than_one(groups, "h", "inner")
     outer = more_than_one(groups.filter("outer <> 0"), "h", "outer").withColumn("whole", F.lit(True))
     met = stored(groups.join(inner, ["h", "inner"]).join(outer, ["h", "outer"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "met")
@@ -191,13 +198,13 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     alike = met.filter("whole").groupBy("h", "inner", "outer", F.col("pack").bitwiseAND(F.lit((1 << 20) - 1))).agg(F.min(F.struct("doc", "pack")).alias("one"))
     alike = alike.join(stored(open_.select("h", "inner").distinct(), "open"), ["h", "inner"]).select("one.*")
     asked = open_.select("doc", "pack").union(alike)
-    strings = stored(each_document(with_packs(docs, asked), single, "pack long, h long, w long"), "strings")
+    strings = stored(each_document(with_packs(docs, asked), partial(single, block=block), "pack long, h long, w long"), "strings")
     last = strings.join(more_than_one(strings, "h", "w"), ["h", "w"])
     return done.union(met.filter("whole").select("doc", "pack")).union(last.select("doc", "pack"))
 
 
-def stretch_columns(text: bytes) -> tuple[np.ndarray, ...]:
-    first, n, before, h, e = stretches(text)
+def stretch_columns(text: bytes, block: int) -> tuple[np.ndarray, ...]:
+    first, n, before, h, e = stretches(text, block)
     return packed(first, n, before), h, e
 
 

@@ -61,3 +61,19 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, long), (1, long), (2, "short"), (None, None)], "doc_id long, text string")
     assert sorted(((r.doc_id or 0), r.n_removed) for r in suffix.dedup(df).collect()) == [(0, 0), (1, 800), (1, 800), (2, 0)]
     assert suffix.dedup(df.limit(0)).count() == 0
+
+
+def test_unique_text_over_several_blocks_loses_nothing(spark):
+    rng = random.Random(12)
+    once = [rng.randbytes(330_000).hex() for _ in range(2)]
+    rows = [(0, once[0]), (1, once[1] + once[0][1000:1600])]  # one passage of 600 bytes is shared
+    got = {r.doc_id: r for r in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans) for k, r in got.items()} == {0: (660_000, 600, 1), 1: (660_600, 600, 1)}
+    assert bytes(got[0].kept).decode() == once[0][:1000] + once[0][1600:] and bytes(got[1].kept).decode() == once[1]
+
+
+def test_stretches_do_not_depend_on_the_block():
+    text = random.Random(13).randbytes(20_000)
+    whole = suffix.stretches(text, 1 << 18)
+    for block in (400, 512, 5000):
+        assert all((a == b).all() for a, b in zip(whole, suffix.stretches(text, block), strict=True))
