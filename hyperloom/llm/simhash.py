@@ -141,20 +141,36 @@ def links(nodes: DataFrame, *, radius: int = 3) -> DataFrame:
     return met.repartition(*pair).sortWithinPartitions(*pair).mapInPandas(run, "a long, b long").distinct()
 
 
+def classes(marked: DataFrame, *, radius: int = 3) -> DataFrame:
+    """From rows with fp, every fingerprint (_fp) and the smallest one it reaches (_class). Each fingerprint is a node of its
+    own, so rows of one key and unlike texts don't meet."""
+    nodes = stored(marked.select("fp").distinct().withColumn("node", F.col("fp")), "distinct")
+    joined = components(links(nodes, radius=radius))
+    return nodes.join(joined, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("_class"))
+
+
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """The frame without its text, with fingerprint (16 hexadecimal digits) and component_id (smallest key reachable)."""
     marked = stored(fingerprints(without(df, "fingerprint", "component_id"), text=text, words=words, seed=seed), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node")), "distinct")
-    joined = components(links(nodes.dropna(), radius=radius))
-    known = nodes.join(joined, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
-    out = marked.join(stored(known, "classes"), F.col("fp") == F.col("_fp"))
+    found = stored(classes(marked, radius=radius), "classes")
+    least = marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("_least"))
+    least = found.join(least, F.col("_fp") == F.col("fp")).groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("component_id"))
+    known = found.join(least, F.col("_class") == F.col("_c")).select("_fp", "component_id")
+    out = marked.join(stored(known, "components"), F.col("fp") == F.col("_fp"))
     return out.select(*[marked[c] for c in marked.columns if c != "fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows, in their columns, of the smallest key of every component; of repeated rows of one key, one."""
+def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row, in its columns, of every component: of the smallest key, null keys last, then of the smallest hash of the
+    text. A row is kept for its own text, so rows that share a key or have none don't stand for each other."""
+    same = F.xxhash64(text)
+    marked = stored(fingerprints(df.select(F.col(key).alias("_key"), same.alias("_same"), F.col(text).alias("_text")), text="_text", words=words, seed=seed), "fingerprints")
+    place = F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"), F.col("_same").alias("same"))
+    best = marked.groupBy("fp").agg(F.min(place).alias("_best"))
+    best = best.join(classes(marked, radius=radius), F.col("fp") == F.col("_fp")).groupBy("_class").agg(F.min("_best").alias("_best"))
+    kept = stored(best.select(F.col("_best.key").alias("_key"), F.col("_best.same").alias("_same")), "first")
+    rows = df.withColumn("_own", same).join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_same")), "left_semi")
     from pyspark.sql import Window as W
 
-    kept = near_duplicates(df.select(key, text), key=key, text=text, **options).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    rows = df.join(kept, F.col(key) == F.col("_key"), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text)))).filter("_nth = 1").drop("_nth")
+    # rows of one key and text are copies of each other
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(key, "_own").orderBy("_own"))).filter("_nth = 1").drop("_nth", "_own")

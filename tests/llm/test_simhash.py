@@ -79,6 +79,21 @@ def test_first_of_each(spark):
     assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) == [1, 7, 8]
 
 
+def test_first_of_each_keeps_null_keys_and_unlike_texts_of_one_key(spark):
+    rows = [(None, "one two three four"), (None, "five six seven eight nine"), (1, "red green blue black"), (1, "north south east west"), (1, "north south east west"), (2, "red green blue black"), (None, "red green blue black")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(-1, rows[1][1]), (-1, rows[0][1]), (1, rows[3][1]), (1, rows[2][1])]
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.first_of_each(df).collect()) == want
+
+
+def test_texts_of_one_key_are_not_linked(spark):
+    rows = [(1, "red green blue black"), (1, "north south east west"), (3, "red green blue black"), (None, "alone with no key"), (4, "other words go here")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, None), (1, 1), (1, 1), (3, 1), (4, 4)]
+    fps = spark.createDataFrame([(5,), (5,), (-9,)], "fp long")
+    assert sorted((r._fp, r._class) for r in simhash.classes(fps).collect()) == [(-9, -9), (5, 5)]
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (None, 4)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
