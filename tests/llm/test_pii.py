@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -76,3 +77,21 @@ def test_redact(spark, model):
     got = {r.doc_id: r.text for r in pii.redact(df, model=model).collect()}
     assert got == {1: "🙂 mail [EMAIL] or [PHONE] now", 2: None, 3: "plain words only"}
     assert pii.redact(df.limit(0), model=model).columns == df.columns
+
+
+def test_long_values_go_whole(spark, model):
+    rng = random.Random(21)
+    mixed = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    values = {
+        1: "token=" + ".".join(mixed(n, "-_") for n in (80, 500, 90)), 2: mixed(200), 3: "".join(rng.choice("ABCDEFabcdef") for _ in range(80)).upper() + mixed(60) + "7",
+        4: ":".join(f"{rng.randrange(1 << 16):04x}" for _ in range(24)), 5: "ab:cd:ef:fa:ce:bd", 6: " ".join(["415-555-2671"] * 6),
+    }
+    df = spark.createDataFrame([(i, f"plain words {v} and more") for i, v in values.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df, model=model).collect()}
+    for i, t in got.items():
+        assert re.fullmatch(r"plain words (\[[A-Z]+\])+ and more", t), (i, t)
+
+
+@pytest.mark.parametrize("text", ["ab-" * 200_000 + "zz", "aa:bb:cc:" * 70_000 + "ffff0", "1 " * 300_000, "aB3" * 200_000, "key=" + "x" * 500_000])
+def test_long_runs_are_read_once(spark, model, text):
+    assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), model=model).select("spans").count() == 1
