@@ -7,7 +7,9 @@ block of its section (the article, or the page outside of it); in a tie the good
 article that holds a good block, blocks outside of it are bad.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined in page order by one
-blank. Defined results: null and empty pages have the empty text; unclosed elements end with the element around them,
+blank. What a browser shows only in place of something else (in noscript, iframe, template, object, audio, video, canvas)
+is no text; captions, formulas and drawings are. An anchor is a link if it has an address, up to its end or, without one, up
+to the end of its block. Defined results: null and empty pages have the empty text; unclosed elements end with the element around them,
 comments, scripts and styles that don't end reach to the end of the page; pages may be of any length; repeated rows are
 read alike; extra columns stay, clashing ones are replaced; an empty table gives no rows.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +37,7 @@ STOP_WORDS = frozenset(
     el los las del y que en un una por con para su no es al lo como más pero sus le ya o este si porque cuando muy sin sobre ser""".split()
 )
 # Elements that hold no article text, elements that don't break a line of text, elements without an end.
-BAD = frozenset("nav footer aside form button select option label fieldset head menu dialog figcaption object applet audio video canvas map".split())
+BAD = frozenset("nav footer aside form button select option label fieldset head menu dialog object applet audio video canvas textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in a class, id or role that mark what isn't the article.
@@ -43,12 +46,15 @@ HINTS = frozenset(
     notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related recommended comment comments respond disqus replies reply login search widget pagination pager
     contentinfo complementary masthead header toolbar skip copyright disclaimer paywall""".split()
 )
+# Of these, words that may belong to an article's own head, and words that say so.
+HEADS, OF_ARTICLE = frozenset("header masthead banner".split()), frozenset("article entry post story content".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|title|iframe)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>",
     re.S | re.I,
 )
+ANCHOR, ADDRESS = re.compile(r"<(/?)a\b", re.I), re.compile(r"\bhref\b", re.I)
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Words from which a block is long, and from which stop words decide; density of stop words; share of text in links.
 LONG, ENOUGH, DENSE, LINKED = 25, 10, 0.12, 0.5
@@ -66,16 +72,24 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def hinted(rest: str) -> bool:
-    return any(not HINTS.isdisjoint(re.split(r"[^a-z]+", m[1].lower())) for m in MARKED.finditer(rest))
+def hinted(rest: str, article: bool) -> bool:
+    for m in MARKED.finditer(rest):
+        words = set(re.split(r"[^a-z]+", m[1].lower()))
+        if found := words & HINTS:
+            if found - HEADS or not (article or words & OF_ARTICLE):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page in order, with what the elements around them say."""
     stack: list[tuple[str, bool, bool]] = []  # name, in an article, bad
-    out, link = [Block(False, False)], False
+    names: Counter[str] = Counter()  # of the stack
+    out, link, to_block_end = [Block(False, False)], False, False
 
     def anew() -> None:
+        nonlocal link
+        link = link and not to_block_end
         article, bad = stack[-1][1:] if stack else (False, False)
         out.append(Block(article, bad))
 
@@ -95,22 +109,26 @@ def blocks(page: str) -> list[Block]:
         if name in ("br", "hr"):
             put(" ")
         if name == "a":
-            link = not m["end"]
+            link = not m["end"] and ADDRESS.search(rest) is not None
+            to_block_end = link and not ((following := ANCHOR.search(page, at)) and following[1])
         if m["end"]:
-            names = [x[0] for x in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            if names[name]:
+                while closed := stack.pop()[0]:
+                    names[closed] -= 1
+                    if closed == name:
+                        break
                 anew()
             elif name not in INLINE:
                 anew()
         elif name not in VOID:
             article, bad = stack[-1][1:] if stack else (False, False)
-            marked = name not in ("html", "body", "article", "main") and bool(rest) and hinted(rest) or name in ("article", "main") and bool(rest) and re.search(r"comment|related|teaser|promo", rest, re.I) is not None
+            marked = name not in ("html", "body", "article", "main") and bool(rest) and hinted(rest, article) or name in ("article", "main") and bool(rest) and re.search(r"comment|related|teaser|promo", rest, re.I) is not None
             if name in INLINE and not marked:
                 continue
             if stack and stack[-1][0] == "p" and name not in INLINE or stack and stack[-1][0] == name == "li":
-                stack.pop()
+                names[stack.pop()[0]] -= 1
                 article, bad = stack[-1][1:] if stack else (False, False)
+            names[name] += 1
             stack.append((name, article or name in ("article", "main") and not bad, bad or marked or name in BAD or name == "header" and not article))
             anew()
     put(page[at:])

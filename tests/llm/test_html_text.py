@@ -43,3 +43,47 @@ def test_odd_pages(spark):
     assert main_text(long) == " ".join([PROSE] * 4000)
     df = spark.createDataFrame([(1, None, "t"), (1, "<p>x</p>", "t")], "page_id long, html string, Text string")
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["", "x"] and html_text.extract(df.limit(0)).count() == 0
+
+
+def test_anchors_without_an_end_or_an_address():
+    lead, tail = PROSE + " One.", PROSE + " Two."
+    assert main_text(f'<article><p><a name="x">{lead}</p><p>{tail}</p></article>') == f"{lead} {tail}"
+    assert main_text(f'<article><p>{lead}</p><p><a href="x">Go on</p><p>{tail}</p></article>') == f"{lead} {tail}"
+    assert main_text(f'<article><p>{lead}</p><p><a href="x">Go on <b>there</b></a></p><p>{tail}</p></article>') == f"{lead} {tail}"
+
+
+def test_an_articles_own_head_captions_and_formulas_stay():
+    page = f'<header class="site-header">Site</header><article><div class="entry-header"><h1>Title of it</h1></div><p>{PROSE}</p><figure><figcaption>A boat.</figcaption></figure><p>So <math><mi>x</mi></math> is {PROSE}</p></article>'
+    assert main_text(page) == f"Title of it {PROSE} A boat. So x is {PROSE}"
+    assert main_text(f'<div class="page-header">Site</div><div class="post"><div class="post-header"><h1>Title of it</h1></div><p>{PROSE}</p></div>') == f"Title of it {PROSE}"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    assert main_text("<div>" * 100_000 + PROSE + "</div>" * 100_000) == PROSE
+    assert main_text("<p>" + "</b></i>" * 100_000 + PROSE) == PROSE and time.time() - began < 6
+
+
+# pages labelled by hand: (page, the article's blocks, what else it says)
+LABELLED = [
+    (f"<body><nav>Home News</nav><main><h1>Old boats</h1><p>{PROSE}</p><p>They sank.</p><ul><li>First, the mast and the sail of it.</li><li>Then the rest.</li></ul></main><footer>All rights reserved</footer>", ["Old boats", PROSE, "They sank.", "First, the mast and the sail of it.", "Then the rest."], ["Home News", "All rights reserved"]),
+    (f"<table><tr><td class=sidebar><a href=1>Link one</a></td><td><h2>Bread</h2>{PROSE}<br><br>Bake it well.</td></tr></table><div class='ad-slot'>Buy now</div>", ["Bread", PROSE, "Bake it well."], ["Link one", "Buy now"]),
+    (f"<div id=content><div class=post-body><p>{PROSE}<p>Short one.<blockquote>{PROSE} quoted</blockquote></div><div id=comments><p>{PROSE} I say</p></div><form>Name <input></form></div>", [PROSE, "Short one.", PROSE + " quoted"], [PROSE + " I say", "Name"]),
+    (f"<article><h1>Les bateaux</h1><p>Le fleuve va vers la mer et on dit que la vieille ville est pour ceux qui sont venus avec les bateaux.</p><div class='related'><a href=2>Voir aussi</a></div></article><div role=dialog class=cookie-banner>Nous utilisons des cookies pour vous</div>", ["Les bateaux", "Le fleuve va vers la mer et on dit que la vieille ville est pour ceux qui sont venus avec les bateaux."], ["Voir aussi", "Nous utilisons des cookies pour vous"]),
+    (f"<header><h1>Site</h1><p>{PROSE} of the site</p></header><section><h2>Part</h2><p>{PROSE}</p><pre>x = 1</pre><p>{PROSE} again</p></section><aside>{PROSE} aside</aside>", ["Part", PROSE, "x = 1", PROSE + " again"], [PROSE + " of the site", PROSE + " aside"]),
+]
+
+
+def test_precision_and_recall_on_labelled_pages():
+    good = bad = missed = 0
+    for page, article, other in LABELLED:
+        text = main_text(page)
+        for x in sorted(other, key=len, reverse=True):
+            bad += x in text
+            text = text.replace(x, "\0")
+        for x in sorted(article, key=len, reverse=True):
+            found = x in text
+            good, missed, text = good + found, missed + (not found), text.replace(x, "\0", 1)
+    assert good / (good + missed) >= 0.9 and good / (good + bad) >= 0.9, (good, bad, missed)
