@@ -15,6 +15,7 @@ import base64
 import json
 import re
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from hyperloom.llm.common import without
 
-#: Distinct pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of pieces and their ids, about, that a task remembers before it starts anew (a slice of a batch more at most).
+REMEMBERED = 128 << 20
 #: Bytes of text in a slice of a batch.
 SLICE = 4 << 20
 
@@ -37,6 +38,14 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(rest)) for b in range(256)}
 
 
+CHARACTERS = byte_characters()
+
+
+def shown(token: bytes) -> str:
+    """The characters that stand for a token's bytes in the vocabulary."""
+    return "".join(map(CHARACTERS.__getitem__, token))
+
+
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file of lines ``base64 rank``; a local path or one that only Spark reads."""
     lines = (r.value for r in spark.read.text(path).toLocalIterator()) if "://" in path else open(path)
@@ -62,8 +71,6 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     """A tokenizer of the tokenizers library, as JSON, that splits by the pattern and merges by the ranks."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    table = byte_characters()
-    shown = lambda token: "".join(table[b] for b in token)
     made = Tokenizer(models.BPE(vocab={shown(k): v for k, v in ranks.items()}, merges=[(shown(a), shown(b)) for a, b in merges_of(ranks)]))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made.to_str()
@@ -123,7 +130,7 @@ def encode(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text",
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_str(model.value), {}
+        tokenizer, known, held = Tokenizer.from_str(model.value), {}, 0
         for whole in batches:
             for a, b in slices(whole.column(text)):
                 batch = whole.slice(a, b - a)
@@ -131,12 +138,15 @@ def encode(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text",
                 if offsets:
                     yield with_columns(batch, **placed(tokenizer, cut))
                     continue
-                if len(known) > REMEMBERED:
+                if held > REMEMBERED:
                     known.clear()
+                    held = 0
                 if new := [x for x in set().union(*cut) if x not in known]:
+                    held += sum(map(getsizeof, new)) + 100 * len(new)
                     for i in range(0, len(new), 8192):
                         for x, e in zip(new[i : i + 8192], tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False), strict=True):
                             known[x] = np.asarray(e.ids, dtype="<u4").tobytes()
+                            held += 4 * len(e.ids)
                 ids = [b"".join(map(known.__getitem__, x)) for x in cut]
                 yield with_columns(batch, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
@@ -163,12 +173,14 @@ def placed(tokenizer, cut: list[list[str]]) -> dict[str, pa.Array]:
 
 
 def decode(df: DataFrame, *, ranks_path: str, ids: str = "ids", text: bool = False) -> DataFrame:
-    """Adds decoded (binary): the bytes of the ids; null ids give no bytes, an unknown id raises KeyError.
+    """Adds decoded (binary): the characters of the ids in the vocabulary, turned back into bytes by the reversed table; null ids give no bytes, an unknown id raises KeyError.
 
     With text also decoded_text: the bytes as UTF-8 once all are joined, so that characters split between tokens come
     out whole; what is no UTF-8 becomes U+FFFD.
     """
-    table = df.sparkSession.sparkContext.broadcast({v: k for k, v in read_ranks(df.sparkSession, ranks_path).items()})
+    byte_of = {c: b for b, c in byte_characters().items()}
+    vocabulary = ((shown(token), i) for token, i in read_ranks(df.sparkSession, ranks_path).items())
+    table = df.sparkSession.sparkContext.broadcast({i: bytes(map(byte_of.__getitem__, characters)) for characters, i in vocabulary})
     df = without(df, "decoded", "decoded_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
