@@ -5,7 +5,9 @@ sentences and WORDS words is hashed. The first place of every hash (smallest key
 the sentences under any run that is not the first of its hash are removed. Runs that occur once never leave the aggregate.
 
 A sentence ends at a full stop, exclamation or question mark before white space, or at a line end; one of more than LONG
-words is cut after every LONG words, so that very long texts without marks have runs too. Runs are compared in lower case
+words is cut where its content says: after a word whose hash, with the next word, is the smallest among LONG / 2 on either
+side, so that a passage is cut alike wherever it stands (where words only repeat there is no such place; such a stretch is
+cut every LONG words). A text of one sentence and WORDS words is one run. Runs are compared in lower case
 with white space made even. Defined results: null texts stay null, texts without a run stay as they are; what is left of a
 text keeps its own white space, an emptied text is the empty string; repeated rows of one key and text count as one
 document; rows with a null key are compared among themselves last; extra columns stay, clashing ones are replaced.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hyperloom.llm.common import stored, without
+from hyperloom.llm.suffix import least
 
 SENTENCES, WORDS, LONG = 2, 20, 30
 
+
+def cuts(words: list[str]) -> list[int]:
+    """The places in a long list of words behind which it is cut, ascending."""
+    near = LONG // 2
+    hashes = np.fromiter((crc32(f"{a} {b}".lower().encode()) for a, b in zip(words, words[1:])), np.uint64, len(words) - 1)
+    # smallest of its neighbours, and the first of equal ones, by their places
+    placed = (hashes << np.uint64(31)) | np.arange(len(hashes), dtype=np.uint64)
+    padded = np.concatenate([np.full(near, ~np.uint64(0)), placed, np.full(near, ~np.uint64(0))])
+    found = [0, *(np.flatnonzero(least(padded, 2 * near + 1) == placed) + 1).tolist(), len(words)]
+    out = []
+    for a, b in zip(found, found[1:]):
+        out += [*range(a + LONG, b - LONG, LONG), b] if b - a > 4 * LONG else [b]
+    return [x for x in out if x]
+
+
 def sentences(text: str) -> list[str]:
     """The text in pieces that join to it."""
     pieces = re.split(r"(?<=[.!?])(?=\s)(?!\s*\n)|(?<=\n)", text)
@@ -33,13 +52,13 @@ def sentences(text: str) -> list[str]:
     for piece in pieces:
         if not piece:
             continue
-        if piece.count(" ") < LONG:
+        if len(piece) < 2 * LONG or len(plain := piece.split()) <= LONG:
             out.append(piece)
         else:
             words = re.findall(r"\s*\S+", piece)
-            tail = piece[sum(map(len, words)) :]
-            cut = ["".join(words[i : i + LONG]) for i in range(0, len(words), LONG)] or [""]
-            cut[-1] += tail
+            places = cuts(plain)
+            cut = ["".join(words[a:b]) for a, b in zip([0, *places], places)]
+            cut[-1] += piece[sum(map(len, words)) :]
             out += cut
     return out
 
@@ -57,6 +76,8 @@ def runs(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + WORDS), starts + SENTENCES)
     backward = np.minimum(np.searchsorted(sizes, sizes[1:] - WORDS, side="right") - 1, starts + 1 - SENTENCES)
     pairs = np.concatenate([np.stack([starts, ends], 1)[ends <= n], np.stack([backward, starts + 1], 1)[backward >= 0]])
+    if n and n < SENTENCES and sizes[-1] >= WORDS:
+        pairs = np.array([[0, n]])
     starts, ends = np.unique(pairs, axis=0).T
     keys = [" ".join(plain[i]).lower().encode() for i in filled]
     hashes = np.fromiter((xxh3_64_intdigest(b"\n".join(keys[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
