@@ -26,36 +26,49 @@ from hyperloom.llm.common import stored, text_or_empty, words_of
 
 #: Twice the words of a source's budget that are left to the dynamic program at least.
 FITTED = 1 << 13
+#: Steps of the program between sums that are held.
+SEGMENT = 64
 #: Rows of one source and size that are ranked together.
 RANKED = 256
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Adds rank, from 0, of the source in code-point order, null last: ranges of sources are ranked each on their own."""
+    parts = stored(sizes.repartitionByRange(F.col("source").isNull(), "source").withColumn("_part", F.spark_partition_id()), "sources")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct(F.col("source").isNull(), "source")).alias("least")).orderBy("least").collect()  # one row for each partition
+    before, total = {}, 0
+    for r in counts:
+        before[r["_part"]], total = total, total + r["n"]
+    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None).cast("map<int,int>")
+    own = F.row_number().over(W.partitionBy("_part").orderBy(F.col("source").isNull(), "source")) - 1
+    return parts.withColumn("rank", own + F.element_at(offsets, F.col("_part"))).drop("_part")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
-    """From (source, source_size), one row per source, the same with target. One row per source is all that is ordered.
+    """From (source, source_size), one row per source, the same with target.
 
-    Capped sharing has one level L with sum(min(most * size, L * weight)) = total: walking up the sources by
-    most * size / weight, the level is the first at which the sources not yet capped can take what is left.
+    Capped sharing has one level L with sum(min(most * size, L * weight)) = total. It rises from the level without caps: what
+    the sources capped at a level leave is shared by the others, until no more are capped. Each round is one sum over sources.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    total = W.partitionBy()
-    by_level = W.orderBy("at", F.col("source").isNull(), "source")
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")))
-    weighed = weighed.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("at", F.col("cap") / F.col("weight"))
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight = F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    leveled = weighed.withColumn("left", left).withColumn("weight_left", weight)
-    reached = F.when(F.col("left") <= F.col("at") * F.col("weight_left"), F.col("left") / F.col("weight_left"))
-    leveled = leveled.withColumn("level", F.max(reached).over(total))  # past the first such source it only falls
-    return leveled.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = numbered(sizes).select("source", "source_size", cycle.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap"))
+    weighed = stored(weighed, "weights")
+    total, every = (x or 0 for x in weighed.agg(F.sum("source_size"), F.sum("weight")).first())
+    level, capped = (total / every if every else 0.0), -1
+    while True:
+        held = weighed.filter(F.col("cap") <= F.lit(level) * F.col("weight")).agg(F.count("*"), F.sum("cap"), F.sum("weight")).first()
+        if held[0] == capped or (held[2] or 0) == every:
+            break
+        capped, level = held[0], (total - (held[1] or 0)) / (every - (held[2] or 0))
+    return weighed.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their sum comes closest to the budget (not above, if equal).
 
     Walking down the sizes, each gets its proportional share, less what would overrun the share of all sizes so far; a
-    last part of the budget is left to the program. It keeps reachable sums as bits of one integer, one step for each power of
-    two of a size's count, and is walked back to read the picks.
+    last part of the budget is left to the program. It has reachable sums as bits of one integer, one step for each power of
+    two of a size's count, and is walked back to read the picks. Only the sums of every SEGMENT steps are held.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -69,25 +82,32 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         taken[i] = k = min(n, int(wanted - held) // size) if size else 0
         held += k * size
     left = budget - held
-    room = left + int(sizes.max())
-    mask, sums, steps = (1 << (room + 1)) - 1, 1, []
+    room = min(2 * left, left + int(sizes.max()))  # a sum beyond twice the rest is no closer than none
+    mask, steps, held_sums = (1 << (room + 1)) - 1, [], [1]
+    sums = 1
     for i, (size, free) in enumerate(zip(sizes.tolist(), (counts - taken).tolist(), strict=True)):
         k = 1
         while size and free > 0 and size * min(k, free) <= room:
             k = min(k, free)
-            steps.append((i, k, sums))
+            steps.append((i, k * size, k))
             sums |= (sums << size * k) & mask
             free, k = free - k, 2 * k
+            if len(steps) % SEGMENT == 0:
+                held_sums.append(sums)
         if sums >> left & 1:
             break
     below, above = sums & ((1 << (left + 1)) - 1), sums >> (left + 1)
     best = below.bit_length() - 1
     if above and (above & -above).bit_length() < left - best:
         best = left + (above & -above).bit_length()
-    for i, k, before in reversed(steps):
-        if not before >> best & 1:
-            taken[i] += k
-            best -= k * int(sizes[i])
+    for start in range((len(steps) - 1) // SEGMENT * SEGMENT, -1, -SEGMENT):  # the sums between held ones are made again
+        own, before = steps[start : start + SEGMENT], [held_sums[start // SEGMENT]]
+        for _, size, _ in own[:-1]:
+            before.append(before[-1] | (before[-1] << size) & mask)
+        for (i, size, k), reached in zip(reversed(own), reversed(before)):
+            if not reached >> best & 1:
+                taken[i] += k
+                best -= size
     return taken
 
 

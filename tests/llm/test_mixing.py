@@ -77,3 +77,23 @@ def test_tables(spark):
     got = mixing.mix(docs)
     for r in got.groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("t"), F.max("target").alias("target")).collect():
         assert abs(r.t - r.target) <= 10
+
+
+def test_many_sources(spark):
+    rng = np.random.default_rng(5)
+    sizes = {f"host{i:06d}": int(x) for i, x in enumerate(rng.zipf(1.6, 100_000).clip(max=10**6))}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = water(sizes)
+    assert len(got) == len(sizes) and all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
+def test_one_huge_text_among_many_sizes():
+    import tracemalloc
+
+    sizes = np.concatenate([np.arange(1, 3000), np.arange(5_000_000, 5_003_000), [10_000_000]])
+    tracemalloc.start()
+    taken = mixing.fitted(sizes, np.ones(len(sizes), dtype=np.int64), 7_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(int((taken * sizes).sum()) - 7_000_000) <= 1 and peak < 400e6
