@@ -58,3 +58,60 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(None, "a b"), (4, None), (4, None)], "doc_id long, text string")
     assert len(interpolated.score(one).collect()) == 3
     assert interpolated.score(one.limit(0)).count() == 0
+
+
+def learned(rows, weights_part=0):
+    """Plain deleted interpolation: (probability of each token of each text) from counts in dictionaries."""
+    part = {d: zlib.crc32(str(d).encode()) % 5 for d, _ in rows}
+
+    def counts(parts):
+        one, two, begun = Counter(), Counter(), 0
+        for d, x in rows:
+            if part[d] in parts:
+                begun += 1
+                own = tokens(x)
+                one.update(own)
+                two.update(zip(["<begin>", *own], own))
+        return one, two, begun, sum(one.values())
+
+    def parts_of(x, model, types):
+        one, two, begun, n = model
+        for a, b in zip(["<begin>", *tokens(x)], tokens(x)):
+            context = begun if a == "<begin>" else one[a]
+            yield (int(math.log2(context)) + 1 if context else 0), (two[a, b] / context if context else 0, one[b] / n, 1 / (types + 1))
+
+    every, kept = counts({0, 2, 3, 4}), counts({2, 3, 4})
+    types, seen = len(every[0]), {}
+    for d, x in rows:
+        if part[d] == weights_part:
+            for level, p in parts_of(x, kept, types):
+                seen.setdefault(level, []).append(p)
+    weights = {}
+    for level, ps in [*seen.items(), (-1, [p for x in seen.values() for p in x])]:
+        w = [1 / 3] * 3
+        for _ in range(60):
+            shares = [0.0] * 3
+            for p in ps:
+                total = sum(a * b for a, b in zip(w, p))
+                shares = [s + a * b / total for s, a, b in zip(shares, w, p)]
+            w = [s / sum(shares) for s in shares]
+        weights[level] = [(x + 1e-6) / (1 + 3e-6) for x in w]
+    return {d: sum(math.log10(sum(a * b for a, b in zip(weights.get(level, weights[-1]), p))) for level, p in parts_of(x, every, types)) for d, x in rows}
+
+
+def test_score_equals_plain_interpolation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) < 3000").orderBy("doc_id").limit(120)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(90001, None), (90002, "unseen wordswordswords")]
+    want = learned(rows)
+    for r in interpolated.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=0.01), r.doc_id  # estimates are rounded for the weights
+
+
+def test_one_key_for_all_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(interpolated, "CHARS", 2000)
+    rows = [(7, f"word{i} " * 40 + "of the same key") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    apply = interpolated.runs
+    monkeypatch.setattr(interpolated, "runs", lambda docs, ranges: sizes.extend(r["count"] for r in docs.groupBy("block").count().collect()) or apply(docs, ranges))
+    assert interpolated.score(df).count() == 300 and len(sizes) > 8 and max(sizes) < 90
