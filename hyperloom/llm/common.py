@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,22 +23,21 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only if the session names none."""
+    """The folder that driver and executors share. Only in local mode a temporary one is set if the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="hyperloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the shared folder, with its lineage cut."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+def for_this_run(spark: SparkSession, path: str) -> None:
+    """Has a stored table deleted when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 #: With this setting Spark drops the shuffle files of a query once it ends, rather than when the driver collects garbage.
@@ -55,6 +55,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    for_this_run(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

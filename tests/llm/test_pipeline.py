@@ -30,6 +30,21 @@ def test_stages_one_by_one(spark):
     assert sorted(map(str, again)) == sorted(map(str, docs.collect()))
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    words = "the river runs to the sea and an old town on a hill was built for those who came with first boats in spring under clear skies of blue"
+    many = " ".join(f"{w}{i}" for i in range(8) for w in words.split())
+    rows = [(1, many, "en", "a", 5), (1, many[::-1], "en", "a", 5), (None, many.replace("the", "some"), None, None, None), (2, None, None, None, None), (3, "", "en", "a", 0), (1, many, "en", "a", 5), (4, many + " é", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("fp", "kept", "size", "times", "base", "added", "n_tokens", "_text", "_key", "_n", "block")})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, "").cache()
+        assert docs.count() > 0, name
+        if k < 4:
+            assert docs.columns == corpus_pipeline.COLUMNS
+
+
 def test_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -77,3 +77,20 @@ def test_stretches_do_not_depend_on_the_block():
     whole = suffix.stretches(text, 1 << 18)
     for block in (400, 512, 5000):
         assert all((a == b).all() for a, b in zip(whole, suffix.stretches(text, block), strict=True))
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_passages_about_the_length(spark, tmp_path, files):
+    """Passages of 399 bytes stay, of 400 and 401 go, wherever their copies are read from."""
+    rng = random.Random(files)
+    noise = lambda: rng.randbytes(300).hex()
+    shared = {n: "".join(rng.choice("abcdefghij é") for _ in range(n)).encode()[:n].decode("utf-8", "ignore").ljust(n, "z") for n in (399, 400, 401)}
+    shared = {n: x.encode()[:n].decode("utf-8", "ignore") for n, x in shared.items()}
+    shared = {n: x + "q" * (n - len(x.encode())) for n, x in shared.items()}
+    rows = [(100 * k + i, "A" * (i % 2) + noise() + x + "BC"[i % 2] + noise()) for k, x in enumerate(shared.values()) for i in range(6)]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(path)
+    got = {r.doc_id: r for r in suffix.dedup(spark.read.parquet(path)).collect()}
+    for (i, _), (n, removed, runs, kept) in zip(rows, brute([t for _, t in rows], suffix.LENGTH), strict=True):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (n, removed, runs, kept)
+        assert (removed > 0) == (i >= 100)
