@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hyperloom import ship
 from hyperloom.llm import bpe, mixing, pii, quality, simhash
-from hyperloom.llm.common import shared_dir
+from hyperloom.llm.common import for_this_run, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
+            for_this_run(spark, path)
             docs = spark.read.parquet(path)
     return docs
