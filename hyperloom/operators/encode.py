@@ -141,3 +141,87 @@ def encode_fast(levels: DataFrame, m: Memories, keys: list[str], features: int)
             yield pdf[keys].assign(hv=list(hv))
 
     return levels.select(*keys, "levels").mapInPandas(run, schema)
+
+
+def bit_table(memory: DataFrame) -> np.ndarray:
+    """An item memory as a matrix of bits. Its size is that of a model (vectors times bits), never of the data; more than
+    MOST_BITS is refused."""
+    n, d = memory.agg(F.max("idx") + 1, F.max("pos") + 1).first()
+    if n * d > MOST_BITS:
+        raise ValueError(f"an item memory of {n} vectors of {d} bits is too large to send to every task")
+    words = np.zeros((n, -(-d // 32)), dtype="<u4")
+    for r in packed(memory, "idx").collect():
+        words[r.idx] = r.hv
+    return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :d]
+
+
+#: Bits of an item memory that is sent to the tasks (bytes there).
+MOST_BITS = 1 << 28
+
+
+def encode_packed(levels: DataFrame, m: Memories, how: str, keys: list[str], features: int) -> DataFrame:
+    """The encoders of :func:`encode` for windows given as an array ``levels`` in order of channel, then feature: (keys, hv),
+    with ``block`` for appended vectors. Bits are counted in numpy, a batch of windows at a time; nested majorities are
+    counts of counts, so no row of bits is ever made. A level that is null or out of range fails the task."""
+    channels = m.channels
+    tables = {"value": bit_table(m.value), "feature": bit_table(m.feature), "channel": bit_table(m.channel)}
+    if how == "ChFeatCombxVal":
+        tables["pair"] = bit_table(m.pair)
+    sent = levels.sparkSession.sparkContext.broadcast(tables)
+    appended = how in ("FeatAppend", "ChAppend")
+    types = dict(levels.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (", block int" if appended else "") + ", hv array<bigint>"
+
+    def made(x: np.ndarray) -> list[np.ndarray]:
+        """Bits of every window, for each block; x: windows, channels, features."""
+        value, feature, channel = (sent.value[k] for k in ("value", "feature", "channel"))
+
+        def over(pairs) -> np.ndarray:
+            counts, n = np.zeros((len(x), value.shape[1]), dtype=np.uint16), 0
+            for bits in pairs:
+                counts += bits
+                n += 1
+            return (counts > n // 2).astype(np.uint8)
+
+        every = [(c, f) for c in range(channels) for f in range(features)]
+        if how == "FeatxVal":
+            return [over(value[x[:, c, f]] ^ feature[f] for c, f in every)]
+        if how == "ChFeatCombxVal":
+            return [over(value[x[:, c, f]] ^ sent.value["pair"][f * channels + c] for c, f in every)]
+        if how == "FeatValRot":
+            d = value.shape[1]
+            return [over(feature[f][(np.arange(d)[None, :] + x[:, c, f][:, None]) % d] for c, f in every)]
+        by_channel = how in ("ChxFeatxVal", "ChAppend")
+        if by_channel:
+            inner = (over(value[x[:, c, f]] ^ feature[f] for f in range(features)) for c in range(channels))
+        else:
+            inner = (over(value[x[:, c, f]] ^ channel[c] for c in range(channels)) for f in range(features))
+        if appended:
+            return list(inner)
+        outer = channel if by_channel else feature
+        return [over(bits ^ outer[i] for i, bits in enumerate(inner))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for a in range(0, len(pdf), 512):  # so many windows at once
+                part = pdf[a : a + 512]
+                x = np.stack(part["levels"].to_numpy()).reshape(len(part), channels, features)
+                if x.min() < 0 or x.max() >= len(sent.value["value"]):
+                    raise ValueError("a level is out of range")
+                for block, bits in enumerate(made(x)):
+                    hv = np.packbits(bits, axis=1, bitorder="little").view("<u4").astype(np.int64)
+                    yield part[keys].assign(**({"block": block} if appended else {}), hv=list(hv))
+
+    return levels.select(*keys, "levels").mapInPandas(run, schema)
+
+
+def encode_spectra(spectra: DataFrame, m: Memories, how: str, keys: list[str]) -> DataFrame:
+    """Spectra given as (keys, ch, f: number of the frequency, level). "FreqxVal": frequency and level bound, majority over the
+    frequencies of a channel, then over channels; "ChxFreqxVal": the first bound to its channel; "PermChFreqxVal": the
+    channel's vector rotated by the frequency's number and bound to the level, majority over all."""
+    if how == "PermChFreqxVal":
+        rows = valued(spectra, m.value)
+        turned = rows.join(named(m.channel, "ch", "_b").withColumn("_from", F.col("pos")).drop("pos"), "ch").filter(F.pmod(F.col("_from") - F.col("f"), F.lit(m.d)) == F.col("pos"))
+        return majority(turned.withColumn("bit", F.col("bit").bitwiseXOR(F.col("_b"))), keys)
+    inner = majority(bound(valued(spectra, m.value), m.feature, "f"), [*keys, "ch"])
+    return majority(inner if how == "FreqxVal" else bound(inner, m.channel, "ch"), keys)

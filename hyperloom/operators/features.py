@@ -3,6 +3,8 @@ templates are numpy kernels over one window, or one series, at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,6 +137,13 @@ def fft_spectrum_of(x: np.ndarray, fs: float, bound: float) -> np.ndarray:
     return m / m.sum() if m.sum() > 0 else m
 
 
+def fft_peak_levels_of(x: np.ndarray, fs: float, bound: float, levels: int) -> dict[str, list[int]]:
+    """Magnitudes up to a frequency, over the largest, as levels."""
+    m = np.abs(np.fft.rfft(x))[np.fft.rfftfreq(len(x), 1 / fs) <= bound]
+    share = m / m.max() if m.max() > 0 else np.zeros_like(m)
+    return {"levels": np.minimum(np.floor(np.round((levels - 1) * share, 9)), levels - 1).astype(int).tolist()}
+
+
 def cwt_symbol_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float = 6.0) -> int:
     """Index of the Morlet band with the largest root-mean-square energy in the middle fifth of the window."""
     energy = []
@@ -175,16 +184,23 @@ def bandpass_of(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x - x.mean()) * gain, len(x))
 
 
-def per_group(df: DataFrame, keys: list[str], fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
-    """One row per group: the group's values in order of t through a numpy function that gives a dict."""
+def per_array(df: DataFrame, keys: list[str], column: str, fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
+    """The keys of every row and what a numpy function, that gives a dict, makes of its array: no shuffle, a batch at a time."""
     types = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["x"].to_numpy(float)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **fn(x, *args)}])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = pd.DataFrame([fn(np.asarray(x, dtype=float), *args) for x in pdf[column]], columns=list(columns))
+            yield pd.concat([pdf[keys].reset_index(drop=True), made], axis=1)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.select(*keys, column).mapInPandas(run, schema)
+
+
+def per_group(df: DataFrame, keys: list[str], fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
+    """One row per group: the group's values in order of t through a numpy function that gives a dict."""
+    whole = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("_x"))
+    return per_array(whole, keys, "_x", fn, columns, args)
 
 
 def per_series(df: DataFrame, keys: list[str], fn, args: tuple = (), to: str = "y") -> DataFrame:
@@ -241,3 +257,94 @@ def entropy_features(windows: DataFrame, keys: list[str], level: int = 7, order:
 
 def long_form(df: DataFrame, keys: list[str], families: list[Column | str]) -> DataFrame:
     return df.unpivot([*keys, "win"], families, "feature", "v")
+
+
+# ---- entropies of a window by name, and the feature sets made of them
+
+
+def perm_entropy_of(x: np.ndarray, order: int = 3) -> float:
+    """Permutation entropy over its greatest value."""
+    from math import factorial, log2
+
+    if len(x) < order:
+        return 0.0
+    shapes = np.argsort(np.lib.stride_tricks.sliding_window_view(x, order), axis=1, kind="stable")
+    p = np.unique(shapes, axis=0, return_counts=True)[1] / len(shapes)
+    return float(-(p * np.log2(p)).sum() / log2(factorial(order)))
+
+
+def spectral_entropy_of(x: np.ndarray, segment: int = 256) -> float:
+    """Entropy of the mean power spectrum of Hann-weighted segments, half overlapping, over its greatest value."""
+    n = min(segment, len(x))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    parts = np.lib.stride_tricks.sliding_window_view(x, n)[:: max(n // 2, 1)]
+    power = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2).mean(axis=0)
+    power[1 : (n + 1) // 2] *= 2
+    if not power.sum() or len(power) < 2:
+        return 0.0
+    p = power[power > 0] / power.sum()
+    return float(-(p * np.log2(p)).sum() / np.log2(len(power)))
+
+
+def svd_entropy_of(x: np.ndarray, order: int = 3) -> float:
+    """Entropy of the singular values of the matrix of delays, over its greatest value."""
+    s = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(x, order), compute_uv=False)
+    s = s[s > 0] / s.sum() if s.sum() else s[:0]
+    return float(-(s * np.log2(s)).sum() / np.log2(order))
+
+
+def close_counts(x: np.ndarray, m: int, r: float) -> np.ndarray:
+    """For each run of m values the number of runs, itself included, that stay within r of it everywhere."""
+    t = np.lib.stride_tricks.sliding_window_view(x, m)
+    return (np.abs(t[:, None] - t[None, :]).max(axis=2) <= r).sum(axis=1)
+
+
+def approximate_entropy_of(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
+    phi = [np.log(c / len(c)).mean() for c in (close_counts(x, k, r * x.std()) for k in (m, m + 1))]
+    return float(phi[0] - phi[1])
+
+
+def plain_sample_entropy_of(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
+    """Without smoothing: infinite where no longer run matches, 0 where no run matches."""
+    b = int(close_counts(x[:-1], m, r * x.std()).sum()) - (len(x) - m)
+    a = int(close_counts(x, m + 1, r * x.std()).sum()) - (len(x) - m)
+    return float(-np.log(a / b)) if a else (float("inf") if b else 0.0)
+
+
+#: Entropies of a window and the ranges (fixed values) that are cut in symbols.
+ENTROPIES = {
+    "perm": (perm_entropy_of, 0.8, 1.0), "spectral": (spectral_entropy_of, 0.3, 1.0), "svd": (svd_entropy_of, 0.2, 1.0),
+    "approximate": (approximate_entropy_of, 0.2, 1.8), "sample": (plain_sample_entropy_of, 0.2, 2.2),
+}
+
+
+def entropy_symbols_of(x: np.ndarray, levels: int) -> dict[str, int]:
+    """The symbol of every entropy: its place among equal steps of the range, within it at either end."""
+    out = {}
+    for name, (fn, lo, hi) in ENTROPIES.items():
+        v = fn(x)
+        out[name] = levels - 1 if v == float("inf") else int(min(max(np.floor((v - lo) / ((hi - lo) / levels)), 0), levels - 1))
+    return out
+
+
+def entropy37_of(x: np.ndarray) -> dict[str, float]:
+    """Sample entropies of the two widest detail bands at two radii, permutation entropies of five bands at three orders, and
+    Shannon, Renyi and Tsallis entropies of the window and those bands."""
+    *details, _ = dwt_of(x, 7)
+    bands = {f"d{k}": details[k - 1] if k <= len(details) else np.zeros(1) for k in range(7, 2, -1)}
+    out = {f"samp_{i}_{k}": sample_entropy_of(bands[k], 2, r) for i, r in ((1, 0.2), (2, 0.35)) for k in ("d7", "d6")}
+    out |= {f"perm_{k}_{n}": perm_entropy_of(b, n) for k, b in bands.items() for n in (3, 5, 7)}
+    return out | {f"{name}_{k}": v for k, b in {"sig": x, **bands}.items() for name, v in shape(b).items()}
+
+
+def feature_set_of(x: np.ndarray, size: int, fs: float) -> dict[str, float]:
+    """37 entropies; 45: also the eight relative band powers; 46: also the mean amplitude; 54: all band powers."""
+    out = entropy37_of(x)
+    if size > 37:
+        out |= {k: v for k, v in band_powers_of(x, fs).items() if size == 54 or k.startswith("rel_")}
+    return out | ({"mean_ampl": float(np.abs(x).mean())} if size == 46 else {})
+
+
+def feature_set(df: DataFrame, keys: list[str], column: str, size: int, fs: float) -> DataFrame:
+    names = list(feature_set_of(np.arange(8.0), size, fs))
+    return per_array(df, keys, column, feature_set_of, dict.fromkeys(names, "double"), (size, fs))

@@ -48,9 +48,7 @@ def bundle_fast(enc: DataFrame, keys: list[str]) -> DataFrame:
 
     partial = enc.select(*keys, "hv").mapInPandas(run, schema)
     added = partial.select(*keys, "n", F.posexplode("acc")).groupBy(*keys, "pos").agg(F.sum("col").alias("a"), F.sum("n").alias("n"))
-    model = added.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("acc"), F.first("n").alias("n"))
-    word = lambda w: F.aggregate(F.transform(F.slice("acc", w * WORD + 1, WORD), lambda a, i: F.when(a > F.floor(F.col("n") / 2), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    return model.withColumn("hv", F.transform(F.sequence(F.lit(0), (F.size("acc") / WORD).cast("int") - 1), word))
+    return with_bits(added, keys)
 
 
 def updated(model: DataFrame, wrong: DataFrame, keys: list[str], factor: float = 1.0, subtract: bool = True) -> DataFrame:
@@ -167,12 +165,91 @@ def merge_candidates(model: DataFrame, keys: list[str], d: int, threshold: float
     return smallest.filter(F.col("m.best.dist") < threshold * F.col("m.mean")).select(*keys, "class", F.col("m.centroid").alias("centroid"), F.col("m.best.into").alias("into"), F.col("m.best.dist").alias("dist"))
 
 
+def merged_model(model: DataFrame, keys: list[str], d: int, threshold: float) -> DataFrame:
+    """One round of merging: of each class the smallest centroid's counters (keys, class, centroid, acc array, n, hv) are added
+    to those of the one that :func:`merge_candidates` names."""
+    pairs = merge_candidates(model, keys, d, threshold).select(*keys, "class", "centroid", "into")
+    moved = model.join(pairs, [*keys, "class", "centroid"], "left").withColumn("centroid", F.coalesce("into", "centroid")).drop("into")
+    return with_bits(moved.select(*keys, "class", "centroid", "n", F.posexplode("acc")).groupBy(*keys, "class", "centroid", "pos").agg(F.sum("col").alias("a"), F.sum("n").alias("n")), [*keys, "class", "centroid"])
+
+
+def with_bits(counters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, acc array, n, hv) from counters (keys, pos, a, n); a bit is set where the counter is over half of n."""
+    model = counters.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("acc"), F.first("n").alias("n"))
+    word = lambda w: F.aggregate(F.transform(F.slice("acc", w * WORD + 1, WORD), lambda a, i: F.when(a > F.floor(F.col("n") / 2), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return model.withColumn("hv", F.transform(F.sequence(F.lit(0), (F.size("acc") / WORD).cast("int") - 1), word))
+
+
+def reduce_by_merging(model: DataFrame, keys: list[str], d: int, threshold: float, keep) -> DataFrame:
+    """Rounds of merging until no class has a candidate. ``keep`` stores the model between rounds and reads it back. Each round
+    takes one centroid from a class, so there are fewer rounds than centroids; pairs are of the centroids of one class."""
+    model = keep(model)
+    while not merge_candidates(model, keys, d, threshold).isEmpty():
+        model = keep(merged_model(model, keys, d, threshold))
+    return model
+
+
+def stops(improvements: list[float], since_start: float, least: float) -> bool:
+    """The rule of retraining: worse than at the start, the last three gains all under the limit in size, or none of them a gain."""
+    last = improvements[-3:]
+    return since_start < 0 or len(last) == 3 and (all(abs(x) < least for x in last) or all(x <= 0 for x in last))
+
+
+def retrain_until(model: DataFrame, one_pass, score, keep, most: int = 31, least: float = 0.001) -> tuple[DataFrame, int, list[float]]:
+    """Passes until the rule says stop: the best model, its pass, and the scores of all passes."""
+    model = keep(model)
+    scores, best = [score(model)], (model, 0)
+    while len(scores) < most and not (len(scores) > 1 and stops([b - a for a, b in zip(scores, scores[1:])], scores[-1] - scores[0], least)):
+        model = keep(one_pass(model))
+        scores.append(score(model))
+        if scores[-1] > max(scores[:-1]):
+            best = (model, len(scores) - 1)
+    return *best, scores
+
+
+def knn(train: DataFrame, test: DataFrame, k: int, key: str, features: str = "v", label: str = "label") -> DataFrame:
+    """(key, pred, p) of the k nearest training rows by squared distance of integer features, ties to the smaller key; the
+    label voted (the smallest, if tied) and its share. Every test row meets every training row: the training rows are a
+    bounded set that the caller chose, sent to the tasks as Spark sees fit."""
+    near = F.aggregate(F.zip_with("v", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
+    pairs = test.select(key, F.col(features).alias("v")).join(train.select(F.col(key).alias("_key"), F.col(features).alias("_v"), F.col(label).alias("_label")), F.size("v") == F.size("_v"))
+    from pyspark.sql import Window as W
+
+    first = pairs.select(key, "_key", "_label", near.alias("d")).withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "_key"))).filter(F.col("_r") <= k)
+    votes = first.groupBy(key, "_label").agg(F.count("*").alias("c"), F.min(-F.col("_label")).alias("_order"))
+    best = votes.groupBy(key).agg(F.max(F.struct("c", "_order", "_label")).alias("b"), F.sum("c").alias("n"))
+    return best.select(key, F.col("b._label").alias("pred"), (F.col("b.c") / F.col("n")).alias("p"))
+
+
+class Bagging:
+    """Trees fitted to seeded samples, drawn with replacement, of the training rows; their votes are averaged."""
+
+    def __init__(self, train: DataFrame, trees: int, features: str, label: str):
+        from pyspark.ml.classification import DecisionTreeClassifier
+
+        learner = DecisionTreeClassifier(maxDepth=5, seed=1, featuresCol=features, labelCol=label)
+        self.models = [learner.fit(train.sample(True, 1.0, i)) for i in range(trees)]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        for i, m in enumerate(self.models):
+            df = m.transform(df).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+        names = [f"_p{i}" for i in range(len(self.models))]
+        widest = F.greatest(*[F.size(n) for n in names]) if len(names) > 1 else F.size(names[0])
+        mean = F.transform(F.sequence(F.lit(0), widest - 1), lambda c: sum((F.coalesce(F.get(n, c), F.lit(0.0)) for n in names), F.lit(0.0)) / len(names))
+        out = df.withColumn("_mean", mean).withColumn("prediction", (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double"))
+        return out.withColumn("probability", array_to_vector("_mean")).drop("_mean", *names)
+
+
 def baseline(train: DataFrame, kind: str, features: str = "features", label: str = "label"):
-    """A fitted classifier of Spark's library."""
+    """A fitted classifier of Spark's library (boosting and svm: two classes); see :func:`knn` for nearest neighbours."""
     from pyspark.ml import classification as c
 
+    if kind == "bagging":
+        return Bagging(train, 10, features, label)
     made = {
-        "tree": lambda: c.DecisionTreeClassifier(maxDepth=5, seed=1), "forest": lambda: c.RandomForestClassifier(numTrees=20, seed=1),
-        "bagging": lambda: c.RandomForestClassifier(numTrees=20, featureSubsetStrategy="all", seed=1), "boosting": lambda: c.GBTClassifier(maxIter=5, seed=1), "svm": lambda: c.LinearSVC(maxIter=10),
+        "tree": lambda: c.DecisionTreeClassifier(maxDepth=5, seed=1), "forest": lambda: c.RandomForestClassifier(numTrees=100, seed=1),
+        "boosting": lambda: c.GBTClassifier(maxIter=5, seed=1), "svm": lambda: c.LinearSVC(maxIter=10),
     }[kind]()
     return made.setParams(featuresCol=features, labelCol=label).fit(train)

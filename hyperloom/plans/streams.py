@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,8 +25,17 @@ from hyperloom.streaming import operators as st
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hyperloom-")
-    return f"{root}/hyperloom-{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="hyperloom-")
+    path = f"{root}/hyperloom-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)  # with the application
+    return f"{path}/rows"
 
 
 def streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,9 +46,9 @@ def streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has sent when all input there is has been read."""
     out = scratch(stream.sparkSession, "stream")
-    save = lambda df, i: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    save = lambda df, i: df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")  # a batch that is run again replaces its rows
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 def samples(spark, sf):
@@ -78,7 +88,7 @@ def levels_bounds(spark, sf):
     return e.agg(all_of("lo"), all_of("hi"))
 
 
-@query()
+@query("SELECT label AS class, u.pos::INT AS pos, sum((embedding[u.pos + 1] > 0)::INT)::BIGINT AS acc, count(*) AS n FROM embeddings, unnest(range(0, 64)) AS u(pos) GROUP BY 1, 2")
 def str4_train_stream(spark, sf):
     """Every batch of a stream of vectors adds its bundle to the model; the last version is returned."""
     bundle = lambda df: tr.train_bundle(df, ["class"]).select("class", "pos", "acc", "n")
@@ -188,24 +198,32 @@ def trn9_retrain_centroids(spark, sf):
     return model.select("fold", "class", "centroid", "n").join(change.groupBy("fold", "class", "centroid").agg(F.sum("c").alias("change")), ["fold", "class", "centroid"], "left").fillna(0, ["change"])
 
 
+def kept(spark, label):
+    """Writes a model and reads it back: each pass starts from a stored one."""
+
+    def keep(model: DataFrame) -> DataFrame:
+        path = scratch(spark, label)
+        model.write.parquet(path)
+        return spark.read.schema(model.schema).parquet(path)
+
+    return keep
+
+
 @query()
-def trn10_retrain_until(spark, sf, most: int = 4):
-    """Passes over wrong windows until the share of right ones no longer grows; the best pass is returned."""
-    enc = encoded(spark, sf).persist()
-    rows = packed(enc, "win", "label").persist()
-    model, best = model_of(enc).withColumns({"acc": F.col("acc").cast("double"), "n": F.col("n").cast("double")}), None
-    for i in range(most):
-        path = scratch(spark, "pass")
-        model.write.parquet(path)  # each pass starts from a stored model
-        model = spark.read.parquet(path)
-        pred = pr.predict(pr.distances(rows, packed(model, "class"), ["win", "label"]), ["win", "label"])
-        right = pred.agg(F.avg((F.col("pred") == F.col("label")).cast("int"))).first()[0]
-        if best and right <= best[0]:
-            break
-        best = (right, model, i)
-        wrong = enc.join(pred.select("win", "pred"), "win").filter("pred <> label").withColumn("weight", F.lit(1.0))
-        model = tr.updated(model, wrong, [])
-    return best[1].withColumns({"pass": F.lit(best[2]), "right": F.lit(best[0])})
+def trn10_retrain_until(spark, sf):
+    """Passes over wrong windows, 31 at most, until the rule of the last three gains says stop; the best pass is returned."""
+    enc = kept(spark, "encoded")(encoded(spark, sf))
+    rows = kept(spark, "packed")(packed(enc, "win", "label"))
+    predicted = lambda model: pr.predict(pr.distances(rows, packed(model, "class"), ["win", "label"]), ["win", "label"])
+    score = lambda model: predicted(model).agg(F.avg((F.col("pred") == F.col("label")).cast("int"))).first()[0]
+
+    def one_pass(model: DataFrame) -> DataFrame:
+        wrong = enc.join(predicted(model).select("win", "pred"), "win").filter("pred <> label").withColumn("weight", F.lit(1.0))
+        return tr.updated(model, wrong, [])
+
+    first = model_of(enc).withColumns({"acc": F.col("acc").cast("double"), "n": F.col("n").cast("double")})
+    model, at, scores = tr.retrain_until(first, one_pass, score, kept(spark, "pass"))
+    return model.withColumns({"pass": F.lit(at), "right": F.lit(scores[at])})
 
 
 @query(f"WITH {DIST}, x AS (SELECT e.label, e.pos, e.bit FROM enc e JOIN pred p USING (win) WHERE p.pred <> e.label AND e.label <> 0), g AS (SELECT label AS class, pos, sum(bit) AS da, count(*) AS dn FROM x GROUP BY 1, 2) SELECT m.class, m.pos, (m.acc + coalesce(da, 0))::DOUBLE AS acc, (m.n + coalesce(dn, 0))::DOUBLE AS n FROM m LEFT JOIN g USING (class, pos)")

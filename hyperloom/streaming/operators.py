@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,9 +69,42 @@ def smoothed_events(stream: DataFrame, keys: list[str], length: int, share: floa
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "recent string, at long, start long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def evidence_events(stream: DataFrame, keys: list[str], length: int, threshold: float, gap: int, silent: str, late: str = "0 seconds") -> DataFrame:
+    """Events of places where the log ratio of the last ``length`` probabilities reaches the threshold: sent once ``gap``
+    places without follow, or when event time has passed a key's last row by ``silent``. The stream has keys, ts, win, y, p.
+    State: the last probabilities, the place, and the open event; it goes when a key falls silent."""
+    types = dict(stream.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start long, stop long"
+    wait = int(pd.Timedelta(silent).total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, at, start, last = (list(x) if i == 0 else x for i, x in enumerate(state.get)) if state.exists else ([], 0, -1, -1)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, start, last + 1)] if start >= 0 else [], columns=[*keys, "start", "stop"])
+            return
+        pdf = pd.concat(list(frames)).sort_values(["ts", "win"])
+        for y, p in zip(pdf["y"], pdf["p"], strict=True):
+            recent = [*recent, float(p if y else 1 - p)][-length:]
+            up, down = math.prod(recent), math.prod(1 - x for x in recent)
+            if at + 1 >= length and math.log((up + 1e-8) / (down + 1e-8)) >= threshold:
+                start, last = (at if start < 0 else start), at
+            elif start >= 0 and at - last >= gap:
+                out.append((*key, start, last + 1))
+                start = -1
+            at += 1
+        state.update((recent, at, start, last))
+        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame(out, columns=[*keys, "start", "stop"])
+
+    held = "recent array<double>, at long, start long, last long"
+    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def sessions(stream: DataFrame, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
     """Runs of positive rows no farther apart than a gap, by the built-in session window."""
     return stream.filter("y = 1").withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
 
 
-__all__ = ["predict", "running_normaliser", "score_stream", "sessions", "smoothed_events", "train_stream", "window_features"]
+__all__ = ["evidence_events", "predict", "running_normaliser", "score_stream", "sessions", "smoothed_events", "train_stream", "window_features"]
