@@ -1,10 +1,12 @@
 """Exact top-k by integer inner product: KD-trees per shard with best-first traversal.
 
-Vectors are dealt to shards by a hash of their id, queries to blocks. In a task a shard's vectors are split at medians
-of their widest dimension into leaves with tight bounding boxes, and every query walks its tree best box first: the bound
-of a box is the largest inner product with any point in it, and a box whose bound is under the query's kth score (so far, or
-carried over from a first round against one shard) ends the walk. All vectors within the last box are compared, so the
-result is exact. A query's scores from the shards are merged by rank.
+Vectors are dealt to shards by median splits of a bounded sample, so a shard holds neighbours; a leaf of the splits with more
+than SHARD vectors (equal ones, say) is dealt on by a hash of their ids. In a task a shard's vectors are split at medians of
+their widest dimension into leaves with tight bounding boxes, and every query walks its tree best box first: the bound of a
+box is the largest inner product with any point in it, and a box whose bound is under the query's kth score (so far, or
+carried over from a first round against its own shard) ends the walk. After the first round a query goes only to shards
+whose box reaches its kth score, and a shard only to the blocks of queries that ask for it. All vectors within the last box
+are compared, so the result is exact whatever the sample was. A query's scores from the shards are merged by rank.
 
 Defined results: components become floor(scale * x) as double; null vectors and vectors holding null or non-finite
 components take no part, neither do vectors of another length than the most frequent one (the longest, if tied); ties go to
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from hyperloom.llm.common import stored
 
-#: Vectors in a shard, queries in a block, vectors in a leaf.
-SHARD, BLOCK, LEAF = 8192, 2048, 64
+#: Vectors in a shard, queries in a block, vectors in a leaf, boxes that a block of queries is compared with at once.
+SHARD, BLOCK, LEAF, BOXES = 8192, 2048, 64, 1024
+#: Vectors drawn for the splits, at most about so many, and the least of them in a leaf of the splits.
+SAMPLE, DRAWN = 1 << 16, 8
 
 
 class Tree:
@@ -108,25 +112,111 @@ def search_shards(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score long")
 
 
+def splits(points: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (axis, cut, node under the cut, other node) of median splits of the widest dimensions; a leaf has no axis (-1)."""
+    nodes, todo = [(-1, 0.0, 0, 0)], [(0, np.arange(len(points)))]
+    while todo and 2 * leaves > len(nodes) + 1:
+        at, own = todo.pop(0)  # the largest parts come first
+        if len(own) < 2 * DRAWN:
+            continue
+        part = points[own]
+        axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        cut = float(np.median(part[:, axis]))
+        under = part[:, axis] < cut
+        if not under.any():
+            continue
+        nodes[at] = (axis, cut, len(nodes), len(nodes) + 1)
+        todo += [(len(nodes), own[under]), (len(nodes) + 1, own[~under])]
+        nodes += [(-1, 0.0, x, x) for x in (len(nodes), len(nodes) + 1)]
+    return nodes
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Adds shard (long) to rows (id, v)."""
+    spark = rows.sparkSession
+    leaves = min(-(-n // SHARD), SAMPLE // DRAWN)
+    share = min(1.0, SAMPLE / max(n, 1))
+    drawn = rows.filter(F.shiftrightunsigned(F.xxhash64("id", F.lit(11)), 11) < F.lit(int(share * (1 << 53)))).select("v").limit(2 * SAMPLE) if leaves > 1 else None
+    nodes = splits(stacked(drawn), leaves) if drawn is not None else [(-1, 0.0, 0, 0)]
+    sent = spark.sparkContext.broadcast(tuple(np.array(x) for x in zip(*nodes)))  # at most two nodes for each leaf
+    schema = "id long, v array<double>, leaf int"
+
+    def run(frames):
+        axis, cut, low, high = sent.value
+        for pdf in frames:
+            at = np.zeros(len(pdf), dtype=np.int64)
+            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+            while (open_ := axis[at] >= 0).any():
+                under = x[np.arange(len(x)), np.maximum(axis[at], 0)] < cut[at]
+                at = np.where(open_, np.where(under, low[at], high[at]), at)
+            yield pdf.assign(leaf=at.astype(np.int32))
+
+    placed = stored(rows.mapInPandas(run, schema), "dealt")
+    parts = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts")))  # a row for each leaf
+    return placed.join(parts, "leaf").select((F.col("leaf").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts"))).alias("shard"), "id", "v")
+
+
+def stacked(drawn: DataFrame) -> np.ndarray:
+    vectors = [r.v for r in drawn.toLocalIterator()]
+    return np.array(vectors) if vectors else np.zeros((0, 1))
+
+
+def boxes_of(held: DataFrame) -> DataFrame:
+    """(shard, low, high) of every shard: bounds of a batch first, then of all."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for shard, own in pdf.groupby("shard"):
+                x = np.stack(own["v"].to_numpy())
+                out.append((shard, x.min(axis=0), x.max(axis=0)))
+            yield pd.DataFrame(out, columns=["shard", "low", "high"])
+
+    partial = held.select("shard", "v").mapInPandas(run, "shard long, low array<double>, high array<double>")
+    ends = partial.select("shard", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b")).groupBy("shard", "i").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c]).alias(c)
+    return ends.groupBy("shard").agg(in_order("low"), in_order("high"))
+
+
+def reached(asks: DataFrame, boxes: DataFrame, blocks: int, groups: int) -> DataFrame:
+    """(shard, block, id) of every query and other shard whose box reaches the query's kth score."""
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    boxes = boxes.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).withColumn("block", every(blocks))
+    asks = asks.select("block", "id", "v", "least", F.col("shard").alias("home")).withColumn("part", every(groups))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"shard": pd.Series(dtype="int64"), "block": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64")})
+        q, low, high = (np.stack(x.to_numpy()) for x in (left["v"], right["low"], right["high"]))
+        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        near = bounds >= np.nan_to_num(left["least"].to_numpy(float), nan=-np.inf)[:, None]
+        near &= left["home"].to_numpy()[:, None] != right["shard"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"shard": right["shard"].to_numpy()[j], "block": left["block"].to_numpy()[i], "id": left["id"].to_numpy()[i]})
+
+    return asks.groupBy("block", "part").cogroup(boxes.groupBy("block", "part")).applyInPandas(run, "shard long, block int, id long")
+
+
 def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """For each row whose key is divisible by ``every``: query_id, rank from 1, vec_id and score of its k best others."""
     rows = stored(whole_vectors(df, key, vector, scale), "vectors")
     n = rows.count()
-    shards = max(1, -(-n // SHARD))
+    held = stored(dealt(rows, n), "shards")
     blocks = max(1, -(-n // (every * BLOCK)))
-    dealt = lambda x, m: F.pmod(F.xxhash64(x, F.lit(7)), F.lit(m)).cast("int")
-    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     none = F.lit(None).cast("double").alias("least")
-    held = rows.select(dealt("id", shards).alias("shard"), "id", "v").select("shard", all_of(blocks).alias("block"), "id", "v", F.lit(False).alias("ask"), none)
-    asks = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).withColumn("block", dealt("id", blocks))
-    # first round: one shard for each block of queries; its kth score is a bound for all the others
-    home = F.pmod("block", F.lit(shards)).cast("int")
-    first = asks.select(home.alias("shard"), "block", "id", "v", F.lit(True).alias("ask"), none)
-    tried = search_shards(held.filter(F.col("shard") == F.pmod("block", F.lit(shards))).unionByName(first), k)
-    begun = stored(tried, "first-shard")
+    asks = stored(held.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("shard", "v")).alias("one")).select("id", "one.*"), "queries")
+    asks = asks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # first round: its own shard, whose kth score is a bound for all the others
+    home = held.select("shard", F.lit(0).alias("block"), "id", "v", F.lit(False).alias("ask"), none)
+    begun = stored(search_shards(home.unionByName(asks.select("shard", F.lit(0).alias("block"), "id", "v", F.lit(True).alias("ask"), none)), k), "first-shard")
     kth = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).select(F.col("query_id").alias("id"), F.when(F.col("n") == k, F.col("kth")).alias("least"))
-    others = asks.join(kth, "id", "left").select(all_of(shards).alias("shard"), "block", "id", "v", F.lit(True).alias("ask"), "least")
-    elsewhere = lambda x: x.filter(F.col("shard") != F.pmod("block", F.lit(shards)))
-    found = begun if shards == 1 else begun.unionByName(search_shards(elsewhere(held).unionByName(elsewhere(others)), k))
+    boxes = stored(boxes_of(held), "boxes")
+    shards, found = boxes.count(), begun
+    if shards > 1:
+        bounded = stored(asks.join(kth, "id", "left"), "bounded")
+        pairs = stored(reached(bounded, boxes, blocks, -(-shards // BOXES)), "reached")
+        wanted = held.join(pairs.select("shard", "block").distinct(), "shard").select("shard", "block", "id", "v", F.lit(False).alias("ask"), none)
+        asked = pairs.join(bounded.select("id", "v", "least"), "id").select("shard", "block", "id", "v", F.lit(True).alias("ask"), "least")
+        found = begun.unionByName(search_shards(wanted.unionByName(asked), k))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
