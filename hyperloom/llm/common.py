@@ -22,6 +22,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with other names for columns that start with an underscore, as those that operators use inside do, and the
+    way back for withColumnsRenamed."""
+    names = {c: f"extra{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+    return df.withColumnsRenamed(names), {b: a for a, b in names.items()}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only in local mode a temporary one is set if the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

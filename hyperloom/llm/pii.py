@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import text_or_empty, without
+from hyperloom.llm.common import set_apart, text_or_empty, without
 
 # The base kinds in their order and their patterns. Possessive forms match what the plain ones do: nothing
 # that follows could use what they give back. A local part or a number only starts where its run starts (or a match ended).
@@ -300,6 +300,7 @@ def report(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
 
 def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """The rows with each span, or run of overlapping spans, replaced by its first kind in brackets; nulls stay null."""
+    df, names = set_apart(df)
     columns = df.columns
     out = detect(df, text=text, model=model).withColumn("_spans", F.array_sort(F.concat("base", "added")))
     start = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
@@ -315,4 +316,4 @@ def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
     between = F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
     marks = F.concat(F.transform("_merged", lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
     clean = F.array_join(F.zip_with(between, marks, lambda a, b: F.concat(a, b)), "")
-    return out.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns)
+    return out.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns).withColumnsRenamed(names)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import WHITE_SPACE, stored, text_or_empty, without, words_of
+from hyperloom.llm.common import WHITE_SPACE, set_apart, stored, text_or_empty, without, words_of
 
 #: A line is frequent in more distinct documents of its host than this,
 DOCUMENTS = 10
@@ -120,9 +120,10 @@ def verdicts(df: DataFrame, **options) -> DataFrame:
 
 
 def clean(df: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The rows kept, with the columns they had, and their texts without the lines removed."""
+    """The rows kept, with the columns they had (but those that a verdict adds, which are replaced), and their texts without the lines removed."""
+    df, names = set_apart(df)
     columns = df.columns
     # the number of the row keeps the filter above the verdict: pushed below, it would repeat all that leads to it
     out = judged(df, text=text, **options).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")
     left = F.array_join(F.transform(F.filter(F.arrays_zip(F.col("_raw").alias("raw"), F.col("_gone").alias("gone")), lambda x: ~x["gone"]), lambda x: x["raw"]), "\n")
-    return out.withColumn(text, F.when(F.col("n_removed_words") > 0, left).otherwise(F.col(text))).select(*columns)
+    return out.withColumn(text, F.when(F.col("n_removed_words") > 0, left).otherwise(F.col(text))).select(*columns).withColumnsRenamed(names)
