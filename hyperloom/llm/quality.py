@@ -3,8 +3,9 @@
 Everything is DataFrame functions. A line is normalised (letters only, lower case) and hashed. Within a host its distinct
 documents are counted, documents of equal text once. A line above both limits, an absolute one and a share of the host's
 distinct documents, is removed from every document but the first (smallest key) that has it. A document of which too
-little is left is depleted and rejected. A host can have no more such lines than its lines for each document divided by the
-share, so the list of a host fits in a row; counts are combined before they are shuffled.
+little is left is depleted and rejected. Frequent lines are joined to the lines of distinct texts, salted by the text, and come back
+as one list for each text that has some, which is no longer than the text's own lines. Counts are combined before they are
+shuffled; copies of one text are left to Spark's splitting of skewed joins. Texts are told apart by 64-bit hashes.
 
 Defined results: null text is empty (no words, base_failed); a null host is a host of its own; repeated rows are judged
 alike and count once; extra columns stay in :func:`clean`, and ones that clash with added columns are replaced; lines
@@ -26,6 +27,8 @@ SHARE = 0.005
 LEFT_SHARE, LEFT_WORDS = 0.4, 25
 #: Bits for a place in a list of windows; longer lists take the plain form of the same step.
 PLACE = 21
+#: Parts that the texts having one frequent line are joined in.
+SALTS = 16
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
@@ -37,15 +40,19 @@ def covered(places: Column) -> Column:
     return F.when(n > 0, F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x) + 3).otherwise(F.lit(0).cast("long"))
 
 
+def raw_lines(body: Column) -> Column:
+    """The lines that have a word, as they are."""
+    return F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE_SPACE))) > 0)
+
+
 def measured(df: DataFrame, *, text: str = "text") -> DataFrame:
     """The base counts of every row and its lines: raw, hash of the normalised line (null without letters), words."""
     body = text_or_empty(text)
     out = df.withColumns({"_text": body, "_words": words_of(body)})
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE_SPACE))) > 0)
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     n = F.size("_words")
     no_longs = F.array().cast("array<bigint>")
-    out = out.withColumns({"_raw": lines, "_windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(no_longs)})
+    out = out.withColumns({"_raw": raw_lines(F.col("_text")), "_windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(no_longs)})
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
@@ -84,29 +91,33 @@ def hashed_lines(raw: str | Column) -> Column:
 
 
 def frequent_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", documents: int = DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """One row per host: its name and lists of the hashes of frequent lines and of the first document of each."""
+    """One row per host and distinct text (its hash, same) that has frequent lines: the list of their hashes, each with the
+    first document of the line."""
     body = text_or_empty(text)
-    lines = F.array_distinct(F.transform(F.split(body, "\n", -1), normalised))
-    found = df.select(F.col(host).alias("host"), F.col(key).alias("key"), F.xxhash64(body).alias("same"), F.explode(lines).alias("line"))
-    found = found.filter(F.length("line") > 0).select("host", F.xxhash64("line").alias("h"), "same", "key")
-    texts = df.groupBy(F.col(host).alias("host"), F.xxhash64(body).alias("same")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
-    once = found.groupBy("host", "h", "same").agg(F.min("key").alias("key"))
-    counted = once.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter(F.col("n") > documents)
-    above = counted.alias("c").join(texts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).filter(F.col("n") > share * F.col("texts"))
-    return above.groupBy("c.host").agg(F.collect_list(F.struct("h", "first")).alias("lines"))
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(body, "\n", -1), normalised), lambda x: F.length(x) > 0), lambda x: F.xxhash64(x)))
+    # a null beside the lines of every text counts the texts of a host
+    lines = F.concat(lines, F.array(F.lit(None).cast("long")))
+    found = df.select(F.col(host).alias("host"), F.col(key).alias("key"), F.xxhash64(body).alias("same"), F.explode(lines).alias("h"))
+    once = stored(found.groupBy("host", "h", "same").agg(F.min("key").alias("first")), "lines-of-texts")
+    counted = once.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    texts = counted.filter(F.col("h").isNull()).select(F.col("host").alias("of"), F.col("n").alias("texts"))
+    above = counted.filter(F.col("h").isNotNull() & (F.col("n") > documents)).join(texts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > share * F.col("texts"))
+    above = stored(above.select(F.col("host").alias("of"), F.col("h").alias("line"), F.col("first")), "frequent-lines").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = once.select("host", "h", "same").filter(F.col("h").isNotNull())
+    hits = rows.join(above, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line")) & (F.pmod("same", F.lit(SALTS)) == F.col("salt")))
+    return hits.groupBy("host", "same").agg(F.collect_list(F.struct("h", "first")).alias("lines"))
 
 
 def judged(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", documents: int = DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """The rows with their base counts, n_removed_words, the verdict kept, and _raw and _gone: lines and which of them go."""
+    """The rows with their base counts, n_removed_words, the verdict kept, and _gone: which of the raw lines go."""
     df = without(df, *ADDED)
-    frequent = stored(frequent_lines(df, key=key, text=text, host=host, documents=documents, share=share), "frequent-lines")
-    frequent = frequent.select(F.col("host").alias("_host"), F.col("lines").alias("_frequent"), F.transform("lines", lambda x: x["h"]).alias("_hashes"))
-    out = measured(df, text=text).withColumn("_lines", hashed_lines("_raw"))
-    out = out.join(frequent, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
-    known = F.coalesce("_hashes", F.array().cast("array<bigint>"))
-    out = out.withColumn("_hashes", known)
-    gone = lambda x: F.coalesce(F.array_contains("_hashes", x["h"]), F.lit(False)) & ~F.exists("_frequent", lambda f: (f["h"] == x["h"]) & (f["first"] == F.col(key)))
-    out = out.withColumn("_gone", F.transform("_lines", gone))
+    frequent = frequent_lines(df, key=key, text=text, host=host, documents=documents, share=share)
+    frequent = frequent.select(F.col("host").alias("_host"), F.col("same").alias("_text_hash"), F.col("lines").alias("_frequent"))
+    out = measured(df.withColumn("_same", F.xxhash64(text_or_empty(text))), text=text).withColumn("_lines", hashed_lines("_raw")).drop("_raw")
+    out = out.join(frequent, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_same") == F.col("_text_hash")), "left").drop("_host", "_same", "_text_hash")
+    # a document without a key is never the first, and keeps its lines
+    out = out.withColumn("_hashes", F.transform(F.filter("_frequent", lambda f: f["first"] != F.col(key)), lambda f: f["h"]))
+    out = out.withColumn("_gone", F.transform("_lines", lambda x: F.coalesce(F.array_contains("_hashes", x["h"]), F.lit(False))))
     removed = F.aggregate(F.zip_with("_lines", "_gone", lambda x, g: F.when(g, x["w"]).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
     out = out.withColumn("n_removed_words", removed)
     left = F.col("n_words") - F.col("n_removed_words")
@@ -116,7 +127,7 @@ def judged(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str
 
 def verdicts(df: DataFrame, **options) -> DataFrame:
     """The rows with their counts and verdict."""
-    return judged(df, **options).drop("_raw", "_gone")
+    return judged(df, **options).drop("_gone")
 
 
 def clean(df: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -125,5 +136,5 @@ def clean(df: DataFrame, *, text: str = "text", **options) -> DataFrame:
     columns = df.columns
     # the number of the row keeps the filter above the verdict: pushed below, it would repeat all that leads to it
     out = judged(df, text=text, **options).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")
-    left = F.array_join(F.transform(F.filter(F.arrays_zip(F.col("_raw").alias("raw"), F.col("_gone").alias("gone")), lambda x: ~x["gone"]), lambda x: x["raw"]), "\n")
+    left = F.array_join(F.transform(F.filter(F.arrays_zip(raw_lines(text_or_empty(text)).alias("raw"), F.col("_gone").alias("gone")), lambda x: ~x["gone"]), lambda x: x["raw"]), "\n")
     return out.withColumn(text, F.when(F.col("n_removed_words") > 0, left).otherwise(F.col(text))).select(*columns).withColumnsRenamed(names)
