@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hyperloom.functions.hv import WORD, hv_distance
+from hyperloom.functions.hv import WORD
 
 SEED = "42"
 
@@ -71,6 +71,8 @@ def packed(bits: DataFrame, *keys: str) -> DataFrame:
 
 
 def im_similarity(memory: DataFrame, d: int) -> DataFrame:
-    """Mean share of different bits over pairs of basis vectors (a fixed number of rows)."""
-    pairs = memory.alias("a").join(memory.alias("b"), F.col("a.idx") < F.col("b.idx"))
-    return pairs.agg(F.avg(hv_distance("a.hv", "b.hv") / F.lit(d)).alias("mean_difference"))
+    """Mean share of different bits over all pairs of basis vectors (rows idx, pos, bit). A place with c ones among k vectors
+    differs in c * (k - c) pairs, so no pair is made."""
+    ones = memory.groupBy("pos").agg(F.sum("bit").alias("c"), F.count("*").alias("k"))
+    pairs = F.max(F.col("k") * (F.col("k") - 1) / 2)
+    return ones.agg((F.sum(F.col("c") * (F.col("k") - F.col("c"))) / F.nullif(pairs, F.lit(0.0)) / F.lit(d)).alias("mean_difference"))

@@ -15,14 +15,23 @@ from hyperloom.operators import smooth as sm
 from hyperloom.operators import train as tr
 from hyperloom.plans.registry import DIST, ENC, IM, LEVELS, LV, MODEL, D, Y, bit_sql, distances_of, encoded, hv_sql, levels, model_of, query, rounded, shown, stream_of, table
 
-# ---- item memories and vector functions: every part key (or vector) gets a vector by its remainder
+# ---- item memories and vector functions: a vector for every supplier, or for every part the vector of its size's level
 
-ROWS = "k AS (SELECT DISTINCT l_suppkey % 12 AS idx FROM lineitem), p AS (SELECT unnest(range(0, 64))::INT AS pos), g AS (SELECT idx::INT AS idx, pos FROM k, p)"
+ROWS = "k AS (SELECT s_suppkey::INT AS idx FROM supplier), p AS (SELECT unnest(range(0, 64))::INT AS pos), g AS (SELECT idx, pos FROM k, p)"
+#: Sizes of parts are levels 1 to 50, so a level inverts 64 // 50 = 1 more place than the one before.
+SIZES = 50
+BY_SIZE = f"k AS (SELECT p_partkey, p_size - 1 AS idx FROM part), p AS (SELECT unnest(range(0, 64))::INT AS pos), o AS (SELECT i::INT AS idx, pos FROM unnest(range(0, {SIZES})) AS u(i), p)"
 
 
 def memory(spark, sf, how, **options):
-    idx = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 12).cast("int").alias("idx")).distinct()
-    return item_memory(spark, how, "item", 12, D, **options).join(idx, "idx")
+    idx = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("idx"))
+    k = (idx.agg(F.max("idx")).first()[0] or 0) + 1
+    return item_memory(spark, how, "item", k, D, **options).join(idx, "idx")
+
+
+def by_size(spark, sf, how):
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 1).alias("idx"))
+    return parts.join(F.broadcast(shown(item_memory(spark, how, "item", SIZES, D), "idx")), "idx").select("p_partkey", "hv")
 
 
 @query(f"WITH {ROWS} " + hv_sql(f"SELECT idx, pos, {bit_sql('item', 'idx', 'pos')} AS bit FROM g", "idx"))
@@ -30,7 +39,7 @@ def hv1_random_memory(spark, sf):
     return shown(memory(spark, sf, "random"), "idx")
 
 
-SANDWICH = "CASE WHEN idx % 2 = 0 THEN idx WHEN pos < 32 THEN idx - 1 WHEN idx < 11 THEN idx + 1 ELSE idx END"
+SANDWICH = "CASE WHEN idx % 2 = 0 THEN idx WHEN pos < 32 THEN idx - 1 WHEN idx < (SELECT max(idx) FROM k) THEN idx + 1 ELSE idx END"
 
 
 @query(f"WITH {ROWS} " + hv_sql(f"SELECT idx, pos, {bit_sql('item', SANDWICH, 'pos')} AS bit FROM g", "idx"))
@@ -38,16 +47,16 @@ def hv2_sandwich_memory(spark, sf):
     return shown(memory(spark, sf, "sandwich"), "idx")
 
 
-@query(f"""WITH {ROWS}, o AS (SELECT i::INT AS idx, pos FROM unnest(range(0, 12)) AS u(i), p), r AS (SELECT idx, pos, row_number() OVER (PARTITION BY idx ORDER BY md5('42|item-flip|' || idx || '|' || pos), pos) AS r FROM o WHERE idx > 0 AND pos > 0),
-    f AS (SELECT o.idx, o.pos, sum(coalesce(r.r <= 5, false)::INT) OVER (PARTITION BY o.pos ORDER BY o.idx) AS n FROM o LEFT JOIN r ON o.idx = r.idx AND o.pos = r.pos) """
-       + hv_sql(f"SELECT idx, pos, (({bit_sql('item', '0', 'pos')} + n) % 2)::INT AS bit FROM f JOIN k USING (idx)", "idx"))
+@query(f"""WITH {BY_SIZE}, r AS (SELECT idx, pos, row_number() OVER (PARTITION BY idx ORDER BY md5('42|item-flip|' || idx || '|' || pos), pos) AS r FROM o WHERE idx > 0 AND pos > 0),
+    f AS (SELECT o.idx, o.pos, sum(coalesce(r.r <= {D // SIZES}, false)::INT) OVER (PARTITION BY o.pos ORDER BY o.idx) AS n FROM o LEFT JOIN r ON o.idx = r.idx AND o.pos = r.pos) """
+       + hv_sql(f"SELECT p_partkey, pos, (({bit_sql('item', '0', 'pos')} + n) % 2)::INT AS bit FROM f JOIN k USING (idx)", "p_partkey"))
 def hv3_scale_rand_memory(spark, sf):
-    return shown(memory(spark, sf, "scaleRand"), "idx")
+    return by_size(spark, sf, "scaleRand")
 
 
-@query(f"WITH {ROWS} " + hv_sql(f"SELECT idx, pos, CASE WHEN pos < idx * 5 THEN 1 - {bit_sql('item', '0', 'pos')} ELSE {bit_sql('item', '0', 'pos')} END AS bit FROM g", "idx"))
+@query(f"WITH {BY_SIZE} " + hv_sql(f"SELECT p_partkey, pos, CASE WHEN pos < idx * {D // SIZES} THEN 1 - {bit_sql('item', '0', 'pos')} ELSE {bit_sql('item', '0', 'pos')} END AS bit FROM o JOIN k USING (idx)", "p_partkey"))
 def hv4_scale_memory(spark, sf):
-    return shown(memory(spark, sf, "scaleNoRand"), "idx")
+    return by_size(spark, sf, "scaleNoRand")
 
 
 @query(f"WITH {ROWS} " + hv_sql(f"SELECT idx, pos, CASE WHEN pos < 64 - (idx % 4) * 16 THEN {bit_sql('item', 'idx // 4', 'pos')} ELSE {bit_sql('item', 'idx // 4 + 1', 'pos')} END AS bit FROM g", "idx"))
@@ -106,7 +115,7 @@ def hv12_soft_functions(spark, sf):
 
 @query(f"WITH {ROWS}, b AS (SELECT idx, pos, {bit_sql('item', 'idx', 'pos')} AS bit FROM g), d AS (SELECT x.idx, y.idx AS j, sum(xor(x.bit, y.bit)) / 64.0 AS d FROM b x JOIN b y ON x.pos = y.pos AND x.idx < y.idx GROUP BY 1, 2) SELECT round(avg(d), 6) AS mean_difference FROM d")
 def hv13_memory_similarity(spark, sf):
-    return rounded(im_similarity(packed(memory(spark, sf, "random"), "idx"), D), "mean_difference")
+    return rounded(im_similarity(memory(spark, sf, "random"), D), "mean_difference")
 
 
 # ---- encoders of embeddings: 8 channels, 8 features, 20 levels
