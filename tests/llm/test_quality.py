@@ -64,3 +64,12 @@ def test_frequent_lines(spark, host):
     assert quality.clean(df).columns == df.columns
     assert menu[0] in kept[0].text and menu[0] not in kept[1].text and kept[1].text == "\n".join(rows[1][1].split("\n")[7:-1])
     assert quality.clean(df.limit(0)).count() == 0
+
+
+def test_documents_without_a_key_keep_their_lines(spark):
+    rng = random.Random(2)
+    line = "the same words at the foot of every page"
+    rows = [(i if i < 14 else None, f"{prose(rng, 9)}\n{line}", "h") for i in range(16)] + [(i, f"{prose(rng, 9)}\n{line}", "few") for i in range(50, 60)]
+    got = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got)
+    assert {r.doc_id for r in got if r.n_removed_words} == set(range(1, 14))  # ten documents of a host aren't above the limit
