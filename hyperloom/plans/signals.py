@@ -285,7 +285,7 @@ def fea14_fft_spectrum(spark, sf):
 
 @query()
 def fea16_bandpass(spark, sf):
-    return fe.per_series(signal(spark, sf).select("subject", "t", "x"), K, fe.bandpass_of, (8.0, 0.5, 2.0))
+    return fe.bandpass(signal(spark, sf).select("subject", "t", "x"), K, 8.0, 0.5, 2.0)
 
 
 @query(f"WITH {LV} SELECT win, i::INT AS i, level FROM lv")

@@ -137,3 +137,36 @@ def test_kernels():
 
 def test_wilcoxon_exact():
     assert events.exact_p(5, 0) == pytest.approx(2 / 32) and events.exact_p(6, 21) == 1.0
+
+
+def test_bandpass(spark):
+    """Against the difference equations one sample at a time, in chunks, and at known gains."""
+    fs, lo, hi = 64.0, 1.0, 20.0
+    g, sections = features.bandpass_sections(fs, lo, hi)
+
+    def one_pass(v):
+        past = v[0]
+        for a1, a2 in sections:
+            x1 = x2 = past
+            y1 = y2 = past = 0.0
+            out = []
+            for x in v:
+                y = g * (x - x2) - a1 * y1 - a2 * y2
+                x1, x2, y1, y2 = x, x1, y, y1
+                out.append(y)
+            v = out
+        return v
+
+    x = np.random.default_rng(5).normal(size=4000).cumsum() + 100
+    wide = [*(2 * x[0] - x[27:0:-1]), *x, *(2 * x[-1] - x[-2:-29:-1])]
+    want = one_pass(one_pass(wide)[::-1])[::-1][27:-27]
+    np.testing.assert_allclose(features.bandpass_of(x, fs, lo, hi), want, atol=1e-8)
+    df = spark.createDataFrame([(k, t, float(v)) for k in (1, 2) for t, v in enumerate(x[: 4000 // k])], "subject int, t long, x double")
+    got = features.bandpass(df, ["subject"], fs, lo, hi, chunk=700).orderBy("subject", "t").toPandas()
+    assert len(got) == 6000
+    np.testing.assert_allclose(got["y"][:4000], want, atol=1e-7)
+    np.testing.assert_allclose(got["y"][4000:], features.bandpass_of(x[:2000], fs, lo, hi), atol=1e-7)
+    t = np.arange(20000) / fs
+    for f, gain in ((lo, 0.5), (hi, 0.5), (5.0, 1.0)):
+        assert abs(np.abs(features.bandpass_of(np.sin(2 * np.pi * f * t), fs, lo, hi)[8000:12000]).max() - gain) < 0.01
+    assert np.abs(features.bandpass_of(np.full(500, 7.0), fs, lo, hi)).max() < 1e-9 and len(features.bandpass_of(x[:1], fs, lo, hi)) == 1
