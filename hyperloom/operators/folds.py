@@ -64,12 +64,25 @@ def label_by_interval(df: DataFrame, intervals: DataFrame, keys: list[str]) -> D
     return hit.unionByName(miss)
 
 
+def numbered(df: DataFrame, order: list[str], to: str, blocks: int = 256) -> DataFrame:
+    """Adds the place of every row, from 0, in an order that tells rows apart. Rows are numbered within blocks between bounds
+    drawn from them, of which there are at most so many, and blocks by their counts; any bounds give the same numbers."""
+    place = F.struct(*order)
+    drawn = df.select(place.alias("p")).withColumn("r", F.rand(7)).orderBy("r").limit(blocks - 1).select(F.array_sort(F.collect_list("p")).alias("_bounds"))
+    bounds = df.sparkSession.createDataFrame(drawn.collect(), drawn.schema)  # as values, so that every use has the same
+    rows = df.join(F.broadcast(bounds), how="cross").withColumn("_block", F.size(F.filter("_bounds", lambda x: x < place))).drop("_bounds")
+    counts = rows.groupBy("_block").agg(F.count("*").alias("n"))
+    before = counts.select("_block", (F.sum("n").over(W.orderBy("_block")) - F.col("n")).alias("_before"))  # a row for each block
+    rows = rows.withColumn(to, F.row_number().over(W.partitionBy("_block").orderBy(*order)) - 1)
+    return rows.join(F.broadcast(before), "_block").withColumn(to, F.col(to) + F.col("_before")).drop("_block", "_before")
+
+
 def balance(events: DataFrame, background: DataFrame, factor: int, seed: int = 42) -> DataFrame:
     """For every event (recording, start, stop) a stretch of a background recording (recording, n), factor times as long:
     recordings in turn, offsets by a hash. Half of it goes before the event, half behind (before_n, after_n)."""
-    e = events.withColumn("k", F.row_number().over(W.orderBy("recording", "start")) - 1).withColumn("need", factor * (F.col("stop") - F.col("start")))
-    b = background.withColumn("j", F.row_number().over(W.orderBy("recording")) - 1).select(F.col("recording").alias("background_recording"), "n", "j")
-    n = b.agg(F.count("*").alias("m"))
+    e = numbered(events, ["recording", "start"], "k").withColumn("need", factor * (F.col("stop") - F.col("start")))
+    b = numbered(background, ["recording"], "j").select(F.col("recording").alias("background_recording"), "n", "j")
+    n = F.broadcast(b.agg(F.count("*").alias("m")))
     met = e.crossJoin(n).join(b, F.col("k") % F.col("m") == F.col("j")).filter("n >= need")
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("recording").cast("string"), F.col("start").cast("string"))), 1, 8), 16, 10).cast("long")
     half = F.floor(F.col("need") / 2)

@@ -248,8 +248,13 @@ def trn8_add_centroid(spark, sf):
     return tr.train_bundle(wrong, ["label"]).withColumnRenamed("label", "class")
 
 
+#: Successive windows that make a recording of those learners that go through one in order.
+RECORDING = 128
+
+
 def packed_rows(spark, sf):
-    return packed(encoded(spark, sf), "win", "label").withColumn("fold", F.col("win") % 4)
+    """Windows by recording (fold): more windows are more recordings, not longer ones."""
+    return packed(encoded(spark, sf), "win", "label").withColumn("fold", F.floor(F.col("win") / RECORDING))
 
 
 def learned(spark, sf, learner, *args):

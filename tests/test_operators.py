@@ -170,3 +170,12 @@ def test_bandpass(spark):
     for f, gain in ((lo, 0.5), (hi, 0.5), (5.0, 1.0)):
         assert abs(np.abs(features.bandpass_of(np.sin(2 * np.pi * f * t), fs, lo, hi)[8000:12000]).max() - gain) < 0.01
     assert np.abs(features.bandpass_of(np.full(500, 7.0), fs, lo, hi)).max() < 1e-9 and len(features.bandpass_of(x[:1], fs, lo, hi)) == 1
+
+
+def test_numbered(spark):
+    rows = [(k, t) for k in (3, 1, 2) for t in range(400 if k == 3 else 7)]
+    df = spark.createDataFrame(rows, "recording int, start int").repartition(5)
+    for blocks in (2, 50, 1000):
+        assert [(r.recording, r.start) for r in folds.numbered(df, ["recording", "start"], "k", blocks).orderBy("k").collect()] == sorted(rows)
+    assert {r.k for r in folds.numbered(df, ["recording", "start"], "k", 50).collect()} == set(range(len(rows)))
+    assert folds.numbered(df.limit(0), ["recording", "start"], "k").count() == 0
