@@ -15,7 +15,6 @@ from hyperloom.plans import models as mo
 from hyperloom.plans import signals as si
 from hyperloom.plans.registry import ENC, IM, LEVELS, LV, ORACLES, STEP, WINS, D, L, S, bit_sql, encoded, hv_sql, levels, query, rounded, shown, table, vectors
 from hyperloom.plans.streams import kept, scratch
-from hyperloom.streaming import operators as st
 
 # ---- two classes of five centroids: class = label mod 2, centroid = label div 2
 
@@ -322,16 +321,3 @@ def snk6_pairing_log(spark, sf):
     rows = si.smp1_balance(spark, sf).withColumn("new_name", F.concat(F.lit("r"), F.col("event_recording"), F.lit("_e"), nth))
     rows.select("new_name", "event_recording", "start", "stop", "background_recording").write.parquet(path)
     return spark.read.parquet(path)
-
-
-# ---- events of a stream by evidence
-
-
-@query()
-def str5_bayes_events(spark, sf):
-    """Evidence of the last five labels and probabilities, and the events it makes; an open event is sent when its key has
-    been silent for three days of event time."""
-    from hyperloom.plans.streams import finished, streamed
-
-    o = streamed(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("subject"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("win"), (F.col("o_totalprice") > 150000).cast("int").alias("y"), ((1 + F.col("o_orderkey") % 97) / 100.0).alias("p"))
-    return finished(st.evidence_events(o, ["subject"], 5, 0.5, 3, "3 days"), "append")

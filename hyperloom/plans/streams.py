@@ -107,10 +107,38 @@ def str4_train_stream(spark, sf):
     return spark.read.parquet(f"{path}/{last}")
 
 
-@query()
+#: Days of event time after which a key's open event is sent.
+SILENT = 60
+
+
+def sent_sql(on: str) -> str:
+    """Events of the places where on holds, on orders as labels and probabilities of a hundred keys."""
+    return f"""WITH o AS (SELECT o_custkey % 100 AS subject, o_orderdate::TIMESTAMP AS ts, o_orderkey AS win, (o_totalprice > 150000)::INT AS y, (1 + o_orderkey % 97) / 100.0::DOUBLE AS p FROM orders),
+    s AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL {SILENT} DAY, false)::INT AS new FROM o WINDOW w AS (PARTITION BY subject ORDER BY ts, win)), r AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY ts, win ROWS UNBOUNDED PRECEDING) AS run FROM s),
+    q AS (SELECT *, row_number() OVER w - 1 AS place, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pp FROM r WINDOW w AS (PARTITION BY subject, run ORDER BY ts, win)), f AS (SELECT *, ({on}) AS is_on FROM q WINDOW w AS (PARTITION BY subject, run ORDER BY ts, win ROWS 4 PRECEDING)),
+    n AS (SELECT subject, run, max(place) AS most, max(ts) AS seen FROM f GROUP BY 1, 2), g AS (SELECT *, coalesce(place - lag(place) OVER w > 3, true)::INT AS new_event FROM f WHERE is_on WINDOW w AS (PARTITION BY subject, run ORDER BY place)),
+    e AS (SELECT *, sum(new_event) OVER (PARTITION BY subject, run ORDER BY place ROWS UNBOUNDED PRECEDING) AS event FROM g), u AS (SELECT subject, run, min(place) AS start, max(place) + 1 AS stop, min(ts) AS since FROM e GROUP BY subject, run, event)
+    SELECT subject, start, stop, since FROM u JOIN n USING (subject, run) WHERE stop + 2 <= most OR seen + INTERVAL {SILENT} DAY < (SELECT max(ts) FROM o) OR run < (SELECT max(run) FROM n AS m WHERE m.subject = u.subject)"""
+
+
+def order_stream(spark, sf):
+    own = [(F.col("o_custkey") % 100).alias("subject"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("win"), (F.col("o_totalprice") > 150000).cast("int").alias("y"), ((1 + F.col("o_orderkey") % 97) / 100.0).alias("p")]
+    return streamed(spark, sf, "orders").select(own)
+
+
+def sent(events):
+    return finished(events, "append").withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+@query(sent_sql("place >= 5 AND sum(y) OVER w >= 2.5"))
 def str5_smoothed_events(spark, sf):
-    o = streamed(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("subject"), F.col("o_orderkey").alias("win"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
-    return finished(st.smoothed_events(o, K, 5, 0.5, 3), "append")
+    return sent(st.smoothed_events(order_stream(spark, sf), K, 5, 0.5, 3, f"{SILENT} days"))
+
+
+@query(sent_sql("place >= 4 AND ln((exp(sum(ln(pp)) OVER w) + 1e-8) / (exp(sum(ln(1 - pp)) OVER w) + 1e-8)) >= 0.5"))
+def str5_bayes_events(spark, sf):
+    """Evidence of the last five labels and probabilities, and the events it makes."""
+    return sent(st.evidence_events(order_stream(spark, sf), K, 5, 0.5, 3, f"{SILENT} days"))
 
 
 @query("""WITH p AS (SELECT user_id AS subject, ts FROM events WHERE value > 100), q AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY subject ORDER BY ts) >= INTERVAL 1 DAY)::INT AS new FROM p),

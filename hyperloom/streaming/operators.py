@@ -45,61 +45,59 @@ def train_stream(encoded: DataFrame, step, path: str):
     return encoded.writeStream.option("checkpointLocation", path).foreachBatch(step)
 
 
-def smoothed_events(stream: DataFrame, keys: list[str], length: int, share: float, gap: int) -> DataFrame:
-    """Votes over the last ``length`` labels of a key, and the events they make: an event is sent once ``gap`` zeros follow it.
-    State: the last labels, the place, and the open event."""
+def sent_events(stream: DataFrame, keys: list[str], length: int, value, on, gap: int, silent: str, late: str) -> DataFrame:
+    """Events (keys, start, stop, since) of places where ``on(recent, place)`` holds, recent being the last ``length`` values of a
+    key in order of (ts, win): sent once ``gap`` places without follow, or when its key has been silent. A key is silent once a
+    row, or event time (of all keys), has passed its last one by more than ``silent``; its places start at 0 again, so results
+    don't depend on how rows fall in batches. start and stop are places, since is the time of the first one. State: the last
+    values, the place, the time, and the open event; it goes when a key falls silent."""
     types = dict(stream.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start long, stop long"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start long, stop long, since long"
+    wait = int(pd.Timedelta(silent).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, at, start, last = state.get if state.exists else ("", 0, -1, -1)
-        out = []
-        for y in pd.concat(list(frames)).sort_values("win")["y"].tolist():
-            recent = (recent + str(int(y)))[-length:]
-            on = at >= length and recent.count("1") >= share * length
-            if on:
-                start, last = (at if start < 0 else start), at
+        recent, at, start, last, since, seen = state.get if state.exists else ([], 0, -1, -1, 0, None)
+        recent, out = list(recent), []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, start, last + 1, since)] if start >= 0 else [], columns=[*keys, "start", "stop", "since"])
+            return
+        pdf = pd.concat(list(frames)).sort_values(["_ms", "win"])
+        for v, ms in zip(value(pdf), pdf["_ms"].tolist(), strict=True):
+            if seen is not None and ms - seen > wait:
+                out += [(*key, start, last + 1, since)] if start >= 0 else []
+                recent, at, start = [], 0, -1
+            recent = [*recent, float(v)][-length:]
+            if on(recent, at):
+                start, since, last = (at, ms, at) if start < 0 else (start, since, at)
             elif start >= 0 and at - last >= gap:
-                out.append((*key, start, last + 1))
+                out.append((*key, start, last + 1, since))
                 start = -1
-            at += 1
-        state.update((recent, at, start, last))
-        yield pd.DataFrame(out, columns=[*keys, "start", "stop"])
+            at, seen = at + 1, ms
+        state.update((recent, at, start, last, since, seen))
+        state.setTimeoutTimestamp(max(seen + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[*keys, "start", "stop", "since"])
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "recent string, at long, start long, last long", "append", GroupStateTimeout.NoTimeout)
+    held = "recent array<double>, at long, start long, last long, since long, seen long"
+    grouped = stream.withWatermark("ts", late).withColumn("_ms", F.unix_millis("ts")).groupBy(*keys)
+    return grouped.applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout).withColumn("since", F.timestamp_millis("since"))
+
+
+def smoothed_events(stream: DataFrame, keys: list[str], length: int, share: float, gap: int, silent: str, late: str = "0 seconds") -> DataFrame:
+    """Events of votes: the share of ones among the last ``length`` labels; the first ``length`` places are never on. The stream
+    has keys, ts, win and y."""
+    return sent_events(stream, keys, length, lambda pdf: pdf["y"], lambda recent, at: at >= length and sum(recent) >= share * length, gap, silent, late)
 
 
 def evidence_events(stream: DataFrame, keys: list[str], length: int, threshold: float, gap: int, silent: str, late: str = "0 seconds") -> DataFrame:
-    """Events of places where the log ratio of the last ``length`` probabilities reaches the threshold: sent once ``gap``
-    places without follow, or when event time has passed a key's last row by ``silent``. The stream has keys, ts, win, y, p.
-    State: the last probabilities, the place, and the open event; it goes when a key falls silent."""
-    types = dict(stream.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", start long, stop long"
-    wait = int(pd.Timedelta(silent).total_seconds() * 1000)
+    """Events of evidence: the log ratio of the last ``length`` probabilities reaches the threshold. The stream has keys, ts,
+    win, y and p."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, at, start, last = (list(x) if i == 0 else x for i, x in enumerate(state.get)) if state.exists else ([], 0, -1, -1)
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, start, last + 1)] if start >= 0 else [], columns=[*keys, "start", "stop"])
-            return
-        pdf = pd.concat(list(frames)).sort_values(["ts", "win"])
-        for y, p in zip(pdf["y"], pdf["p"], strict=True):
-            recent = [*recent, float(p if y else 1 - p)][-length:]
-            up, down = math.prod(recent), math.prod(1 - x for x in recent)
-            if at + 1 >= length and math.log((up + 1e-8) / (down + 1e-8)) >= threshold:
-                start, last = (at if start < 0 else start), at
-            elif start >= 0 and at - last >= gap:
-                out.append((*key, start, last + 1))
-                start = -1
-            at += 1
-        state.update((recent, at, start, last))
-        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + wait)
-        yield pd.DataFrame(out, columns=[*keys, "start", "stop"])
+    def on(recent: list[float], at: int) -> bool:
+        up, down = math.prod(recent), math.prod(1 - x for x in recent)
+        return at + 1 >= length and math.log((up + 1e-8) / (down + 1e-8)) >= threshold
 
-    held = "recent array<double>, at long, start long, last long"
-    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return sent_events(stream, keys, length, lambda pdf: pdf["p"].where(pdf["y"] == 1, 1 - pdf["p"]), on, gap, silent, late)
 
 
 def sessions(stream: DataFrame, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
@@ -107,4 +105,4 @@ def sessions(stream: DataFrame, keys: list[str], gap: str, late: str = "10 minut
     return stream.filter("y = 1").withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
 
 
-__all__ = ["evidence_events", "predict", "running_normaliser", "score_stream", "sessions", "smoothed_events", "train_stream", "window_features"]
+__all__ = ["evidence_events", "predict", "running_normaliser", "score_stream", "sent_events", "sessions", "smoothed_events", "train_stream", "window_features"]

@@ -99,6 +99,6 @@ def test_open_events_are_sent_when_a_key_is_silent(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part*")).withColumn("ts", F.to_timestamp("ts"))
     sent = []
-    save = lambda df, i: sent.extend(map(tuple, df.collect()))
+    save = lambda df, i: sent.extend((r.subject, r.start, r.stop) for r in df.collect())
     evidence_events(stream, ["subject"], 3, 0.5, 2, "3 days").writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     assert (1, 2, 6) in sent and sum(s == 1 for s, *_ in sent) == 1 and any(s == 2 for s, *_ in sent)
