@@ -151,7 +151,8 @@ def cwt_symbol_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float =
         s = cycles / (2 * np.pi * f)
         t = np.arange(-4 * s, 4 * s + 0.5 / fs, 1 / fs)
         wave = np.exp(2j * np.pi * f * t - t**2 / (2 * s**2)) / np.sqrt(s)
-        part = np.convolve(x - x.mean(), wave, "same")[: len(x)]
+        first = (len(wave) - 1) // 2  # the wave may be longer than the window
+        part = np.convolve(x - x.mean(), wave)[first : first + len(x)]
         a, b = int(len(part) * 0.4), max(int(len(part) * 0.6), int(len(part) * 0.4) + 1)
         energy.append(np.sqrt((np.abs(part[a:b]) ** 2).mean()))
     return int(np.argmax(energy))

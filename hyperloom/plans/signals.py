@@ -265,7 +265,9 @@ def fea9_fea10_entropy_features(spark, sf):
     return fe.entropy_features(windows(spark, sf), KW, level=2)
 
 
-@query()
+@query(f"""WITH {WINS}, q AS (SELECT subject, win, x - avg(x) OVER (PARTITION BY subject, win) AS v, t - win * {STEP} AS i FROM w), b AS (SELECT k, f, 3 / (pi() * f) AS s, (ceil((24 / (pi() * f) + 0.0625) * 8)::BIGINT - 1) // 2 AS mid FROM (VALUES (0, 0.5::DOUBLE), (1, 1), (2, 2)) AS b(k, f)),
+    a AS (SELECT subject, win, k, f, s, v, (3 - i + mid) / 8.0::DOUBLE - 4 * s AS tt FROM q, b), e AS (SELECT subject, win, k, (pow(sum(v * cos(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2) + pow(sum(v * sin(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2)) / s AS energy FROM a GROUP BY subject, win, k, s)
+    SELECT subject, win, arg_max(k, (round(energy, 9), -k))::INT AS symbol FROM e GROUP BY 1, 2""")
 def fea11_cwt_symbol(spark, sf):
     return fe.per_group(windows(spark, sf), KW, lambda x: {"symbol": fe.cwt_symbol_of(x, 8.0, [0.5, 1.0, 2.0])}, {"symbol": "int"})
 
@@ -344,7 +346,10 @@ def smp3_recompose(spark, sf):
     return rows.select("subject", "t", "part", F.col("win").cast("long").alias("win"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {EV}, z AS (SELECT subject, max(t) AS last FROM s GROUP BY 1),
+    cut(subject, chunk, lo, hi, last) AS (SELECT z.subject, 0::BIGINT, 0::BIGINT, coalesce(stop, 10)::BIGINT, z.last FROM z LEFT JOIN ev ON ev.subject = z.subject AND start < 10 AND stop > 10
+        UNION ALL SELECT cut.subject, chunk + 1, hi, coalesce(stop, hi + 10)::BIGINT, cut.last FROM cut LEFT JOIN ev ON ev.subject = cut.subject AND start < hi + 10 AND stop > hi + 10 WHERE hi <= cut.last)
+    SELECT s.subject, t, chunk FROM s JOIN cut ON s.subject = cut.subject AND t >= lo AND t < hi""")
 def rch1_rechunk_fixed(spark, sf):
     return fo.rechunk_fixed(signal(spark, sf), events_of(spark, sf), K, 10).select("subject", "t", "chunk")
 

@@ -15,7 +15,7 @@ NAMES = [
     "smp1_balance", "rch3_event_to_event", "cv2_rolling", "hv3_scale_rand_memory", "hv8_flip_rotate", "enc3_ch_feat_val", "enc8_feat_val_rot", "trn6_retrain_pass", "prd8_score_summary", "prd10_confidence_grid",
     "smo2_merge_close", "evt1_label_events", "evt7_metrics12", "agg6_wilcoxon", "sel5_vote_topk", "sel12_sel13_divergence", "sim4_similarity_summary", "gen3_general_leave_one_out", "str1_window_features", "str3_score_stream",
     "prd4_nearest_centroids", "trn9_centroid_update", "trn11_removal_scores", "trn12_merge_step", "trn14_prd9_knn", "enc14_multi_feature", "enc15_fft", "enc12_lbp", "fea3_band_power_rows", "fea7_sample_entropy_rounded",
-    "fea14_spectrum_rows", "evt3_episode_counts", "evt6_36_scores", "evt8_scores_per_element", "smo4_best_threshold", "snk6_pairing_log", "str4_train_stream", "str5_smoothed_events", "str5_bayes_events",
+    "fea14_spectrum_rows", "evt3_episode_counts", "evt6_36_scores", "evt8_scores_per_element", "smo4_best_threshold", "snk6_pairing_log", "str4_train_stream", "str5_smoothed_events", "str5_bayes_events", "rch1_rechunk_fixed", "fea11_cwt_symbol",
 ]
 
 
