@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, html_text, interpolated, mixing, pii, quality, simhash, spans, suffix, topk
+from hyperloom.llm import bpe, html_text, interpolated, merkle, mixing, pii, quality, simhash, spans, suffix, topk
 from hyperloom.llm.common import table
 
 
@@ -57,6 +57,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every_second = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", "\n", ""))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), carried={"tampered": F.when(every_second, tampered)})
+    back = merkle.folded(F.coalesce("tampered", "leaf"), F.col("steps"))
+    proven = rows.select("doc_id", "leaf", "subroot", "root", merkle.digest_of(F.col("steps")).alias("proof_sha256"), back.alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
@@ -96,5 +105,43 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def up_sql(name: str, start: str) -> str:
+    """The levels of trees from (source, pos, n, h), each from the one below."""
+    return f"""{name} AS (SELECT 0 AS lvl, source, pos, n, h FROM {start} UNION ALL
+      SELECT lvl + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY lvl, source, pos // 3, n)"""
+
+
+def steps_sql(nodes: str, start: str, k: int) -> str:
+    """For each lowest node the siblings to its left and right, level by level."""
+    side = lambda c: f"coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos {c} l.pos // pow(3, lvl)::BIGINT), '')"
+    return f"""SELECT l.source, l.pos, {k} + lvl AS k, {side("<")} AS l, {side(">")} AS r FROM {start} l
+      JOIN {nodes} x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1 AND x.pos // 3 = l.pos // pow(3, lvl + 1)::BIGINT GROUP BY l.source, l.pos, lvl"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT *, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda s, c: list_reduce(range(8), lambda t, i: xor(t >> 1, 3988292384 * (t & 1)), xor(s, c)), 4294967295) & 1 AS other FROM documents),
+leaves AS (SELECT doc_id, source, {leaf_sql("text")} AS h, CASE WHEN other = 1 THEN {leaf_sql("replace(text, chr(10), '')")} END AS tampered,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM crc),
+{up_sql("nodes", "leaves")},
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over AS (SELECT NULL::VARCHAR AS source, pos, n, subroot AS h FROM subroots),
+{up_sql("upper", "over")},
+low_steps AS ({steps_sql("nodes", "leaves", 0)}),
+top_steps AS ({steps_sql("upper", "over", 1000)}),
+steps AS (SELECT source, pos, k, l, r FROM low_steps UNION ALL
+      SELECT a.source, a.pos, k, t.l, t.r FROM leaves a JOIN subroots s ON a.source IS NOT DISTINCT FROM s.source JOIN top_steps t ON t.pos = s.pos),
+lists AS (SELECT source, pos, list(l || '|' || r ORDER BY k) AS steps, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY source, pos),
+folds AS (SELECT a.doc_id, a.h AS leaf, s.subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+      list_reduce(coalesce(steps, []::VARCHAR[]), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), coalesce(a.tampered, a.h)) AS folded_root
+      FROM leaves a JOIN subroots s ON a.source IS NOT DISTINCT FROM s.source LEFT JOIN lists p ON p.source IS NOT DISTINCT FROM a.source AND p.pos = a.pos)
+SELECT *, folded_root = root AS verified FROM folds
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op5_top_k": OP5_SQL, "op6_quality_rules": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
