@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, html_text, interpolated, merkle, mixing, pii, quality, simhash, spans, suffix, topk
+from hyperloom.llm import bpe, html_text, interpolated, merkle, mixing, pii, quality, simhash, spans, suffix, topk, vector_codes
 from hyperloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every_second = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     tampered = merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", "\n", ""))
@@ -105,6 +109,26 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def codes_sql(k: int) -> str:
+    """Round k: the entry of each part, the lower one if tied, and the codebooks after it."""
+    return f"""a{k} AS MATERIALIZED (SELECT vec_id, part, min(dist * 256 + entry) % 256 AS entry, min(dist) AS dist
+      FROM (SELECT vec_id, part, entry, sum((x - c) * (x - c))::BIGINT AS dist FROM p JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+    b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.c, b{k}.c) AS c
+      FROM b{k} LEFT JOIN (SELECT part, entry, pos, floor(sum(x) / count(*))::BIGINT AS c FROM p JOIN a{k} USING (vec_id, part) GROUP BY ALL) m USING (part, entry, pos))"""
+
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, label, embedding AS e, len(embedding) // 4 AS width FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, i // width AS part, i % width AS pos, floor(1024 * e[i + 1]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(len(e))) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 256) USING (vec_id)),
+{", ".join(codes_sql(k) for k in range(5))},
+codes AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b4) AS codebooks_sha256 FROM codes JOIN v USING (vec_id)
+"""
+
+
 def leaf_sql(text: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
@@ -144,4 +168,4 @@ SELECT *, folded_root = root AS verified FROM folds
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL, "op6_quality_rules": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op5_top_k": OP5_SQL, "op6_quality_rules": OP6_SQL, "op11_vector_codes": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
