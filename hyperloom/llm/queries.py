@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import bpe, html_text, interpolated, merkle, mixing, pii, quality, simhash, spans, suffix, topk, vector_codes
+from hyperloom.llm import bpe, html_text, interpolated, language, merkle, mixing, pii, quality, simhash, spans, suffix, topk, vector_codes
 from hyperloom.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, language.fit(docs))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every_second = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     tampered = merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.translate("text", "\n", ""))
