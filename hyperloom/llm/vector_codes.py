@@ -4,8 +4,8 @@ bitmasks.
 For every dimension of a codebook the entries' coordinates lie in order, each place with a mask (uint64 words, a bit for each
 entry) of the entries up to it. A query's initial radius is its distance from the best of a few entries, those that are
 nearest in one coordinate; the entries within the radius in a dimension are two masks exclusive-ored, the masks of all
-dimensions are ANDed, and what is left holds the nearest entry and all that tie with it, so one look at exact distances ends
-the search: the radius need never grow.
+dimensions are ANDed, and what is left holds the nearest entry and all that tie with it, so the radius need never grow. A
+quarter of it is tried first: an entry found there makes the radius smaller before all of it is looked at.
 
 A round of training is one pass over the vectors, whose tasks send a sum and a count for each entry and coordinate. The driver
 sees the codebooks and their sums only, of PARTS * ENTRIES * width numbers, whatever the table's size. Vectors are stored once
@@ -34,8 +34,8 @@ from hyperloom.llm.common import stored
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Components beyond are cut off: distances and their sums stay within 64 bits.
 MOST = 1 << 27
-#: Numbers that a search holds at once.
-HELD = 1 << 22
+#: Numbers that a search holds at once, and the part of the radius that is tried first.
+HELD, PROBE = 1 << 22, 4
 
 
 class Book:
@@ -61,7 +61,7 @@ class Book:
             left = np.maximum(right - 1, 0)
             near = order[np.where(np.abs(line[left] - x[:, d]) < np.abs(line[right] - x[:, d]), left, right)]
             best = np.minimum(best, ((x - self.entries[near]) ** 2).sum(axis=1))
-        return np.ceil(np.sqrt(best.astype(float))).astype(np.int64) + 1  # one more for the root's rounding
+        return rounded_up(best)
 
     def candidates(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Masks of the entries that lie within the radius of each row in every coordinate."""
@@ -72,6 +72,12 @@ class Book:
             left &= self.prefix[d, high] ^ self.prefix[d, low]
         return left
 
+    def compared(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, squared distance) of the candidates, by row and entry."""
+        masks = np.ascontiguousarray(self.candidates(x, radius).astype("<u8"))
+        row, entry = np.nonzero(np.unpackbits(masks.view(np.uint8), axis=1, count=len(self.entries), bitorder="little"))
+        return row, entry, ((x[row] - self.entries[entry]) ** 2).sum(axis=1)
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest entry of each row, the lower one if tied, and its squared distance."""
         n, width = self.entries.shape
@@ -79,17 +85,23 @@ class Book:
             return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
         step, found, distances = max(1, HELD // (n * width)), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for own in (x[i : i + step] for i in range(0, len(x), step)):
-            masks = np.ascontiguousarray(self.candidates(own, self.radius(own)).astype("<u8"))
-            row, entry = np.nonzero(np.unpackbits(masks.view(np.uint8), axis=1, count=n, bitorder="little"))
-            d = ((own[row] - self.entries[entry]) ** 2).sum(axis=1)
-            first = np.searchsorted(row, np.arange(len(own)))
-            least = np.minimum.reduceat(d, first)
-            best = np.nonzero(d == least[row])[0]
-            found.append(entry[best[np.searchsorted(row[best], np.arange(len(own)))]])
+            radius, best = self.radius(own), np.full(len(own), np.iinfo(np.int64).max)
+            row, _, d = self.compared(own, radius // PROBE)  # a near entry, if there is one, makes the radius smaller
+            np.minimum.at(best, row, d)
+            radius = np.minimum(radius, rounded_up(best))
+            row, entry, d = self.compared(own, radius)
+            least = np.minimum.reduceat(d, np.searchsorted(row, np.arange(len(own))))
+            at = np.nonzero(d == least[row])[0]
+            found.append(entry[at[np.searchsorted(row[at], np.arange(len(own)))]])
             distances.append(least)
         return np.concatenate(found), np.concatenate(distances)
 
 
+def rounded_up(squares: np.ndarray) -> np.ndarray:
+    """No less than the roots."""
+    return np.ceil(np.sqrt(squares.astype(float))).astype(np.int64) + 1
+
+
 def parts_of(column: pa.Array | pa.ChunkedArray, parts: int, width: int) -> np.ndarray:
     """Stored vectors as (part, row, position)."""
     rows = np.frombuffer(b"".join(x.as_py() for x in column), dtype="<i4").astype(np.int64)
