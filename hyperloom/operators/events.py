@@ -39,19 +39,31 @@ def match_events(true: DataFrame, pred: DataFrame, keys: list[str], before: int,
     )
 
 
+def matched(true: list[tuple], pred: list[tuple], before: int = 0, after: int = 0) -> tuple[int, int, set[int]]:
+    """Hits, false alarms of predictions that reach beyond the tolerances around their event, and the predictions used, from two
+    ordered pointers: every true event takes the first prediction that meets it and isn't used. Events of either side are in
+    order and don't overlap one another, so a prediction that ends before an event starts meets no later one."""
+    hits, false, used, i = 0, 0, set(), 0
+    for a, b in true:
+        while i < len(pred) and pred[i][1] <= a:
+            i += 1
+        if i < len(pred) and pred[i][0] < b:
+            used.add(i)
+            hits, false = hits + 1, false + (pred[i][0] < a - before) + (pred[i][1] > b + after)
+            i += 1
+    return hits, false, used
+
+
 def episode_counts(true: list[tuple], pred: list[tuple], before: int = 0, after: int = 0) -> tuple[int, int, int]:
     """Hits, misses and false alarms, in time order: an event of either side is used once; predictions that reach beyond the
     tolerances around their event count as further false alarms on that side."""
-    used, hits, false = set(), 0, 0
-    for a, b in true:
-        for i, (c, d) in enumerate(pred):
-            if i not in used and c < b and d > a:
-                used.add(i)
-                hits += 1
-                false += (c < a - before) + (d > b + after)
-                break
-    covered = {i for i, (c, d) in enumerate(pred) if i not in used and any(c < b + after and d > a - before for a, b in true)}
-    return hits, len(true) - hits, false + len(pred) - len(used | covered)
+    hits, false, used = matched(true, pred, before, after)
+    j = 0
+    for i, (c, d) in enumerate(pred):
+        while j < len(true) and true[j][1] + after <= c:
+            j += 1
+        false += i not in used and not (j < len(true) and d > true[j][0] - before)
+    return hits, len(true) - hits, false
 
 
 def ratio(a: Column, b: Column) -> Column:

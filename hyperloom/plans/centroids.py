@@ -10,6 +10,7 @@ from hyperloom.functions.itemmem import packed
 from hyperloom.operators import encode as en
 from hyperloom.operators import features as fe
 from hyperloom.operators import predict as pr
+from hyperloom.operators import sweep as sw
 from hyperloom.operators import train as tr
 from hyperloom.plans import models as mo
 from hyperloom.plans import signals as si
@@ -290,6 +291,26 @@ def smo4_best_threshold(spark, sf):
     return mo.smo4_bayes_threshold(spark, sf).select("subject", F.round("threshold", 5).alias("threshold"))
 
 
+#: Labels of the evidence of full windows at every threshold, each a subject of its own; its scores.
+GRID = f"""{mo.BAYES}, fw AS (SELECT subject, min(evidence) AS lo, max(evidence) AS hi FROM e WHERE nth >= 5 GROUP BY 1), gd AS (SELECT subject, i, lo + 0.5::DOUBLE * (hi - lo) + i * 0.2::DOUBLE AS t
+      FROM (SELECT subject, lo, hi, unnest(range(0, ceil((hi - (lo + 0.5::DOUBLE * (hi - lo))) / 0.2::DOUBLE)::BIGINT)) AS i FROM fw)),
+    mg AS (SELECT subject || '|' || i AS subject, win, y_true, (nth >= 5 AND evidence >= t)::INT AS y FROM e JOIN gd USING (subject)), {episodes_sql('mg')}"""
+
+
+@query(f"""WITH RECURSIVE {GRID} SELECT split_part(ec.subject, '|', 1)::BIGINT AS subject, i::INT AS i, round(t, 6) AS threshold, tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp FROM ec JOIN gd ON ec.subject = gd.subject || '|' || gd.i""")
+def smo4_threshold_scores(spark, sf):
+    """Episodes hit, missed and made up at every threshold."""
+    return rounded(sw.threshold_scores(mo.bayes(spark, sf), ["subject"], 5), "threshold")
+
+
+@query(f"""WITH RECURSIVE {GRID}, sc AS (SELECT gd.subject, t, coalesce(round(2 * (tp / events) * (tp / nullif(tp + fp, 0)) / nullif(tp / events + tp / nullif(tp + fp, 0), 0), 9), 0) AS f1 FROM ec JOIN gd ON ec.subject = gd.subject || '|' || gd.i WHERE events > 0),
+    tt AS (SELECT subject, f1, list_sort(list(t)) AS t FROM sc s WHERE f1 = (SELECT max(f1) FROM sc z WHERE z.subject = s.subject) GROUP BY 1, 2)
+    SELECT subject, round(coalesce(t[len(t) // 2 + 1], 1.5), 6) AS threshold, round(f1, 6) AS f1 FROM (SELECT DISTINCT subject FROM e) LEFT JOIN tt USING (subject)""")
+def smo4_episode_threshold(spark, sf):
+    """The threshold of each subject's evidence whose events score best."""
+    return rounded(sw.fit_threshold(mo.bayes(spark, sf), ["subject"], 5), "threshold", "f1")
+
+
 def greedy_sql(steps: int) -> str:
     out = f"WITH {mo.EL}, gp AS (SELECT element, win, y, d0 - d1 AS gap FROM el)"
     for i in range(1, steps + 1):
