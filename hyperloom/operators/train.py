@@ -122,6 +122,29 @@ def online_soft(x: np.ndarray, y: np.ndarray, always: bool = False, boost: float
     return [(int(c), 0, n[i], (acc[i] > 0).astype(np.uint8)) for i, c in enumerate(classes)]
 
 
+def minibatch(model: dict[int, tuple[np.ndarray, float]], x: np.ndarray, y: np.ndarray, always: bool = True, taken: float = 0.5) -> dict[int, tuple[np.ndarray, float]]:
+    """One mini-batch: all windows are predicted with the model as it was, then each is added to its class with its distance as
+    weight (1 where the class is new), only the wrongly predicted ones unless ``always``, and these are taken from the class
+    predicted with a share of one less their distance. Class: (counters of bits as +-1, weight added)."""
+    known = sorted(model)
+    signed = 2.0 * x - 1
+    bits = np.array([model[c][0] > 0 for c in known]).reshape(len(known), x.shape[1])
+    d = np.abs(bits[None, :, :] - x[:, None, :]).mean(axis=2)
+    new = {c: (a.copy(), n) for c, (a, n) in model.items()}
+    pred = np.array(known)[d.argmin(axis=1)] if known else np.full(len(x), -1)
+    wrong = pred != y if known else np.ones(len(x), dtype=bool)
+    for c in np.unique(y).tolist():
+        own = (y == c) & (wrong | always | (c not in model))
+        w = d[own, known.index(c)] if c in model else np.ones(int(own.sum()))
+        a, n = new.get(c, (np.zeros(x.shape[1]), 0.0))
+        new[c] = (a + w @ signed[own], n + float(w.sum()))
+    for c in known if taken else []:
+        own = wrong & (pred == c)
+        w = taken * (1 - d[own, known.index(c)])
+        new[c] = (new[c][0] - w @ signed[own], new[c][1])
+    return new
+
+
 def multi_centroid(x: np.ndarray, y: np.ndarray) -> list[tuple]:
     """A window joins its class's nearest centroid while it is no farther than usual, or clearly nearer than other classes; else it opens one."""
     accs: dict[int, list] = {int(c): [] for c in np.unique(y)}

@@ -20,6 +20,7 @@ from hyperloom.plans.models import K, packed_rows, wrong_rows
 from hyperloom.plans.registry import DIST, ENC, LEVELS, MODEL, S, D, distances_of, encoded, hv_sql, levels, model_of, query, rounded, shown, signal, table
 from hyperloom.plans.signals import L, STEP, windows
 from hyperloom.sources import tables as so
+from hyperloom.streaming import online as on
 from hyperloom.streaming import operators as st
 
 
@@ -107,6 +108,39 @@ def str4_train_stream(spark, sf):
     return spark.read.parquet(f"{path}/{last}")
 
 
+#: Vectors in order as streams of a hundred each, which end one after another; a mini-batch is 25 of them.
+SUBJECTS, BATCH, AFTER = 100, 25, 50
+
+
+def vector_stream(rows: DataFrame) -> DataFrame:
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id"))
+    bit = lambda w, i: F.when(F.get("embedding", i + 32 * w) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + bit(w, i))
+    words = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 32).cast("int") - 1), word)
+    return rows.select(F.floor(F.col("vec_id") / SUBJECTS).alias("subject"), at.alias("ts"), F.floor(F.col("vec_id") % SUBJECTS / BATCH).alias("batch"), F.col("vec_id").alias("win"), F.col("label").cast("int").alias("label"), words.alias("hv"))
+
+
+def listed(versions: DataFrame) -> DataFrame:
+    return versions.select("subject", "batch", "class", F.array_join(F.transform("acc", lambda x: F.round(x * 128).cast("long").cast("string")), ",").alias("acc"), F.round("n", 6).alias("n"))
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id // {SUBJECTS} AS subject, vec_id % {SUBJECTS} // {BATCH} AS batch, vec_id, label, embedding FROM embeddings), x AS (SELECT subject, batch, vec_id, label, u.pos, 2 * (embedding[u.pos + 1] > 0)::INT - 1 AS sgn FROM v, unnest(range(0, 64)) AS u(pos)),
+    m AS (SELECT subject, batch, label AS class, pos, sum(sgn)::DOUBLE AS acc, count(*)::DOUBLE AS n FROM x WHERE batch = 0 GROUP BY ALL
+      UNION ALL SELECT subject, batch, class, pos, sum(acc)::DOUBLE AS acc, sum(n)::DOUBLE AS n FROM (
+        WITH d AS (SELECT x.subject, x.batch, vec_id, label, class, sum((sgn > 0) <> (acc > 0)) / 64.0::DOUBLE AS d FROM m JOIN x ON x.subject = m.subject AND x.batch = m.batch + 1 AND x.pos = m.pos GROUP BY ALL),
+        q AS (SELECT subject, batch, vec_id, label, arg_min(class, d * 6400 + class) AS pred, min(d) AS near, coalesce(min(d) FILTER (class = label), 1.0) AS w FROM d GROUP BY ALL)
+        SELECT subject, batch + 1 AS batch, class, pos, acc, n FROM m WHERE EXISTS (SELECT 1 FROM v WHERE v.subject = m.subject AND v.batch = m.batch + 1)
+        UNION ALL SELECT q.subject, q.batch, q.label, pos, w * sgn, w FROM q JOIN x USING (subject, batch, vec_id)
+        UNION ALL SELECT q.subject, q.batch, pred, pos, -0.5 * (1 - near) * sgn, 0 FROM q JOIN x USING (subject, batch, vec_id) WHERE pred <> q.label) GROUP BY ALL)
+    SELECT subject, batch, class, string_agg(round(acc * 128)::BIGINT::VARCHAR, ',' ORDER BY pos) AS acc, round(any_value(n), 6) AS n FROM m
+    WHERE batch < (SELECT max(batch) FROM v WHERE v.subject = m.subject) OR (SELECT max(vec_id) FROM v WHERE v.subject = m.subject) + {AFTER} < (SELECT max(vec_id) FROM v) GROUP BY 1, 2, 3""")
+def str4_online_models(spark, sf):
+    """A model for each subject, kept as state and updated by mini-batches; every version as it is sent."""
+    rows = vector_stream(streamed(spark, sf, "embeddings"))
+    with on.rocksdb(spark):
+        return listed(finished(on.online_models(rows, ["subject"], D, f"{AFTER} seconds"), "append"))
+
+
 #: Days of event time after which a key's open event is sent.
 SILENT = 60
 
