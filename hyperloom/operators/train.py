@@ -230,20 +230,6 @@ def retrain_until(model: DataFrame, one_pass, score, keep, most: int = 31, least
     return *best, scores
 
 
-def knn(train: DataFrame, test: DataFrame, k: int, key: str, features: str = "v", label: str = "label") -> DataFrame:
-    """(key, pred, p) of the k nearest training rows by squared distance of integer features, ties to the smaller key; the
-    label voted (the smallest, if tied) and its share. Every test row meets every training row: the training rows are a
-    bounded set that the caller chose, sent to the tasks as Spark sees fit."""
-    near = F.aggregate(F.zip_with("v", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
-    pairs = test.select(key, F.col(features).alias("v")).join(train.select(F.col(key).alias("_key"), F.col(features).alias("_v"), F.col(label).alias("_label")), F.size("v") == F.size("_v"))
-    from pyspark.sql import Window as W
-
-    first = pairs.select(key, "_key", "_label", near.alias("d")).withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "_key"))).filter(F.col("_r") <= k)
-    votes = first.groupBy(key, "_label").agg(F.count("*").alias("c"), F.min(-F.col("_label")).alias("_order"))
-    best = votes.groupBy(key).agg(F.max(F.struct("c", "_order", "_label")).alias("b"), F.sum("c").alias("n"))
-    return best.select(key, F.col("b._label").alias("pred"), (F.col("b.c") / F.col("n")).alias("p"))
-
-
 class Bagging:
     """Trees fitted to seeded samples, drawn with replacement, of the training rows; their votes are averaged."""
 
@@ -266,7 +252,7 @@ class Bagging:
 
 
 def baseline(train: DataFrame, kind: str, features: str = "features", label: str = "label"):
-    """A fitted classifier of Spark's library (boosting and svm: two classes); see :func:`knn` for nearest neighbours."""
+    """A fitted classifier of Spark's library (boosting and svm: two classes); see neighbours.knn, kernel.KernelSVM and boost.AdaBoost for the others."""
     from pyspark.ml import classification as c
 
     if kind == "bagging":

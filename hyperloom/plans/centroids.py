@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hyperloom.functions.itemmem import packed
+from hyperloom.operators import boost as bo
 from hyperloom.operators import encode as en
 from hyperloom.operators import features as fe
+from hyperloom.operators import kernel as ke
+from hyperloom.operators import neighbours as ne
 from hyperloom.operators import predict as pr
 from hyperloom.operators import sweep as sw
 from hyperloom.operators import train as tr
@@ -116,7 +119,7 @@ INTS = "iv AS (SELECT vec_id, label, vec_id % 5 = 0 AS held, list_transform(embe
 def trn14_prd9_knn(spark, sf):
     """Every fifth vector is predicted by its five nearest of the others."""
     rows = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("long")).alias("v"))
-    out = tr.knn(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), 5, "vec_id")
+    out = ne.knn(rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0"), 5, "vec_id")
     return rounded(out.withColumn("pred", F.col("pred").cast("int")), "p")
 
 
@@ -135,6 +138,63 @@ def trn14_prd9_all_baselines(spark, sf):
     return out
 
 
+ROUNDS = 6
+
+
+def boost_sql(k: int) -> str:
+    """Round k on the margins s{k}: weights by feature, level and label, the stump of the least error, the margins after it."""
+    return f"""h{k} AS MATERIALIZED (SELECT i AS f, level, y, sum(exp(-(2 * y - 1) * m)) AS w FROM s{k} JOIN lv USING (win) WHERE NOT held GROUP BY ALL),
+    c{k} AS (SELECT f, t, sum(CASE WHEN (level > t)::INT = y THEN 0 ELSE w END) / sum(w) AS wrong FROM h{k}, unnest(range(0, {LEVELS - 1})) AS u(t) GROUP BY ALL),
+    t{k} AS (SELECT round(wrong, 12) AS e, f, t, 0 AS o FROM c{k} UNION ALL SELECT round(1 - wrong, 12), f, t, 1 FROM c{k}),
+    b{k} AS MATERIALIZED (SELECT e, f, t, 1 - 2 * o AS sign, 0.5 * ln((1 - greatest(e, 1e-10)) / greatest(e, 1e-10)) AS vote FROM t{k} ORDER BY e, f, t, o LIMIT 1),
+    s{k + 1} AS MATERIALIZED (SELECT s.win, y, held, m + sign * vote * CASE WHEN level > t THEN 1 ELSE -1 END AS m FROM s{k} s JOIN lv USING (win) JOIN b{k} ON lv.i = b{k}.f)"""
+
+
+BOOST = f"""{LV}, s0 AS MATERIALIZED (SELECT vec_id AS win, label % 2 AS y, vec_id % 5 = 0 AS held, 0::DOUBLE AS m FROM embeddings), {", ".join(boost_sql(k) for k in range(ROUNDS))}"""
+
+
+def leveled_rows(spark, sf) -> DataFrame:
+    rows = levels(spark, sf).groupBy("win", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "level"))), lambda x: x["level"]).alias("levels"))
+    return rows.withColumn("label", F.col("label") % 2)
+
+
+def stumps_of(spark, sf) -> tuple[DataFrame, list]:
+    rows = kept(spark, "leveled")(leveled_rows(spark, sf))
+    return rows, bo.boosted_stumps(rows.filter("win % 5 <> 0"), ROUNDS, LEVELS)
+
+
+@query(f"WITH {BOOST} " + " UNION ALL ".join(f"SELECT {k + 1}::INT AS round, f::INT AS feature, t::INT AS cut, sign::INT AS sign, round(vote, 6) AS vote FROM b{k}" for k in range(ROUNDS)))
+def trn14_boosted_stumps(spark, sf):
+    """Stumps found on reweighted rows, one after another, with their votes."""
+    _, stumps = stumps_of(spark, sf)
+    out = spark.createDataFrame([(i + 1, s.feature, s.cut, s.sign, s.vote) for i, s in enumerate(stumps)], "round int, feature int, cut int, sign int, vote double")
+    return rounded(out, "vote")
+
+
+@query(f"WITH {BOOST} SELECT win, (m > 0)::INT AS pred, round(m, 6) AS margin FROM s{ROUNDS} WHERE held")
+def trn14_prd9_boosted(spark, sf):
+    """What they say of the rows that they weren't found on."""
+    rows, stumps = stumps_of(spark, sf)
+    m = bo.margin(stumps)
+    return rounded(rows.filter("win % 5 = 0").select("win", (m > 0).cast("int").alias("pred"), m.alias("margin")), "margin")
+
+
+@query()
+def trn14_prd9_kernel_and_boosted_learners(spark, sf):
+    """A machine with a Gaussian kernel, trees and linear machines on reweighted rows: predictions of every fifth vector."""
+    from pyspark.ml import classification as c
+    from pyspark.ml.functions import array_to_vector
+
+    rows = kept(spark, "vectors")(table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("v")))
+    train, test = rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0")
+    out = ke.KernelSVM(train).transform(test).select("vec_id", "label", F.lit("kernel").alias("kind"), F.col("prediction").cast("int").alias("pred"), F.lit(None).cast("double").alias("p"))
+    vectors = lambda df: df.withColumn("features", array_to_vector("v"))
+    for kind, learner in (("adaboost_tree", c.DecisionTreeClassifier(maxDepth=2, seed=1)), ("adaboost_svm", c.LinearSVC(maxIter=5))):
+        said = bo.AdaBoost(vectors(train).select("label", "features"), learner, 4, kept(spark, "weights")).transform(vectors(test))
+        out = out.unionByName(said.select("vec_id", "label", F.lit(kind).alias("kind"), F.col("prediction").cast("int").alias("pred"), "p"))
+    return out
+
+
 # ---- encoders
 
 HOWS = {
