@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperloom.operators.ranges import meet
 from hyperloom.operators.windows import series
 
 
@@ -27,15 +28,16 @@ def label_events(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
 
 
 def match_events(true: DataFrame, pred: DataFrame, keys: list[str], before: int, after: int, widen: bool = False) -> DataFrame:
-    """Every pair of a true and a predicted event that meet, or come within the tolerances: overlap, fp_before, fp_after."""
-    t, p = true.alias("t"), pred.alias("p")
-    same = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in keys]
-    reach = (F.col("p.start") < F.col("t.stop") + after) & (F.col("p.stop") > F.col("t.start") - before)
-    low, high = (F.col("t.start") - before, F.col("t.stop") + after) if widen else (F.col("t.start"), F.col("t.stop"))
-    return t.join(p, [*same, reach]).select(
-        *[f"t.{k}" for k in keys], F.col("t.event_id").alias("true_id"), F.col("p.event_id").alias("pred_id"),
-        F.greatest(F.least(F.col("p.stop"), high) - F.greatest(F.col("p.start"), low), F.lit(0)).alias("overlap"),
-        F.greatest(F.col("t.start") - before - F.col("p.start"), F.lit(0)).alias("fp_before"), F.greatest(F.col("p.stop") - F.col("t.stop") - after, F.lit(0)).alias("fp_after"),
+    """Every pair of a true and a predicted event that meet, or come within the tolerances: overlap, fp_before, fp_after. They
+    are joined by key and time bin."""
+    wide = true.select(*keys, "event_id", (F.col("start") - before).alias("start"), (F.col("stop") + after).alias("stop"))
+    both = meet(wide, pred.select(*keys, "event_id", "start", "stop"), keys)
+    start, stop = F.col("l_start") + before, F.col("l_stop") - after
+    low, high = (F.col("l_start"), F.col("l_stop")) if widen else (start, stop)
+    return both.select(
+        *[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_event_id").alias("true_id"), F.col("r_event_id").alias("pred_id"),
+        F.greatest(F.least(F.col("r_stop"), high) - F.greatest(F.col("r_start"), low), F.lit(0)).alias("overlap"),
+        F.greatest(F.col("l_start") - F.col("r_start"), F.lit(0)).alias("fp_before"), F.greatest(F.col("r_stop") - F.col("l_stop"), F.lit(0)).alias("fp_after"),
     )
 
 

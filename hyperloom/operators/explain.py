@@ -3,6 +3,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,20 +69,58 @@ def optimal_count(perf: DataFrame, keys: list[str], slack: float = 0.005) -> Dat
     return perf.withColumn("_top", top).filter(F.col("value") > F.col("_top") - slack).groupBy(*keys).agg(F.min("k").alias("k"))
 
 
+def by_pairs(el: DataFrame, keys: list[str], value: str, sums: list[str], of) -> DataFrame:
+    """(one, other, n, sums) over all windows that have both elements. Windows come as rows of a matrix, one column for each
+    element, in Arrow batches; ``of`` turns values and a mask of those that are there into element x element sums, which a task
+    adds up: windows x elements rows are shuffled once, and elements^2 rows leave a task, not windows x elements^2."""
+    kind = dict(el.dtypes)["element"]
+    rows = el.groupBy(*keys, "win").agg(F.collect_list("element").alias("element"), F.collect_list(F.col(value).cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict = {}
+        held = np.zeros((len(sums) + 1, 0, 0))
+        for batch in batches:
+            lists, values = batch.column("element"), batch.column("v")
+            coded = lists.flatten().dictionary_encode()
+            own = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], dtype=np.int64)
+            x = np.full((batch.num_rows, len(names)), np.nan)
+            if len(own):
+                x[np.asarray(pc.list_parent_indices(lists)), own[np.asarray(coded.indices)]] = np.asarray(values.flatten())
+            there = ~np.isnan(x)
+            grown = len(names) - held.shape[1]
+            held = np.pad(held, ((0, 0), (0, grown), (0, grown))) if grown else held
+            seen = there.astype(float)
+            held += np.stack([seen.T @ seen, *of(np.where(there, x, 0.0), seen)])
+        i, j = np.nonzero(held[0])
+        labels = pa.array(list(names)).cast(pa.from_numpy_dtype(np.int64)) if names and isinstance(next(iter(names)), int) else pa.array(list(names), pa.string())
+        columns = [labels.take(pa.array(i)), labels.take(pa.array(j)), *[pa.array(h[i, j]) for h in held]]
+        yield pa.RecordBatch.from_arrays(columns, names=["one", "other", "n", *sums])
+
+    wide = "long" if kind in ("int", "bigint", "smallint", "tinyint") else "string"
+    parts = rows.select("element", "v").mapInArrow(run, f"one {wide}, other {wide}, n double, " + ", ".join(f"{s} double" for s in sums))
+    added = parts.groupBy("one", "other").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
+    return added.withColumns({"one": F.col("one").cast(kind), "other": F.col("other").cast(kind)})
+
+
 def agreement(el: DataFrame, keys: list[str]) -> DataFrame:
     """1 - mean difference of two elements' probabilities of class 1."""
-    a, b = el.alias("a"), el.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "win"]]
-    return a.join(b, same).groupBy(F.col("a.element").alias("one"), F.col("b.element").alias("other")).agg((1 - F.avg(F.abs(F.col("a.p1") - F.col("b.p1")))).alias("agreement"))
+
+    def apart(x: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+        return [np.stack([(np.abs(x[:, i : i + 1] - x) * there * there[:, i : i + 1]).sum(axis=0) for i in range(x.shape[1])])]
+
+    return by_pairs(el, keys, "p1", ["apart"], apart).select("one", "other", (1 - F.col("apart") / F.col("n")).alias("agreement"))
 
 
 def prediction_overlap(el: DataFrame, keys: list[str]) -> DataFrame:
     """Shares of windows that both, one or none of two elements predict right."""
-    rows = el.withColumn("ok", F.col("pred") == F.col("y"))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "win"]]
-    share = lambda x, y: F.avg(((F.col("a.ok") == F.lit(x)) & (F.col("b.ok") == F.lit(y))).cast("double"))
-    return a.join(b, same).groupBy(F.col("a.element").alias("one"), F.col("b.element").alias("other")).agg(share(True, True).alias("cc"), share(True, False).alias("cw"), share(False, True).alias("wc"), share(False, False).alias("ww"))
+    rows = el.withColumn("ok", (F.col("pred") == F.col("y")).cast("int"))
+
+    def counts(x: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+        wrong = there - x
+        return [x.T @ x, x.T @ wrong, wrong.T @ x, wrong.T @ wrong]
+
+    names = ["cc", "cw", "wc", "ww"]
+    return by_pairs(rows, keys, "ok", names, counts).select("one", "other", *[(F.col(c) / F.col("n")).alias(c) for c in names])
 
 
 def reduce_pairs(pairs: DataFrame, by: list[str], value: str) -> DataFrame:

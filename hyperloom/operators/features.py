@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperloom.operators.selection import exact_percentiles
 from hyperloom.operators.windows import running_stats, running_sum, series, sliding_windows, zero_crossings
 
 #: Bands of the spectrum in Hz (fixed values).
@@ -78,9 +79,10 @@ def lbp_codes(df: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
     return df.withColumn("lbp", code)
 
 
-def percentile_range(df: DataFrame, keys: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    p = F.percentile("x", F.array(F.lit(lo), F.lit(hi)))
-    return df.groupBy(*keys).agg(p.alias("p")).select(*keys, F.col("p")[0].alias("p_lo"), F.col("p")[1].alias("p_hi"), (F.col("p")[1] - F.col("p")[0]).alias("range"))
+def percentile_range(df: DataFrame, keys: list[str], keep, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """The exact percentiles, by counting passes over the samples that ``keep`` stores."""
+    p = exact_percentiles(df, keys, "x", [lo, hi], keep)
+    return p.select(*keys, F.col("p")[0].alias("p_lo"), F.col("p")[1].alias("p_hi"), (F.col("p")[1] - F.col("p")[0]).alias("range"))
 
 
 def entropy_symbol(values: DataFrame, column: str, lo: float, hi: float, levels: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperloom.operators.ranges import covered
+
 
 def select_channels(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Rows of the named channels with their place; a recording that lacks one is left out."""
@@ -40,15 +42,14 @@ def cut_segments(df: DataFrame, onsets: DataFrame, keys: list[str], segments: di
 
 
 def drop_margins(df: DataFrame, events: DataFrame, keys: list[str], before: int, after: int, after_events: bool = True) -> DataFrame:
-    """Rows outside the margins around events. A margin ends where the neighbouring event begins."""
+    """Rows outside the margins around events, looked up by key and time bin. A margin ends where the neighbouring event begins."""
     w = W.partitionBy(*keys).orderBy("start")
     lo = F.greatest(F.col("start") - before, F.coalesce(F.lag("stop").over(w), F.lit(0)))
     hi = F.least(F.col("stop") + after, F.coalesce(F.lead("start").over(w), F.lit(1 << 62))) if after_events else F.col("stop")
-    m = events.select(*keys, lo.alias("lo"), F.col("start").alias("a"), F.col("stop").alias("b"), hi.alias("hi"))
-    inside = [F.col(f"d.{k}") == F.col(f"m.{k}") for k in keys]
-    t = F.col("d.t")
-    gone = ((t >= F.col("m.lo")) & (t < F.col("m.a"))) | ((t >= F.col("m.b")) & (t < F.col("m.hi")))
-    return df.alias("d").join(m.alias("m"), [*inside, gone], "left_anti")
+    margins = events.select(*keys, "start", "stop", lo.alias("lo"), hi.alias("hi"))
+    cut = F.array(F.struct(F.col("lo").alias("start"), F.col("start").alias("stop")), F.struct(F.col("stop").alias("start"), F.col("hi").alias("stop")))
+    margins = margins.select(*keys, F.explode(cut).alias("m")).select(*keys, "m.*")
+    return covered(df, margins, keys, "left_anti")
 
 
 def drop_first(df: DataFrame, n: int = 1) -> DataFrame:
@@ -57,11 +58,9 @@ def drop_first(df: DataFrame, n: int = 1) -> DataFrame:
 
 def label_by_interval(df: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
     """label 1 for rows with start <= t < stop of an interval."""
-    d, i = df.drop("label").alias("d"), intervals.select(*keys, "start", "stop").distinct().alias("i")
-    same = [F.col(f"d.{k}") == F.col(f"i.{k}") for k in keys]
-    hit = d.join(i, [*same, F.col("d.t") >= F.col("i.start"), F.col("d.t") < F.col("i.stop")], "left_semi").withColumn("label", F.lit(1))
-    miss = d.join(i, [*same, F.col("d.t") >= F.col("i.start"), F.col("d.t") < F.col("i.stop")], "left_anti").withColumn("label", F.lit(0))
-    return hit.unionByName(miss)
+    rows = df.drop("label")
+    hit = covered(rows, intervals, keys, "left_semi").withColumn("label", F.lit(1))
+    return hit.unionByName(covered(rows, intervals, keys, "left_anti").withColumn("label", F.lit(0)))
 
 
 def numbered(df: DataFrame, order: list[str], to: str, blocks: int = 256) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyperloom.operators.selection import exact_percentiles
+
 
 def fit_minmax(train: DataFrame, by: list[str]) -> DataFrame:
     return train.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def fit_percentile(train: DataFrame, by: list[str], p: float = 0.9) -> DataFrame:
-    """Minimum and a high percentile in the place of the maximum."""
-    return train.groupBy(*by).agg(F.min("v").alias("lo"), F.percentile("v", F.lit(p)).alias("hi"))
+def fit_percentile(train: DataFrame, by: list[str], keep, p: float = 0.9) -> DataFrame:
+    """Minimum and a high exact percentile in the place of the maximum."""
+    found = exact_percentiles(train, by, "v", [0.0, p], keep)
+    return found.select(*by, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
 def leveled(norm: Column, levels: int) -> Column:

@@ -17,6 +17,41 @@ def distances(enc: DataFrame, model: DataFrame, keys: list[str], on: list[str] =
     return joined.select(*keys, *[c for c in on if c not in keys], "class", *extra, hv_distance("hv", "_hv").alias("dist"))
 
 
+#: Words of prototypes that are sent to every task as one row; a larger model is joined as Spark sees fit.
+SENT = 1 << 23
+
+
+def nearness(enc: DataFrame, model: DataFrame, keys: list[str], on: list[str] = ()) -> DataFrame:
+    """(keys, near): each window with the array of (dist, class, centroid) to all prototypes. The model, stored before, comes as
+    one row of arrays (one for each value of ``on``), sent to the tasks if its counted size is under SENT, so windows neither
+    multiply nor move, and what is asked of the distances is asked in the row."""
+    centroid = F.col("centroid") if "centroid" in model.columns else F.lit(0)
+    size = model.agg(F.sum(F.size("hv"))).first()[0] or 0
+    held = model.groupBy(*on).agg(F.collect_list(F.struct(F.col("class"), centroid.cast("int").alias("centroid"), F.col("hv").alias("of"))).alias("_model"))
+    held = F.broadcast(held) if size <= SENT else held
+    joined = enc.join(held, list(on)) if on else enc.crossJoin(held)  # without on, held is one row
+    near = F.transform("_model", lambda m: F.struct(hv_distance("hv", m["of"]).alias("dist"), m["class"].alias("class"), m["centroid"].alias("centroid")))
+    return joined.select(*keys, near.alias("near"))
+
+
+def nearest(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The nearest class, as :func:`predict`, from rows of :func:`nearness`."""
+    b = F.array_min("near")
+    return near.select(*keys, b["class"].alias("pred"), b["dist"].alias("dist"))
+
+
+def least(near: str, c: int) -> Column:
+    """The nearest (dist, centroid) of a class."""
+    return F.array_min(F.transform(F.filter(near, lambda x: x["class"] == c), lambda x: F.struct(x["dist"].alias("dist"), x["centroid"].alias("centroid"))))
+
+
+def nearest_multi(near: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`predict_multi`, from rows of :func:`nearness`."""
+    both = near.select(*keys, least("near", 0).alias("a"), least("near", 1).alias("b"))
+    one = F.coalesce(F.col("b.dist") < F.col("a.dist"), F.col("a").isNull())
+    return both.select(*keys, one.cast("int").alias("pred"), F.when(one, F.col("b.centroid") + 1).otherwise(-F.col("a.centroid") - 1).alias("centroid"))
+
+
 def predict(dist: DataFrame, keys: list[str]) -> DataFrame:
     """The nearest class; ties go to the lowest."""
     best = dist.groupBy(*keys).agg(F.min(F.struct("dist", "class")).alias("b"))

@@ -18,7 +18,7 @@ from hyperloom.operators import train as tr
 from hyperloom.plans import models as mo
 from hyperloom.plans import signals as si
 from hyperloom.plans.registry import ENC, IM, LEVELS, LV, ORACLES, STEP, WINS, D, L, S, bit_sql, encoded, hv_sql, levels, query, rounded, shown, table, vectors
-from hyperloom.plans.streams import kept, scratch
+from hyperloom.sources.scratch import kept, scratch
 
 # ---- two classes of five centroids: class = label mod 2, centroid = label div 2
 
@@ -42,7 +42,9 @@ def centroid_distances(spark, sf) -> DataFrame:
 
 @query(f"WITH {CM}, {NEAR} SELECT win, (b // 100 < a // 100)::INT AS pred, (CASE WHEN b // 100 < a // 100 THEN b % 100 + 1 ELSE -(a % 100) - 1 END)::INT AS centroid FROM nr")
 def prd4_nearest_centroids(spark, sf):
-    out = pr.predict_multi(centroid_distances(spark, sf), ["win"])
+    rows = centroid_rows(spark, sf)
+    model = kept(spark, "model")(packed(centroid_model(rows), "class", "centroid"))
+    out = pr.nearest_multi(pr.nearness(packed(rows, "win"), model, ["win"]), ["win"])
     return out.select("win", "pred", F.col("centroid").cast("int").alias("centroid"))
 
 

@@ -14,6 +14,7 @@ from hyperloom.operators import similarity as si
 from hyperloom.operators import smooth as sm
 from hyperloom.operators import train as tr
 from hyperloom.plans.registry import DIST, ENC, IM, LEVELS, LV, MODEL, D, Y, bit_sql, distances_of, encoded, hv_sql, levels, model_of, query, rounded, shown, stream_of, table
+from hyperloom.sources.scratch import kept
 
 # ---- item memories and vector functions: a vector for every supplier, or for every part the vector of its size's level
 
@@ -301,7 +302,9 @@ def trn14_prd9_baseline(spark, sf):
 
 @query(f"WITH {DIST} SELECT win, label, pred, dist FROM pred")
 def prd1_nearest_class(spark, sf):
-    return pr.predict(distances_of(spark, sf), ["win", "label"])
+    enc = encoded(spark, sf)
+    model = kept(spark, "model")(packed(model_of(enc), "class"))
+    return pr.nearest(pr.nearness(packed(enc, "win", "label"), model, ["win", "label"]), ["win", "label"])
 
 
 TWO = "two AS (SELECT win, label, min(dist) FILTER (class = 0) AS d0, min(dist) FILTER (class = 1) AS d1 FROM dist GROUP BY 1, 2)"

@@ -11,6 +11,7 @@ from hyperloom.operators import normalise as no
 from hyperloom.operators import windows as wi
 from hyperloom.plans.registry import E_, LV, STEP, WINS, L, S, levels, query, rounded, signal, table, vectors
 from hyperloom.sources import tables as so
+from hyperloom.sources.scratch import kept
 
 K = ["subject"]
 KW = ["subject", "win"]
@@ -237,7 +238,7 @@ def fea15_lbp_codes(spark, sf):
 
 @query(f"WITH {S} SELECT subject, channel, round(quantile_cont(x, 0.05), 6) AS p_lo, round(quantile_cont(x, 0.95), 6) AS p_hi, round(quantile_cont(x, 0.95) - quantile_cont(x, 0.05), 6) AS range FROM s GROUP BY 1, 2")
 def fea17_percentile_range(spark, sf):
-    return rounded(fe.percentile_range(signal(spark, sf), ["subject", "channel"]), "p_lo", "p_hi", "range")
+    return rounded(fe.percentile_range(signal(spark, sf), ["subject", "channel"], kept(spark, "samples")), "p_lo", "p_hi", "range")
 
 
 @query(f"WITH {WINS}, d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY subject, win ORDER BY t)) AS d FROM w), q AS (SELECT subject, win, avg(abs(x)) AS mean_ampl, avg(d) AS line_length FROM d GROUP BY 1, 2) SELECT subject, win, 'mean_ampl' AS feature, round(mean_ampl, 6) AS v FROM q UNION ALL SELECT subject, win, 'line_length', round(line_length, 6) FROM q")
@@ -298,7 +299,7 @@ def nrm1_minmax_levels(spark, sf):
 @query(f"WITH {E_}, mm AS (SELECT i, min(v) AS lo, quantile_cont(v, 0.9) AS hi FROM e GROUP BY i) SELECT win, i::INT AS i, greatest(floor(round(19 * least((v - lo) / (hi - lo), 1), 9)), 0)::INT AS level FROM e JOIN mm USING (i)")
 def nrm2_percentile_levels(spark, sf):
     e = vectors(spark, sf)
-    rows = no.discretise(e, no.fit_percentile(e, ["i"]), ["i"], 20, clip=True)
+    rows = no.discretise(e, no.fit_percentile(e, ["i"], kept(spark, "values")), ["i"], 20, clip=True)
     return rows.select("win", "i", no.leveled(F.round(19 * F.col("norm"), 9) / 19, 20).alias("level"))
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,25 +16,11 @@ from hyperloom.plans.models import K, packed_rows, wrong_rows
 from hyperloom.plans.registry import DIST, ENC, LEVELS, MODEL, S, D, distances_of, encoded, hv_sql, levels, model_of, query, rounded, shown, signal, table
 from hyperloom.plans.signals import L, STEP, windows
 from hyperloom.sources import tables as so
+from hyperloom.sources.scratch import kept, scratch
 from hyperloom.streaming import online as on
 from hyperloom.streaming import operators as st
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="hyperloom-")
-    path = f"{root}/hyperloom-{label}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)  # with the application
-    return f"{path}/rows"
-
-
 def streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table as a stream of its files; a pattern, since a small table is one file."""
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
@@ -260,17 +242,6 @@ def trn9_retrain_centroids(spark, sf):
     return model.select("fold", "class", "centroid", "n").join(change.groupBy("fold", "class", "centroid").agg(F.sum("c").alias("change")), ["fold", "class", "centroid"], "left").fillna(0, ["change"])
 
 
-def kept(spark, label):
-    """Writes a model and reads it back: each pass starts from a stored one."""
-
-    def keep(model: DataFrame) -> DataFrame:
-        path = scratch(spark, label)
-        model.write.parquet(path)
-        return spark.read.schema(model.schema).parquet(path)
-
-    return keep
-
-
 @query()
 def trn10_retrain_until(spark, sf):
     """Passes over wrong windows, 31 at most, until the rule of the last three gains says stop; the best pass is returned."""
