@@ -148,6 +148,11 @@ def fft_peak_levels_of(x: np.ndarray, fs: float, bound: float, levels: int) -> d
 
 def cwt_symbol_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float = 6.0) -> int:
     """Index of the Morlet band with the largest root-mean-square energy in the middle fifth of the window."""
+    return int(np.argmax(cwt_energies_of(x, fs, freqs, cycles)))
+
+
+def cwt_energies_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float = 6.0) -> np.ndarray:
+    """Root-mean-square energy of each Morlet band in the middle fifth of the window."""
     energy = []
     for f in freqs:
         s = cycles / (2 * np.pi * f)
@@ -157,7 +162,22 @@ def cwt_symbol_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float =
         part = np.convolve(x - x.mean(), wave)[first : first + len(x)]
         a, b = int(len(part) * 0.4), max(int(len(part) * 0.6), int(len(part) * 0.4) + 1)
         energy.append(np.sqrt((np.abs(part[a:b]) ** 2).mean()))
-    return int(np.argmax(energy))
+    return np.array(energy)
+
+
+def fit_noise(energies: DataFrame, background: Column) -> DataFrame:
+    """One row, noise: the mean share of each band in the energy of background windows, from rows with an array of energies."""
+    total = F.aggregate("energies", F.lit(0.0), lambda s, x: s + x)
+    shares = energies.filter(background & (total > 0)).select(F.posexplode(F.transform("energies", lambda x: x / total)).alias("band", "share"))
+    means = shares.groupBy("band").agg(F.avg("share").alias("share"))
+    return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "share"))), lambda x: x["share"]).alias("noise"))
+
+
+def noise_free_symbol(energies: DataFrame, noise: DataFrame) -> DataFrame:
+    """Adds symbol: the band whose energy is the largest multiple of the noise's (the first, if tied)."""
+    rows = energies.crossJoin(F.broadcast(noise))  # one row
+    ratio = F.transform("energies", lambda x, i: F.struct(F.round(x / F.get("noise", i), 9).alias("r"), (-i).alias("at")))
+    return rows.withColumn("symbol", -F.array_max(ratio)["at"]).drop("noise")
 
 
 def simplified(x: np.ndarray, eps: float) -> np.ndarray:

@@ -93,6 +93,57 @@ def general_evolution(models: DataFrame, by: list[str], order: str = "subject")
     return rows.select(*by, order, "k", "pos", (F.round("sum", 9) > F.floor(F.col("k") / 2)).cast("int").alias("bit"))
 
 
+def general_evolution_shuffled(personal: DataFrame, by: list[str], shuffles: int = 10, seed: int = 42, subject: str = "subject") -> DataFrame:
+    """(by, k, mean, std): how alike the majority (ties to 1) of the first k subjects is to the personal vectors of all but the
+    first subject, over seeded orders of the subjects. personal: (subject, by, pos, bit), rows with the same places each.
+
+    Orders are a table, majorities running sums along them. The mean likeness to many vectors needs no pairs: at each place it
+    is the share of the vectors that have the majority's bit.
+    """
+    from pyspark.sql import Window as W
+
+    names = personal.select(subject).distinct()
+    orders = names.crossJoin(personal.sparkSession.range(shuffles).select(F.col("id").cast("int").alias("shuffle")))  # a few orders of subjects
+    mixed = F.md5(F.concat_ws("|", F.lit(f"{seed}|shuffle"), F.col("shuffle").cast("string"), F.col(subject).cast("string")))
+    orders = orders.withColumn("_at", F.row_number().over(W.partitionBy("shuffle").orderBy(mixed, subject))).select(subject, "shuffle", "_at")
+    w = W.partitionBy("shuffle", *by, "pos").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    grown = personal.join(orders, subject).withColumns({"_sum": F.sum("bit").over(w), "k": F.count("*").over(w)})
+    grown = grown.select("shuffle", *by, "pos", F.col("k").cast("int").alias("k"), (2 * F.col("_sum") >= F.col("k")).alias("_set"))
+    first = personal.agg(F.min(subject).alias("_first"))
+    shares = personal.crossJoin(first).filter(F.col(subject) != F.col("_first")).groupBy(*by, "pos").agg(F.avg("bit").alias("_share"))
+    alike = F.avg(F.when(F.col("_set"), F.col("_share")).otherwise(1 - F.col("_share")))
+    each = grown.join(shares, [*by, "pos"]).groupBy("shuffle", *by, "k").agg(alike.alias("s"))
+    return each.groupBy(*by, "k").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"))
+
+
+def compare_rules(personal: DataFrame, general: DataFrame, d: int) -> DataFrame:
+    """(rule, measure, mean, std) over subjects of the likeness of personal vectors (subject, class, hv) to general ones (rule,
+    class, hv): nsns, ss, nss (general 0, personal 1), sns, those of one class together (correct), of the other one (wrong), and
+    by how much the own class is nearer (margin)."""
+    p = personal.select("subject", F.col("class").alias("own"), F.col("hv").alias("_a"))
+    g = general.select("rule", F.col("class").alias("of"), F.col("hv").alias("_b"))
+    each = p.crossJoin(g).select("rule", "subject", "own", "of", (1 - hv_distance("_a", "_b") / d).alias("s"))  # models only
+    pick = lambda of, own: F.max(F.when((F.col("of") == of) & (F.col("own") == own), F.col("s")))
+    wide = each.groupBy("rule", "subject").agg(pick(0, 0).alias("nsns"), pick(1, 1).alias("ss"), pick(0, 1).alias("nss"), pick(1, 0).alias("sns"))
+    both = {"correct": ["nsns", "ss"], "wrong": ["nss", "sns"]}
+    parts = [F.struct(F.lit(m).alias("measure"), F.col(c).alias("v")) for m, cs in ({m: [m] for m in ("nsns", "ss", "nss", "sns")} | both).items() for c in cs]
+    parts += [F.struct(F.lit("margin").alias("measure"), (F.col(a) - F.col(b)).alias("v")) for a, b in (("nsns", "sns"), ("ss", "nss"))]
+    rows = wide.select("rule", F.explode(F.array(*parts)).alias("m")).select("rule", "m.*")
+    return rows.groupBy("rule", "measure").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+def similarity_histogram(matrix: DataFrame, bins: int = 20, lo: float = 0.5, hi: float = 1.05) -> DataFrame:
+    """(kind, bin, n, share) of the similarities within subjects (of their two classes) and between subjects (nsns, sns, ss), less
+    those of a vector with one equal to it (over 0.9999); values outside lo .. hi aren't counted."""
+    from pyspark.sql import Window as W
+
+    same, a, b = F.col("subject_a") == F.col("subject_b"), F.col("class_a"), F.col("class_b")
+    kind = F.when(same & (a == 1) & (b == 0), "within").when(same, None).when((a == 0) & (b == 0), "nsns").when((a == 1) & (b == 1), "ss").when((a == 1) & (b == 0), "sns")
+    rows = matrix.withColumn("kind", kind).filter(F.col("kind").isNotNull() & (F.col("similarity") <= 0.9999) & (F.col("similarity") >= lo))
+    counted = rows.groupBy("kind", F.floor((F.col("similarity") - lo) / ((hi - lo) / bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("kind")))
+
+
 def compare_general(personal: DataFrame, general: DataFrame, d: int) -> DataFrame:
     """Mean and spread of the similarity of personal vectors to a general model's, by classes."""
     p = pairs(personal, general, ["class"]).withColumn("s", 1 - hv_distance("_a", "_b") / d)

@@ -719,6 +719,33 @@ def gen5_general_evolution(spark, sf):
     return si.general_evolution(personal(spark, sf), ["class"])
 
 
+@query(f"""WITH {PM}, o AS (SELECT subject, h, row_number() OVER (PARTITION BY h ORDER BY md5('42|shuffle|' || h || '|' || subject), subject) AS nth FROM (SELECT DISTINCT subject FROM pm0), unnest(range(0, 10)) AS u(h)),
+    g AS (SELECT h, class, pos, nth AS k, (2 * sum(bit) OVER v >= count(*) OVER v)::INT AS bit FROM pm0 JOIN o USING (subject) WINDOW v AS (PARTITION BY h, class, pos ORDER BY nth)),
+    s AS (SELECT h, g.class, k, p.subject, avg((g.bit = p.bit)::INT) AS s FROM g JOIN pm0 p USING (class, pos) WHERE p.subject <> (SELECT min(subject) FROM pm0) GROUP BY ALL), m AS (SELECT h, class, k, avg(s) AS s FROM s GROUP BY ALL)
+    SELECT class, k::INT AS k, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std FROM m GROUP BY 1, 2""")
+def gen5_evolution_over_orders(spark, sf):
+    """How alike the growing majority is to all personal vectors, over ten orders of the subjects."""
+    return rounded(si.general_evolution_shuffled(personal(spark, sf).select("subject", "class", "pos", "bit"), ["class"]), "mean", "std")
+
+
+@query(f"""WITH {GEN}, vt AS (SELECT class, pos, (2 * sum(bit) >= count(*))::INT AS bit FROM pm0 GROUP BY 1, 2), rl AS (SELECT 'sum' AS rule, * FROM gn UNION ALL SELECT 'vote', * FROM vt),
+    s AS (SELECT rule, subject, r.class AS of_, p.class AS own, avg((r.bit = p.bit)::INT) AS s FROM rl r JOIN pm0 p USING (pos) GROUP BY ALL), w AS (SELECT rule, subject, max(s) FILTER (of_ = 0 AND own = 0) AS nsns, max(s) FILTER (of_ = 1 AND own = 1) AS ss, max(s) FILTER (of_ = 0 AND own = 1) AS nss, max(s) FILTER (of_ = 1 AND own = 0) AS sns FROM s GROUP BY ALL),
+    m AS (SELECT rule, unnest(['nsns', 'ss', 'nss', 'sns', 'correct', 'correct', 'wrong', 'wrong', 'margin', 'margin']) AS measure, unnest([nsns, ss, nss, sns, nsns, ss, nss, sns, nsns - sns, ss - nss]) AS v FROM w)
+    SELECT rule, measure, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM m GROUP BY 1, 2""")
+def gen6_compare_rules(spark, sf):
+    """Two ways of making general vectors: sums of what subjects share, and a vote of their bits."""
+    p = personal(spark, sf)
+    vote = si.personal_vector(p.withColumn("fold", F.col("subject")), ["class"])
+    rules = [packed(si.general_vector(p, ["class"]), "class").withColumn("rule", F.lit("sum")), packed(vote, "class").withColumn("rule", F.lit("vote"))]
+    return rounded(si.compare_rules(packed(p, "subject", "class"), rules[0].unionByName(rules[1]), D), "mean", "std")
+
+
+@query(f"""WITH {SIM}, k AS (SELECT CASE WHEN subject_a = subject_b AND class_a = 1 AND class_b = 0 THEN 'within' WHEN subject_a = subject_b THEN NULL WHEN class_a = 0 AND class_b = 0 THEN 'nsns' WHEN class_a = 1 AND class_b = 1 THEN 'ss' WHEN class_a = 1 THEN 'sns' END AS kind, similarity FROM sim),
+    c AS (SELECT kind, floor((similarity - 0.5) / 0.0275::DOUBLE)::INT AS bin, count(*) AS n FROM k WHERE kind IS NOT NULL AND similarity BETWEEN 0.5 AND 0.9999 GROUP BY ALL) SELECT kind, bin, n, round(n / sum(n) OVER (PARTITION BY kind), 6) AS share FROM c""")
+def sim4_similarity_histogram(spark, sf):
+    return rounded(si.similarity_histogram(matrix(spark, sf)), "share")
+
+
 @query(f"WITH {GEN}, s AS (SELECT p.class AS class_a, g.class AS class_b, subject, 1 - sum(xor(p.bit, g.bit)) / 64.0::DOUBLE AS s FROM pm0 p JOIN gn g USING (pos) GROUP BY ALL) SELECT class_a, class_b, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std FROM s GROUP BY 1, 2")
 def gen6_compare_general(spark, sf):
     p = personal(spark, sf)

@@ -266,13 +266,25 @@ def fea9_fea10_entropy_features(spark, sf):
     return fe.entropy_features(windows(spark, sf), KW, level=2)
 
 
-@query(f"""WITH {WINS}, q AS (SELECT subject, win, x - avg(x) OVER (PARTITION BY subject, win) AS v, t - win * {STEP} AS i FROM w), b AS (SELECT k, f, 3 / (pi() * f) AS s, (ceil((24 / (pi() * f) + 0.0625) * 8)::BIGINT - 1) // 2 AS mid FROM (VALUES (0, 0.5::DOUBLE), (1, 1), (2, 2)) AS b(k, f)),
-    a AS (SELECT subject, win, k, f, s, v, (3 - i + mid) / 8.0::DOUBLE - 4 * s AS tt FROM q, b), e AS (SELECT subject, win, k, (pow(sum(v * cos(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2) + pow(sum(v * sin(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2)) / s AS energy FROM a GROUP BY subject, win, k, s)
-    SELECT subject, win, arg_max(k, (round(energy, 9), -k))::INT AS symbol FROM e GROUP BY 1, 2""")
+MORLET = f"""{WINS}, q AS (SELECT subject, win, x - avg(x) OVER (PARTITION BY subject, win) AS v, t - win * {STEP} AS i FROM w), b AS (SELECT k, f, 3 / (pi() * f) AS s, (ceil((24 / (pi() * f) + 0.0625) * 8)::BIGINT - 1) // 2 AS mid FROM (VALUES (0, 0.5::DOUBLE), (1, 1), (2, 2)) AS b(k, f)),
+    a AS (SELECT subject, win, k, f, s, v, (3 - i + mid) / 8.0::DOUBLE - 4 * s AS tt FROM q, b), e AS (SELECT subject, win, k, (pow(sum(v * cos(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2) + pow(sum(v * sin(2 * pi() * f * tt) * exp(-tt * tt / (2 * s * s))), 2)) / s AS energy FROM a GROUP BY subject, win, k, s)"""
+
+
+@query(f"WITH {MORLET} SELECT subject, win, arg_max(k, (round(energy, 9), -k))::INT AS symbol FROM e GROUP BY 1, 2")
 def fea11_cwt_symbol(spark, sf):
     return fe.per_group(windows(spark, sf), KW, lambda x: {"symbol": fe.cwt_symbol_of(x, 8.0, [0.5, 1.0, 2.0])}, {"symbol": "int"})
 
 
+@query(f"""WITH {MORLET}, r AS (SELECT subject, win, k, sqrt(energy) AS rms, sqrt(energy) / nullif(sum(sqrt(energy)) OVER (PARTITION BY subject, win), 0) AS share FROM e), bg AS (SELECT subject, win FROM w GROUP BY 1, 2 HAVING sum(label) = 0),
+    nz AS (SELECT k, avg(share) AS noise FROM r JOIN bg USING (subject, win) GROUP BY 1) SELECT subject, win, arg_max(k, (round(rms / noise, 9), -k))::INT AS symbol FROM r JOIN nz USING (k) GROUP BY 1, 2""")
+def fea11_cwt_symbol_over_noise(spark, sf):
+    """The band that stands out most from windows without events."""
+    w = windows(spark, sf)
+    energies = fe.per_group(w, KW, lambda x: {"energies": fe.cwt_energies_of(x, 8.0, [0.5, 1.0, 2.0]).tolist()}, {"energies": "array<double>"})
+    rows = kept(spark, "energies")(energies.join(w.groupBy(*KW).agg(F.sum("label").alias("events")), KW))
+    return fe.noise_free_symbol(rows, fe.fit_noise(rows, F.col("events") == 0)).select(*KW, "symbol")
+
+
 @query(f"""WITH {WINS}, o AS (SELECT subject, win, x AS a, lead(x, 1) OVER v AS b, lead(x, 2) OVER v AS c FROM w WINDOW v AS (PARTITION BY subject, win ORDER BY t)),
     k AS (SELECT subject, win, (b < a)::INT + 2 * (c < a)::INT + 4 * (c < b)::INT AS shape, count(*) AS n FROM o WHERE c IS NOT NULL GROUP BY ALL), p AS (SELECT subject, win, n::DOUBLE / sum(n) OVER (PARTITION BY subject, win) AS p FROM k),
     q AS (SELECT subject, win, round(-sum(p * log2(p)) / log2(6), 6) AS e FROM p GROUP BY 1, 2) SELECT subject, win, least(greatest(floor((e - 0.3) / 0.07), 0), 9)::INT AS symbol FROM q""")
