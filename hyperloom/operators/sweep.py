@@ -175,7 +175,7 @@ def walk_forward(df: DataFrame, keys: list[str], fold: str, length: int, **optio
     """(keys, fold, threshold, f1): for every fold of a key the threshold fitted to all its earlier folds, one behind another;
     the default for the first fold. Rows of a fold go to each later one: that is what the thresholds are of."""
     folds = df.select(*keys, F.col(fold).alias("_for")).distinct()
-    order = series([*keys, "_for"], fold, "win")
+    order = W.partitionBy(*keys, "_for").orderBy(fold, "win")
     earlier = df.join(folds, keys).filter(F.col(fold) < F.col("_for")).withColumn("win", F.row_number().over(order) - 1)
     found = fit_threshold(earlier, [*keys, "_for"], length, **options)
     default = options.get("default", 1.5)
