@@ -3,15 +3,17 @@
 Everything is DataFrame functions. Four base kinds are found by pattern and check, and always stay. Beside them, generators
 of high recall propose overlapping candidates (runs of digits, long tokens of letters and digits, assignments, groups of
 hexadecimal digits, addresses that are spelt out). Each has features of its format and of the characters and words around
-it. Gradient-boosted trees are trained on EXAMPLES labelled lines, a bounded set made here from templates and a seed;
-lines of other templates, which the trees never saw, set for every generator the lowest threshold that reaches PRECISION.
-A model is trained once for each Spark application. The trees become arrays that one expression walks for the candidates
+it. Gradient-boosted trees are trained on EXAMPLES labelled lines, a bounded set made here from templates and a seed, in
+FOLDS fits that each leave a part of the templates out; a line's score by the trees that never saw its template sets, for every
+generator, the lowest threshold that reaches PRECISION. The fits together are the model, trained once for each Spark
+application. The trees become arrays that one expression walks for the candidates
 inside each row: no text is moved, and nothing is gathered over documents. An added span may overlap base spans; only one
 that lies inside a base span is left out, since it adds nothing.
 
 Spans are in code points, end exclusive. Defined results: null texts have no spans; a table may be empty; repeated rows are
 judged alike; extra columns stay, clashing ones are replaced; equal starts are ordered by kind. Every pattern runs through
-a text once, without backtracking over more than a match, so texts may be long.
+a text once, without backtracking over more than a match; places are looked up in pieces of the text and spans are merged by
+running maxima, so the work grows with a text's length, not with its square.
 """
 
 from __future__ import annotations
@@ -33,42 +35,79 @@ BASE = {
 SECRETS = "password|passwd|passphrase|passwort|kennwort|mot de passe|contraseña|clave|pwd|secret|token|jeton|api[_-]?key|key|schlüssel|clé|pin"
 AT, DOT = "at|arroba|arobase", "dot|punto|punkt|point"
 #: Generators of candidates: name of the spans that they add, and pattern. Runs have no upper bound (length is a feature of
-#: the trees) but for names of mail addresses; they are possessive and checked group by group, so none is read again.
+#: the trees); they are possessive and checked group by group, so none is read again. What names the kind of a number or key
+#: before it (a country, `ghp_`, `fe80::`) is part of it.
 GENERATORS = {
-    "number": r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
-    "token": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+",
+    "number": r"(?:(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2}))?\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
+    "token": r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,8}[_-](?:[A-Za-z]{2,6}[_-])?)?(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+",
     "secret": rf"(?<!\p{{L}})(?iu:{SECRETS})\x20?[:=]\x20?[^\x20\x09-\x0D]{{4,}}+",
-    "hex": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{2,4}+(?![A-Za-z0-9])(?:[:-][A-Fa-f0-9]{2,4}+(?![A-Za-z0-9])){3,}+",
-    "contact": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{2,64}}(?:\x20(?i:{AT})\x20|\x20?[\[({{<]\x20?(?i:{AT}|@)\x20?[\])}}>]\x20?|AT|\x20?@\x20?)"
-    rf"[A-Za-z0-9-]{{2,63}}(?:\x20(?i:{DOT})\x20|\x20?[\[({{<]\x20?(?i:{DOT}|\.)\x20?[\])}}>]\x20?|DOT|\x20\.\x20|\.)[A-Za-z]{{2,12}}\b",
+    "hex": r"(?<![A-Za-z0-9:])(?:[A-Fa-f0-9]{1,4}+(?::[A-Fa-f0-9]{1,4}+(?![A-Za-z0-9]))*+::(?:[A-Fa-f0-9]{1,4}+(?![A-Za-z0-9]):?)++"
+    r"|[A-Fa-f0-9]{2,4}+(?![A-Za-z0-9])(?:[:-][A-Fa-f0-9]{2,4}+(?![A-Za-z0-9])){3,}+)",
+    "contact": rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]++(?:\x20(?i:{AT})\x20|\x20?[\[({{<]\x20?(?i:{AT}|@)\x20?[\])}}>]\x20?|\x20?@\x20?)|(?:(?!AT[A-Za-z0-9])[A-Za-z0-9._%+-])++AT)"
+    rf"(?:(?!DOT[A-Za-z])[A-Za-z0-9-])++(?:(?:\x20(?i:{DOT})\x20|\x20?[\[({{<]\x20?(?i:{DOT}|\.)\x20?[\])}}>]\x20?|DOT|\x20\.\x20|\.)[A-Za-z0-9-]++(?<=[A-Za-z])\b)++",
 }
 #: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "phone": r"\+", "contact": r"\b[aA][tT]\b|@|AT|(?i:arroba|arobase)", "secret": "[:=]", "hex": "[A-Fa-f0-9][:-][A-Fa-f0-9]"}
+NEEDS = {"email": "@", "phone": r"\+", "contact": r"\b[aA][tT]\b|@|AT|(?i:arroba|arobase)", "secret": "[:=]", "hex": "[A-Fa-f0-9][:-][:A-Fa-f0-9]"}
 #: Characters before and after a candidate that are looked at.
 AROUND = 24
-#: Labelled lines made for training; of every so many templates one is kept from the trees to set the thresholds; the
-#: precision asked of those.
-EXAMPLES, HELD_OUT, PRECISION = 6000, 3, 0.9
+#: Labelled lines made for training; parts of their templates, each of which is scored by trees of the others to set the
+#: thresholds; the precision asked of those.
+EXAMPLES, FOLDS, PRECISION = 6000, 3, 0.9
 TREES, DEPTH, SEED = 10, 4, 42
-#: Spans summed at once when places are added up.
-BLOCK = 128
+#: Spans summed at once when places are added up; characters of a piece of text in which places are looked up.
+BLOCK, PIECE = 128, 256
 
 FEATURES = ["length", "digits", "upper", "lower", "blanks", "dots", "hyphens", "colons", "brackets", "plus", "equals", "groups", "longest_digits", "generator", "letter_before", "digit_after", "symbol_before", "cue_before", "digits_around", "ending", "longest_letters", "first_group", "last_group"]
 
 
-def running(values: Column) -> Column:
-    """Sums of what stands before each of the longs; blocks are added up first, so the work isn't the square of them."""
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
-    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
+def scanned(values: Column, first: Column, step, inclusive: bool) -> Column:
+    """What ``step`` makes of all longs before each one (and itself, if inclusive); blocks are taken together first, so the
+    work isn't the square of their number."""
+    none = F.array().cast("array<bigint>")
+    total = lambda x: F.aggregate(x, first, step)
+
+    def before(x: Column, own: bool) -> Column:
+        start = F.struct(first.alias("so_far"), none.alias("out"))
+
+        def add(s: Column, v: Column) -> Column:
+            new = step(s["so_far"], v)
+            return F.struct(new.alias("so_far"), F.concat(s["out"], F.array(new if own else s["so_far"])).alias("out"))
 
-    def before(x: Column) -> Column:
-        start = F.struct(zero.alias("sum"), none.alias("out"))
-        return F.aggregate(x, start, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")), lambda s: s["out"])
+        return F.aggregate(x, start, add, lambda s: s["out"])
 
     n = F.size(values)
     blocks = F.transform(F.sequence(F.lit(1), n, F.lit(BLOCK)), lambda i: F.slice(values, i, BLOCK))
-    long = F.flatten(F.zip_with(blocks, before(F.transform(blocks, total)), lambda x, s: F.transform(before(x), lambda v: v + s)))
-    return F.when(n == 0, none).when(n <= BLOCK, before(values)).otherwise(long)
+    long = F.flatten(F.zip_with(blocks, before(F.transform(blocks, total), False), lambda x, s: F.transform(before(x, inclusive), lambda v: step(s, v))))
+    return F.when(n == 0, none).when(n <= BLOCK, before(values, inclusive)).otherwise(long)
+
+
+def running(values: Column) -> Column:
+    """Sums of what stands before each of the longs."""
+    return scanned(values, F.lit(0).cast("long"), lambda s, v: s + v, False)
+
+
+def highest(values: Column) -> Column:
+    """The greatest of the longs, none of which is negative, up to each."""
+    return scanned(values, F.lit(0).cast("long"), lambda s, v: F.greatest(s, v), True)
+
+
+def at_most(values: str, x: Column) -> Column:
+    """How many of the longs, in order, are at most x: found by steps of powers of two."""
+    n = F.size(values)
+    powers = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda p: p <= n)
+    return F.aggregate(powers, F.lit(0), lambda at, p: F.when((at + p <= n) & (F.get(values, at + p - 1) <= x), at + p).otherwise(at))
+
+
+def pieces_of(text: str) -> Column:
+    """A text cut every PIECE characters."""
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: str, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive), read from the pieces that hold them only."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, i + 1, F.greatest(j - i + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(held, (start - i * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
@@ -137,13 +176,13 @@ def features(c: Column) -> Column:
 
 def candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds _all: the candidates of every generator, with its number and their features x."""
-    df = found(df, text, GENERATORS)
+    df = found(df, text, GENERATORS).withColumns({"_pieces": pieces_of(text), "_n": F.length(text).cast("long")})
     own = lambda i, k: F.transform(f"_{k}", lambda s: F.struct(F.lit(i).alias("generator"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")))
-    before = lambda s: F.substring(F.col(text), (F.greatest(s["start"] - AROUND, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(AROUND)).cast("int"))
-    after = lambda s: F.substring(F.col(text), (s["end"] + 1).cast("int"), F.lit(AROUND))
+    before = lambda s: cut("_pieces", F.greatest(s["start"] - AROUND, F.lit(0).cast("long")), s["start"])
+    after = lambda s: cut("_pieces", s["end"], F.least(s["end"] + AROUND, F.col("_n")))
     seen = F.transform(F.concat(*[own(i, k) for i, k in enumerate(GENERATORS)]), lambda s: F.struct(s["generator"].alias("generator"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), before(s).alias("before"), after(s).alias("after")))
     described = F.transform(seen, lambda c: F.struct(c["generator"].alias("generator"), c["start"].alias("start"), c["end"].alias("end"), features(c).alias("x")))
-    return df.withColumn("_all", described).drop(*[f"_{k}" for k in GENERATORS])
+    return df.withColumn("_all", described).drop("_pieces", "_n", *[f"_{k}" for k in GENERATORS])
 
 
 # Templates of labelled lines. # stands for a digit, ^ for a capital, % for a hexadecimal digit, & for a letter
@@ -156,6 +195,7 @@ PERSONAL = [
     "AKIA^^^^#^^^#^^^^##^", "AKIA#^^^#^^^^^^##^^^", "AKIA^^^^^^^^^^^^^##^", "AIza&&&&&&&&&&&&&&#&&&&&^&&&&&&&&&^&", "^&#&&^&&#&&^&&&#", "^#^#^#^#^#^#^#^#^#^#", "&&^&#&&^&#&&^&#&&^&#",
     "password=%%%%%%%%", "Passwort: *####", "passwort=*##", "contraseña = *##", "contraseña: &&&&&&&#", "mot de passe : %%%%%%%#", "pwd: &&&&&&&#&&", "clave=#&&&&&&&", "kennwort: &&&#&&&!", "password: ^*##!", "key: %%%%%%%%%%%#",
     "token=^^^#%%#^%%#^", "secret = %%%%%%%%%#", 'token = "%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%"', 'api_key: "&&&&&&&&&&&&&#&&&&&&&&&&&&&"', "pin: ####", "pin = ######", "api-key=&&&&-&&&&-&&#&", "password=*#&@*.&&.com!*", "pwd=&&&#&!&&$&&", "secret: *-*-#*-*", "token=*.#*.*/*", "password: *&@*#",
+    "fe80::%%%%:%%%%:%%%%:%%%#", "2001:db8::%%%#:#", "2001:#%:%#::%%%#", "fe80::%#", "ghp_&&&&&#&&&&&&&&&&^&&&&&&&&&#&&&&", "sk-&&&^&#&&&&&&&&&^&&&&&&&&", "xoxb-#########^&&&&&&&&&#&&&", "^^## #### #### #### #### ##",
     "%%:%%:%%:%%:%%:%#", "#%:%%:%%:%%:%%:%%", "%%-%%-%%-%%-%%-%#", "#%-%%-%%-%%-%%-%%", "%%%%:%%%%:%%%%:%%%%:%%%%:%%%%:%%%%:%%%#", "#%%%:%%%%:%%%%:%%%%:%%%%:%%%%", "ab:cd:ef:fa:ce:bd", "dc-af-be-ed-fa-cb", "de:ad:be:ef:ca:fe",
     "*.* at * dot com", "* [at] * [dot] org", "*(at)*.net", "* at * dot com", "* at * dot net", "* arroba * punto es", "* arroba * punto com", "* (at) * (dot) de", "*## at * dot fr", "* [at] * punkt de", "*.* @ * . com",
     # longer than any usual value
@@ -168,6 +208,7 @@ HARMLESS = [
     "20##-##-## 20##-##-##", "isbn ###-#-##-######-#", "isbn ###-#-####-####-#", "## ### ### *", "#e#######", "3.14159265", "2.71828182", "100 000 000", "1 000 000 000", "#" * 60, "# " * 50 + "#", "#.## #.## #.## #.##",
     "%" * 40, "%" * 39 + "#", "%" * 31 + "#", "%" * 17 + "#", "%" * 128, "*#*#*", "***#", "*#**", "***##", "*" * 4 + "#", "##" + "*" * 4, "page#########*#", "%" * 64,
     "key: *", "key = *", "token: *", "pin: *", "password: *", "clave: *", "Schlüssel: *", "secret: *", "key: **", "token = **", "mot de passe : *", "passwort: *", "pin: *.",
+    "lat ##.#### #.####", "## #### ##.####", "ab::cd", "cafe::bad", "a::be", "dd::fa::ce", "abc-*-*-*", "no-*****************", "^^## ####", "^^##",
     "0#:0#:0#:0#", "0#:0#:0#:##", "ab-cd-ab-ed", "bad-fed-dad-bee", "face-bead-cafe-deed", "##-##-##-##-##", "####-##-##-##", "20##-0#-0#-0#", "be-ad-ed-be", "10-20-30-40", "ace-bad-cab-fee", "1:20:30:40", "12:30:45:10", "####-####-####-####-####",
     "* at * dot the", "look at *. ^*", "* at the *", "at ## dot #", "* at *. ^*", "that *. ^*", "*at **. ^*", "*at *. ^*", "* at * point of", "* at * dot *", "what *. And", "at *. Then", "eat *. ^*ed", "that of. As", "* at * . *", "rat in. On",
 ]
@@ -192,14 +233,15 @@ def examples(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED, templates
 
 
 class Model:
-    """Boosted trees, as arrays of complete binary trees of one depth, and a threshold for every generator."""
+    """Boosted trees of one or more fits, whose mean is the score, as arrays of complete binary trees of one depth, and a threshold
+    for every generator."""
 
-    def __init__(self, trees, depth: int, thresholds: dict[str, float]):
+    def __init__(self, fits: list, depth: int, thresholds: dict[str, float]):
         inner, self.depth, self.thresholds, self.trees = (1 << depth) - 1, depth, thresholds, 0
         self.feature: list[int] = []
         self.limit: list[float] = []
         self.value: list[float] = []
-        for tree, weight in zip(trees.trees, trees.treeWeights, strict=True):
+        for tree, weight in ((t, w / len(fits)) for fit in fits for t, w in zip(fit.trees, fit.treeWeights, strict=True)):
             feature, limit, value = [0] * inner, [float("inf")] * inner, [0.0] * (inner + 1)
             todo = [(0, tree._call_java("rootNode"))]
             while todo:
@@ -230,24 +272,31 @@ class Model:
 
 
 def train(spark: SparkSession, *, n: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) -> Model:
-    """Sets the thresholds on lines of templates that trees of the others haven't seen, then fits the trees to all lines."""
+    """Trees of each part of the templates left out in turn, which are the model together. Every line is scored by the trees that
+    saw no line of its template; of these scores, a generator's threshold is the lowest from which on its candidates reach the
+    precision, or that of the most precise ones."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = candidates(examples(spark, n, seed), "text").select(F.col("personal").cast("double").alias("label"), (F.col("template") % HELD_OUT == 0).alias("held"), F.explode("_all").alias("c"))
-    rows = rows.select("label", "held", "c.generator", "c.x", array_to_vector("c.x").alias("vector")).coalesce(1).cache()
+    fold = F.pmod(F.xxhash64("template", F.lit(seed)), F.lit(FOLDS)).cast("int")
+    rows = candidates(examples(spark, n, seed), "text").select(F.col("personal").cast("double").alias("label"), fold.alias("fold"), F.explode("_all").alias("c"))
+    rows = rows.select("label", "fold", "c.generator", "c.x", array_to_vector("c.x").alias("vector")).coalesce(1).cache()
     learner = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3)
-    seen, model = Model(learner.fit(rows.filter("not held")), DEPTH, {}), Model(learner.fit(rows), DEPTH, {})
-    held = rows.filter("held").groupBy("generator", seen.score(F.col("x")).alias("score")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    fits = [learner.fit(rows.filter(F.col("fold") != k)) for k in range(FOLDS)]
+    unseen = F.coalesce(*[F.when(F.col("fold") == k, Model([fit], DEPTH, {}).score(F.col("x"))) for k, fit in enumerate(fits)])
+    held = rows.groupBy("generator", unseen.alias("score")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
     rows.unpersist()
-    for i, kind in enumerate(GENERATORS):
-        good, n_all, reached = 0.0, 0, []
-        for r in sorted((r for r in held if r.generator == i), key=lambda r: -r.score):
-            good, n_all = good + r.good, n_all + r.n
-            reached.append((min(precision, good / n_all), -r.score))
-        # the lowest that is precise enough, or the most precise; never one at which the trees themselves say no
-        model.thresholds[kind] = max(0.0, -max(reached)[1]) if reached else 0.0
-    return model
+    return Model(fits, DEPTH, {kind: threshold([(r.score, r.good, r.n) for r in held if r.generator == i], precision) for i, kind in enumerate(GENERATORS)})
+
+
+def threshold(scores: list[tuple[float, float, int]], precision: float) -> float:
+    """The lowest score from which on the share of good ones reaches the precision, or else that of the highest share; from
+    (score, good ones, all)."""
+    good, n, reached = 0.0, 0, [(0.0, 0.0)]
+    for score, own, count in sorted(scores, reverse=True):
+        good, n = good + own, n + count
+        reached.append((min(precision, good / n), -score))
+    return -max(reached)[1]
 
 
 #: Models by application and parameters: the labelled lines don't depend on the table.
@@ -276,10 +325,12 @@ def detect(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
     df = df.withColumn("base", F.array_sort(F.concat(*map(checked, BASE)))).drop(*[f"_{k}" for k in BASE])
     df = candidates(df, "_text")
     names, limits = F.array(*map(F.lit, GENERATORS)), F.array(*[F.lit(float(model.thresholds[k])) for k in GENERATORS])
-    inside = lambda c: F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+    df = df.withColumns({"_starts": F.transform("base", lambda b: b["start"]), "_reach": highest(F.transform("base", lambda b: b["end"]))})
+    # of the base spans that start no later, one reaches as far
+    inside = lambda c: F.coalesce(F.get("_reach", at_most("_starts", c["start"]) - 1) >= c["end"], F.lit(False))
     chosen = F.filter("_all", lambda c: (model.score(c["x"]) >= F.get(limits, c["generator"])) & ~inside(c))
     span = lambda c: F.struct(c["start"].alias("start"), (c["generator"] + len(BASE)).alias("kind_order"), F.get(names, c["generator"]).alias("kind"), c["end"].alias("end"))
-    return df.withColumn("added", F.array_sort(F.transform(chosen, span))).drop("_all", "_text")
+    return df.withColumn("added", F.array_sort(F.transform(chosen, span))).drop("_all", "_text", "_starts", "_reach")
 
 
 def listed(spans: Column) -> Column:
@@ -288,14 +339,15 @@ def listed(spans: Column) -> Column:
 
 def report(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
-    out = detect(without(df, *(f"n_{k}" for k in BASE), "base_sha256", "spans"), text=text, model=model)
+    df, names = set_apart(without(df, *(f"n_{k}" for k in BASE), "base_sha256", "spans"))
+    out = detect(df, text=text, model=model)
 
     def count(k: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
 
     counts = {f"n_{k}": count(k) for k in BASE}
     every = F.array_sort(F.concat("base", "added"))
-    return out.withColumns(counts | {"base_sha256": F.sha2(listed(F.col("base")), 256), "spans": listed(every)}).drop("base", "added")
+    return out.withColumns(counts | {"base_sha256": F.sha2(listed(F.col("base")), 256), "spans": listed(every)}).drop("base", "added").withColumnsRenamed(names)
 
 
 def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
@@ -303,17 +355,16 @@ def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
     df, names = set_apart(df)
     columns = df.columns
     out = detect(df, text=text, model=model).withColumn("_spans", F.array_sort(F.concat("base", "added")))
-    start = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def join(acc: Column, s: Column) -> Column:
-        last, own = F.element_at(acc, -1), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), wider)).otherwise(F.concat(acc, own))
-
-    out = out.withColumn("_merged", F.when(F.size("_spans") > 0, F.aggregate("_spans", start, join)))
+    out = out.withColumn("_ends", highest(F.transform("_spans", lambda s: s["end"])))
+    # a span that starts where all before it have ended begins a run, which ends where the next one begins
+    begins = F.filter(F.sequence(F.lit(0), F.size("_spans") - 1), lambda i: (i == 0) | (F.get("_ends", i - 1) <= F.get("_spans", i)["start"]))
+    out = out.withColumn("_begins", F.when(F.size("_spans") > 0, begins))
+    following = F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.array(F.size("_spans")))
+    run = lambda a, b: F.struct(F.get("_spans", a)["start"].alias("start"), F.get("_ends", b - 1).alias("end"), F.get("_spans", a)["kind"].alias("kind"))
+    out = out.withColumns({"_merged": F.zip_with("_begins", following, run), "_pieces": F.when(F.size("_spans") > 0, pieces_of(text))})
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_merged", lambda s: s["end"]))
     starts = F.concat(F.transform("_merged", lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    between = F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
+    between = F.zip_with(ends, starts, lambda a, b: cut("_pieces", a, b))
     marks = F.concat(F.transform("_merged", lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
     clean = F.array_join(F.zip_with(between, marks, lambda a, b: F.concat(a, b)), "")
     return out.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns).withColumnsRenamed(names)

@@ -92,7 +92,7 @@ def test_added_spans_of_unseen_forms_in_documents(spark, model):
     print("recall", recall, "precision", precision)
     assert min(recall.values()) >= 0.5 and sum(recall.values()) >= 4, recall
     assert min(precision.values()) >= 0.8, precision
-    assert max(model.thresholds.values()) < float("inf")
+    assert any(abs(x) > 0.01 for x in model.thresholds.values()), model.thresholds  # set by the lines, not by the trees' own zero
 
 
 def test_spans_over_base_spans_stay(spark, model):
@@ -104,6 +104,55 @@ def test_spans_over_base_spans_stay(spark, model):
     assert spans[1] == "secret:0:45,email:9:34"
 
 
+def test_prefixes_and_long_names_belong_to_the_span(spark, model):
+    texts = {1: "DE89 3704 0044 0532 0130 00", 2: "ghp_16C7e42F292c6912E7710c838347Ae178B4a", 3: "fe80::1ff:fe23:4567:890a", 4: "a" * 70 + " at example dot com", 5: "jane at mail dot example dot com"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df, model=model).collect()}
+    assert got == {1: "[NUMBER]", 2: "[TOKEN]", 3: "[HEX]", 4: "[CONTACT]", 5: "[CONTACT]"}
+
+
+def test_added_spans_in_given_documents(spark, model):
+    """The added spans of all documents of sf0.01 are secrets that they spell out, each of them whole; nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    planted = re.compile(r"token = \"[0-9a-f]{40}\"")
+    for r in pii.report(docs, model=model).collect():
+        added = [(int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k in pii.GENERATORS]
+        want = [m.span() for m in planted.finditer(texts[r.doc_id] or "")]
+        assert len(added) == len(want) and all(a <= c and d <= b for (a, b), (c, d) in zip(added, want)), r.doc_id
+
+
+def test_merged_spans_and_places(spark):
+    rng = random.Random(6)
+    for n in (0, 1, 130, 700):
+        values = [rng.randrange(1000) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<long>")
+        row = df.select(pii.highest(F.col("v")).alias("h"), pii.running(F.col("v")).alias("s")).first()
+        assert row.h == [max(values[: i + 1]) for i in range(n)] and row.s == [sum(values[:i]) for i in range(n)]
+    ordered = sorted(rng.randrange(500) for _ in range(300))
+    got = spark.createDataFrame([(ordered, x) for x in range(-2, 503)], "v array<long>, x long").select("x", pii.at_most("v", F.col("x")).alias("n")).collect()
+    assert all(r.n == sum(v <= r.x for v in ordered) for r in got)
+    text = "".join(rng.choice("ab🙂é\n") for _ in range(1500))
+    pairs = [(a, b) for a, b in ((rng.randrange(1501), rng.randrange(1501)) for _ in range(200)) if a <= b] + [(0, 0), (1500, 1500), (0, 1500), (256, 512), (255, 257)]
+    df = spark.createDataFrame([(text, a, b) for a, b in pairs], "text string, a long, b long").withColumn("p", pii.pieces_of("text"))
+    assert all(r.c == text[r.a : r.b] for r in df.select("a", "b", pii.cut("p", F.col("a"), F.col("b")).alias("c")).collect())
+
+
+def test_many_spans_in_one_text(spark, model):
+    """A megabyte with a number and an address in every 80 characters: work grows with the text."""
+    import time
+
+    line = ("call +1 342 555 8390 or write to someone@mail.example.org about the boats" + " " * 80)[:80]
+    took = []
+    for n in (2_000, 12_500):
+        df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+        began = time.time()
+        text = pii.redact(df, model=model).first().text
+        took.append(time.time() - began)
+        assert text.count("[PHONE]") == text.count("[EMAIL]") == n
+    assert took[1] < 6 * took[0] + 10
+
+
 def test_redact(spark, model):
     df = spark.createDataFrame([(1, "🙂 mail a@b.org or +1 (342) 555-8390 now", 5), (2, None, 5), (3, "plain words only", 5)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: r.text for r in pii.redact(df, model=model).collect()}
