@@ -22,10 +22,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The frame with other names for columns that start with an underscore, as those that operators use inside do, and the
-    way back for withColumnsRenamed."""
-    names = {c: f"extra{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+def set_apart(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with other names for all columns but those that an operator reads, so that none clashes with a column that it
+    uses inside, and the way back for withColumnsRenamed."""
+    names = {c: f"extra{i}_{c}" for i, c in enumerate(df.columns) if c not in own}
     return df.withColumnsRenamed(names), {b: a for a, b in names.items()}
 
 

@@ -4,7 +4,7 @@ A token's probability mixes its bigram and unigram estimates and a uniform one.
 occurs, by powers of two, and are learned by expectation-maximisation on counts of documents that were held out from the
 counts whose estimates they mix (one of the PARTS of the training documents; the final estimates use them all).
 
-Documents lie in blocks of about CHARS characters by a hash of their key, text and other columns (only rows that are equal
+Documents lie in blocks of about CHARS characters by a hash of their key, text and other columns but maps (only rows that are equal
 in all of them always share a block). (1) A block counts its distinct words and
 bigrams, as 64-bit keys in order, and sends one run of keys to each range of keys. (2) A range adds the runs up and
 answers every block with the counts of its keys, in the same order. (3) A block's documents meet its answers again: first
@@ -193,7 +193,7 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFram
     blocks, ranges = max(1, -(-chars // CHARS)), max(1, -(-chars // RANGE))
     part = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(PARTS)).cast("int")
     rest = [c for c in df.columns if c != text]
-    docs = df.select(F.col(text).alias("text"), part.alias("part"), F.xxhash64(F.col(key), F.col(text), *[F.col(c) for c in rest if c != key], F.lit(3)).alias("h"), *[F.col(c).alias(f"r_{c}") for c in rest])
+    docs = df.select(F.col(text).alias("text"), part.alias("part"), F.xxhash64(F.col(key), F.col(text), *[F.col(f.name) for f in df.schema.fields if f.name in rest and f.name != key and "map<" not in f.dataType.simpleString()], F.lit(3)).alias("h"), *[F.col(c).alias(f"r_{c}") for c in rest])
     # blocks are of one kind: scored only, held out for the weights, and the rest, which has most of the documents
     kind = F.when(F.col("part") == SCORED, 0).when(F.col("part") == WEIGHTS, 1).otherwise(2)
     of_kind = F.when(kind < 2, F.lit(max(1, -(-blocks // PARTS)))).otherwise(F.lit(max(1, -(-blocks * 3 // PARTS))))

@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hyperloom.llm.common import stored, text_or_empty, words_of
+from hyperloom.llm.common import set_apart, stored, text_or_empty, words_of
 
 #: Twice the words of a source's budget that are left to the dynamic program at least.
 FITTED = 1 << 13
@@ -111,10 +111,15 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def hashed(key: str, text: str, seed: int) -> Column:
+    return F.xxhash64(F.col(key), text_or_empty(text), F.lit(seed))
+
+
 def mix(df: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: int = 42) -> DataFrame:
-    """One row per row of the input: its key, source, size, source_size, target and times (how often the mix takes it)."""
+    """One row per row of the input: its key, source, size, source_size, target, times (how often the mix takes it) and order (the
+    hash of its key and text)."""
     words = words_of(text_or_empty(text))
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words).cast("long").alias("size"), F.xxhash64(F.col(key), text_or_empty(text), F.lit(seed)).alias("order"))
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(words).cast("long").alias("size"), hashed(key, text, seed).alias("order"))
     rows = stored(rows, "sizes")  # texts are read once
     counted = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     whole = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
@@ -146,20 +151,21 @@ def chosen(rows: DataFrame, plan: DataFrame) -> DataFrame:
     ranked = spread.withColumn("nth", F.row_number().over(W.partitionBy(*place).orderBy("order", "key")))
     both = ranked.alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.size") == F.col("b.size")) & (F.col("r.slice") == F.col("b.slice")))
     times = F.when(F.col("r.size") > 0, F.col("times") + F.when(F.col("before") + F.col("nth") <= F.col("picked"), 1).otherwise(0)).otherwise(0)
-    return both.select("key", "r.source", "r.size", "source_size", "target", times.cast("long").alias("times"))
+    return both.select("key", "r.source", "r.size", "source_size", "target", times.cast("long").alias("times"), "r.order")
 
 
-def taken_rows(df: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """The rows, in their columns, each as often as the mix takes it.
-
-    Rows of one key and size are alike to the mix, so its counts are laid over them in order.
-    """
+def taken_rows(df: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 42, **options) -> DataFrame:
+    """The rows, in their columns, each as often as the mix takes it. Rows meet their count by the hash of their key and text;
+    those that share it are equal in both, and take its counts in any order."""
+    df, names = set_apart(df, text, source, key)
     columns = df.columns
+    place = ["_source", "_size", "_order"]
+    nth = lambda by: F.row_number().over(W.partitionBy(*place).orderBy(by))
+    plan = mix(df, text=text, source=source, key=key, seed=seed, **options).filter("times > 0")
+    plan = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("order").alias("_order"), "times").withColumn("_nth", nth("times")).alias("p")
     words = F.size(words_of(text_or_empty(text))).cast("long")
-    order = W.partitionBy("_key", "_source", "_size").orderBy("times")
-    plan = mix(df, text=text, source=source, key=key, **options).filter("times > 0")
-    plan = plan.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "times").withColumn("_nth", F.row_number().over(order))
-    rows = df.withColumns({"_k": F.col(key), "_s": F.col(source), "_n": words})
-    rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_k", "_s", "_n").orderBy(F.xxhash64(text))))
-    met = rows.join(plan, F.col("_k").eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_m") == F.col("_nth")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*columns)
+    rows = df.withColumns({"_source": F.col(source), "_size": words, "_order": hashed(key, text, seed)})
+    rows = rows.withColumn("_nth", nth(F.lit(0))).alias("r")
+    met = rows.join(plan, F.col("r._source").eqNullSafe(F.col("p._source")) & (F.col("r._size") == F.col("p._size")) & (F.col("r._order") == F.col("p._order")) & (F.col("r._nth") == F.col("p._nth")))
+    copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(*[F.col(f"r.{c}").alias(c) for c in columns]).withColumnsRenamed(names)

@@ -314,7 +314,8 @@ def trained(spark: SparkSession, **options) -> Model:
 def detect(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds base and added, arrays of spans (start, kind_order, kind, end) in order; the text column stays as it is."""
     model = model or trained(df.sparkSession)
-    df = without(df, "base", "added").withColumn("_text", text_or_empty(text))
+    df, apart = set_apart(without(df, "base", "added"), text)
+    df = df.withColumn("_text", text_or_empty(text))
     df = found(df, "_text", BASE)
     order = [*BASE, *GENERATORS]
 
@@ -330,7 +331,7 @@ def detect(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
     inside = lambda c: F.coalesce(F.get("_reach", at_most("_starts", c["start"]) - 1) >= c["end"], F.lit(False))
     chosen = F.filter("_all", lambda c: (model.score(c["x"]) >= F.get(limits, c["generator"])) & ~inside(c))
     span = lambda c: F.struct(c["start"].alias("start"), (c["generator"] + len(BASE)).alias("kind_order"), F.get(names, c["generator"]).alias("kind"), c["end"].alias("end"))
-    return df.withColumn("added", F.array_sort(F.transform(chosen, span))).drop("_all", "_text", "_starts", "_reach")
+    return df.withColumn("added", F.array_sort(F.transform(chosen, span))).drop("_all", "_text", "_starts", "_reach").withColumnsRenamed(apart)
 
 
 def listed(spans: Column) -> Column:
@@ -339,7 +340,7 @@ def listed(spans: Column) -> Column:
 
 def report(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
-    df, names = set_apart(without(df, *(f"n_{k}" for k in BASE), "base_sha256", "spans"))
+    df, names = set_apart(without(df, *(f"n_{k}" for k in BASE), "base_sha256", "spans"), text)
     out = detect(df, text=text, model=model)
 
     def count(k: str) -> Column:
@@ -352,7 +353,7 @@ def report(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
 
 def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """The rows with each span, or run of overlapping spans, replaced by its first kind in brackets; nulls stay null."""
-    df, names = set_apart(df)
+    df, names = set_apart(df, text)
     columns = df.columns
     out = detect(df, text=text, model=model).withColumn("_spans", F.array_sort(F.concat("base", "added")))
     out = out.withColumn("_ends", highest(F.transform("_spans", lambda s: s["end"])))

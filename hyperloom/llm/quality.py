@@ -125,14 +125,19 @@ def judged(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str
     return out.withColumn("kept", kept).drop("_lines", "_frequent", "_hashes")
 
 
+#: The columns that are read, by option.
+OWN = {"key": "doc_id", "text": "text", "host": "source"}
+
+
 def verdicts(df: DataFrame, **options) -> DataFrame:
     """The rows with their counts and verdict."""
-    return judged(df, **options).drop("_gone")
+    df, names = set_apart(without(df, *ADDED), *(options.get(k, v) for k, v in OWN.items()))
+    return judged(df, **options).drop("_gone").withColumnsRenamed(names)
 
 
 def clean(df: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows kept, with the columns they had (but those that a verdict adds, which are replaced), and their texts without the lines removed."""
-    df, names = set_apart(df)
+    df, names = set_apart(df, text, *(options.get(k, v) for k, v in OWN.items()))
     columns = df.columns
     # the number of the row keeps the filter above the verdict: pushed below, it would repeat all that leads to it
     out = judged(df, text=text, **options).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hyperloom.llm.common import stored, without
+from hyperloom.llm.common import set_apart, stored, without
 from hyperloom.llm.components import components
 
 TILE = 512
@@ -151,19 +151,22 @@ def classes(marked: DataFrame, *, radius: int = 3) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """The frame without its text, with fingerprint (16 hexadecimal digits) and component_id (smallest key reachable)."""
-    marked = stored(fingerprints(without(df, "fingerprint", "component_id"), text=text, words=words, seed=seed), "fingerprints")
+    df, names = set_apart(without(df, "fingerprint", "component_id"), key, text)
+    whole = {"tinyint", "smallint", "int"}
+    own = F.col(key).cast("long") if dict(df.dtypes)[key] in whole else F.col(key)
+    marked = stored(fingerprints(df, text=text, words=words, seed=seed), "fingerprints")
     found = stored(classes(marked, radius=radius), "classes")
-    least = marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("_least"))
+    least = marked.groupBy("fp").agg(F.min(own).alias("_least"))
     least = found.join(least, F.col("_fp") == F.col("fp")).groupBy(F.col("_class").alias("_c")).agg(F.min("_least").alias("component_id"))
     known = found.join(least, F.col("_class") == F.col("_c")).select("_fp", "component_id")
     out = marked.join(stored(known, "components"), F.col("fp") == F.col("_fp"))
-    return out.select(*[marked[c] for c in marked.columns if c != "fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*[marked[c] for c in marked.columns if c != "fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id").withColumnsRenamed(names)
 
 
 def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """One row, in its columns, of every component: of the smallest key, null keys last, then of the smallest hash of the
     text. A row is kept for its own text, so rows that share a key or have none don't stand for each other."""
-    same = F.xxhash64(text)
+    same, (df, names) = F.xxhash64(text), set_apart(df, key, text)
     marked = stored(fingerprints(df.select(F.col(key).alias("_key"), same.alias("_same"), F.col(text).alias("_text")), text="_text", words=words, seed=seed), "fingerprints")
     place = F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"), F.col("_same").alias("same"))
     best = marked.groupBy("fp").agg(F.min(place).alias("_best"))
@@ -173,4 +176,4 @@ def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", rad
     from pyspark.sql import Window as W
 
     # rows of one key and text are copies of each other
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(key, "_own").orderBy("_own"))).filter("_nth = 1").drop("_nth", "_own")
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(key, "_own").orderBy("_own"))).filter("_nth = 1").drop("_nth", "_own").withColumnsRenamed(names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hyperloom.llm.common import stored, without
+from hyperloom.llm.common import set_apart, stored, without
 from hyperloom.llm.suffix import least
 
 SENTENCES, WORDS, LONG = 2, 20, 30
@@ -102,7 +102,7 @@ def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
             out = batch.drop_columns(["text"]).take(take)
             yield out.append_column("at", pa.array(at, pa.int64())).append_column("h", pa.array(h, pa.int64()))
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("at", T.LongType()), T.StructField("h", T.LongType())])
     return rows.mapInArrow(run, schema)
 
@@ -119,9 +119,9 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
 def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with their text less the sentences under repeated runs; adds n_sentences, n_removed and removed (their
     numbers from 0)."""
-    df = without(df, "n_sentences", "n_removed", "removed")
+    df, names = set_apart(without(df, "n_sentences", "n_removed", "removed"), key, text)
     places = repeated(df, key=key, text=text).groupBy(F.col("key").alias("_key"), F.col("same").alias("_same")).agg(F.sort_array(F.collect_set("at")).alias("_at"))
-    rows = df.withColumns({"_k": F.col(key).cast("long"), "_s": F.xxhash64(text)})
+    rows = df.withColumns({"_k": F.col(key), "_s": F.xxhash64(text)})
     met = rows.join(places, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_same")), "left").select(*df.columns, "_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,4 +141,4 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFram
             yield out.append_column("removed", pa.array(gone, pa.list_(pa.int32())))
 
     added = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]
-    return met.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return met.mapInArrow(run, T.StructType([*df.schema.fields, *added])).withColumnsRenamed(names)
