@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperloom.operators.polyline import simplified_series
 from hyperloom.operators.selection import exact_percentiles
 from hyperloom.operators.windows import running_stats, running_sum, series, sliding_windows, zero_crossings
 
@@ -293,13 +294,9 @@ def band_powers(windows: DataFrame, keys: list[str], fs: float) -> DataFrame:
     return per_group(windows, keys, band_powers_of, {k: "double" for k in [*BANDS, *[f"rel_{k}" for k in BANDS if k != "total"]]}, (fs,))
 
 
-def approx_zero_cross(df: DataFrame, keys: list[str], eps: list[float], fs: int, length: int, step: int) -> DataFrame:
-    """The zero-cross feature of the simplified series, for every eps."""
-    parts = [zero_cross_feature(per_series(df, keys, simplified, (e,)).drop("x").withColumnRenamed("y", "x"), keys, fs, length, step).withColumn("eps", F.lit(float(e))) for e in eps]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def approx_zero_cross(df: DataFrame, keys: list[str], eps: list[float], fs: int, length: int, step: int, keep) -> DataFrame:
+    """The zero-cross feature of the simplified series (keys, t, x), for every eps."""
+    return zero_cross_feature(simplified_series(df, keys, eps, keep), [*keys, "eps"], fs, length, step)
 
 
 def shape(x: np.ndarray, a: float = 2.0) -> dict[str, float]:

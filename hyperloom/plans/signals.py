@@ -253,7 +253,7 @@ def fea3_band_powers(spark, sf):
 
 @query()
 def fea5_approx_zero_cross(spark, sf):
-    return fe.approx_zero_cross(signal(spark, sf).select("subject", "t", "x"), K, [16.0, 64.0], 4, L, STEP)
+    return fe.approx_zero_cross(signal(spark, sf).select("subject", "t", "x"), K, [16.0, 64.0], 4, L, STEP, kept(spark, "simplified"))
 
 
 @query()
