@@ -5,8 +5,8 @@ of high recall propose overlapping candidates (runs of digits, long tokens of le
 hexadecimal digits, addresses that are spelt out). Each has features of its format and of the characters and words around
 it. Gradient-boosted trees are trained on EXAMPLES labelled lines, a bounded set made here from templates and a seed, in
 FOLDS fits that each leave a part of the templates out; a line's score by the trees that never saw its template sets, for every
-generator, the lowest threshold that reaches PRECISION. The fits together are the model, trained once for each Spark
-application. The trees become arrays that one expression walks for the candidates
+generator, the lowest threshold that reaches PRECISION. The fits together are the model. It is the same for every table, so it
+lies beside this module as a file that train() made and that a test makes again. The trees become arrays that one expression walks for the candidates
 inside each row: no text is moved, and nothing is gathered over documents. An added span may overlap base spans; only one
 that lies inside a base span is left out, since it adds nothing.
 
@@ -18,6 +18,9 @@ running maxima, so the work grows with a text's length, not with its square.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,11 +239,13 @@ class Model:
     """Boosted trees of one or more fits, whose mean is the score, as arrays of complete binary trees of one depth, and a threshold
     for every generator."""
 
+    feature: list[int]
+    limit: list[float]
+    value: list[float]
+
     def __init__(self, fits: list, depth: int, thresholds: dict[str, float]):
         inner, self.depth, self.thresholds, self.trees = (1 << depth) - 1, depth, thresholds, 0
-        self.feature: list[int] = []
-        self.limit: list[float] = []
-        self.value: list[float] = []
+        self.feature, self.limit, self.value = [], [], []
         for tree, weight in ((t, w / len(fits)) for fit in fits for t, w in zip(fit.trees, fit.treeWeights, strict=True)):
             feature, limit, value = [0] * inner, [float("inf")] * inner, [0.0] * (inner + 1)
             todo = [(0, tree._call_java("rootNode"))]
@@ -290,30 +295,38 @@ def train(spark: SparkSession, *, n: int = EXAMPLES, seed: int = SEED, precision
 
 
 def threshold(scores: list[tuple[float, float, int]], precision: float) -> float:
-    """The lowest score from which on the share of good ones reaches the precision, or else that of the highest share; from
-    (score, good ones, all)."""
-    good, n, reached = 0.0, 0, [(0.0, 0.0)]
+    """The lowest score from which on the precision is reached, or else that of the highest one; from (score, good ones, all).
+    Good and bad candidates weigh the same in all, whatever the numbers of their templates."""
+    every = max(sum(g for _, g, _ in scores), 1), max(sum(n - g for _, g, n in scores), 1)
+    good = bad = 0.0
+    reached = [(0.0, 0.0)]
     for score, own, count in sorted(scores, reverse=True):
-        good, n = good + own, n + count
-        reached.append((min(precision, good / n), -score))
+        good, bad = good + own / every[0], bad + (count - own) / every[1]
+        reached.append((min(precision, good / (good + bad)), -score))
     return -max(reached)[1]
 
 
-#: Models by application and parameters: the labelled lines don't depend on the table.
-TRAINED: dict[tuple, Model] = {}
+#: The model of train() with its usual parameters, as written by ``python -m hyperloom.llm.pii``; a test makes it again.
+FILE = Path(__file__).with_name("pii_model.json")
+
 
+def saved(model: Model) -> str:
+    return json.dumps({"features": FEATURES, "generators": list(GENERATORS), **vars(model)})
 
-def trained(spark: SparkSession, **options) -> Model:
-    """The model of these options, trained on first use in this Spark application."""
-    at = (spark.sparkContext.applicationId, *sorted(options.items()))
-    if at not in TRAINED:
-        TRAINED[at] = train(spark, **options)
-    return TRAINED[at]
+
+def trained() -> Model:
+    """The model in FILE: the labelled lines don't depend on a table, so it needn't be fitted for each."""
+    held = json.loads(FILE.read_text())
+    if held.pop("features") != FEATURES or held.pop("generators") != list(GENERATORS):
+        raise ValueError(f"{FILE.name} is of other features: make it again by python -m hyperloom.llm.pii")
+    model = Model([], held["depth"], {})
+    vars(model).update(held)
+    return model
 
 
 def detect(df: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds base and added, arrays of spans (start, kind_order, kind, end) in order; the text column stays as it is."""
-    model = model or trained(df.sparkSession)
+    model = model or trained()
     df, apart = set_apart(without(df, "base", "added"), text)
     df = df.withColumn("_text", text_or_empty(text))
     df = found(df, "_text", BASE)
@@ -369,3 +382,9 @@ def redact(df: DataFrame, *, text: str = "text", model: Model | None = None) ->
     marks = F.concat(F.transform("_merged", lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
     clean = F.array_join(F.zip_with(between, marks, lambda a, b: F.concat(a, b)), "")
     return out.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*columns).withColumnsRenamed(names)
+
+
+if __name__ == "__main__":
+    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    FILE.write_text(saved(train(session)) + "\n")
+    session.stop()

@@ -57,7 +57,7 @@ def test_empty_tables(spark, name):
 
 
 def test_personal_data(spark):
-    model = pii.trained(spark)
+    model = pii.trained()
     for kind in ("long", "string"):
         df = frame(spark, kind)
         for act in (pii.detect, pii.report, pii.redact):

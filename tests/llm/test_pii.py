@@ -42,6 +42,12 @@ def model(spark):
     return pii.train(spark)
 
 
+def test_the_file_is_what_training_makes(model):
+    held = pii.trained()
+    assert (held.depth, held.trees, held.feature) == (model.depth, model.trees, model.feature) and held.thresholds == model.thresholds
+    assert held.limit == pytest.approx(model.limit) and held.value == pytest.approx(model.value)
+
+
 def check(spark, model, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, Spans int, other string")
     got = {r.doc_id: r for r in pii.report(df, model=model).collect()}
