@@ -284,7 +284,7 @@ def fea3_band_power_rows(spark, sf):
     h AS (SELECT p.subject, p.win, (greatest(abs(p.a - r.a), abs(p.b - r.b)) <= 0.2 * p.sd)::INT AS two, (greatest(abs(p.a - r.a), abs(p.b - r.b), abs(p.c - r.c)) <= 0.2 * p.sd)::INT AS three FROM g p JOIN g r ON p.subject = r.subject AND p.win = r.win AND p.i <> r.i AND p.i <= 5 AND r.i <= 5)
     SELECT subject, win, round(-ln((sum(three) + 0.001) / (sum(two) + 0.001)), 5) AS sampen FROM h GROUP BY 1, 2""")
 def fea7_sample_entropy_rounded(spark, sf):
-    return si.fea7_sample_entropy(spark, sf).select("subject", "win", F.round("sampen", 5).alias("sampen"))
+    return si.fea7_sample_entropy(spark, sf)
 
 
 @query()
@@ -301,7 +301,7 @@ def fea12_entropy_symbols(spark, sf):
 
 # ---- episode scores: every true event in order uses the first predicted one that meets it and isn't used
 
-NINE = ["sens_e", "prec_e", "f1_e", "sens_d", "prec_d", "f1_d", "f1_mean", "f1_gmean", "fp_per_day"]
+NINE = mo.NINE
 
 
 def episodes_sql(source: str) -> str:
@@ -328,7 +328,7 @@ ORACLES["evt3_episode_counts"] = f"WITH RECURSIVE {ALL}, mg AS (SELECT subject,
 
 @query(f"WITH RECURSIVE {ALL}, mg AS (SELECT subject, win, y_true, y_s2 AS y FROM mg0), {nine_sql('mg')} SELECT * FROM n9")
 def evt5_nine_scores(spark, sf):
-    return rounded(mo.evt5_metrics9(spark, sf), *NINE)
+    return mo.evt5_metrics9(spark, sf)
 
 
 BAYES5 = "(SELECT subject, win, (nth >= 5 AND evidence >= 1.5)::INT AS y_bayes FROM e)"
@@ -338,19 +338,19 @@ BAYES5 = "(SELECT subject, win, (nth >= 5 AND evidence >= 1.5)::INT AS y_bayes F
        + " UNION ALL ".join(f"SELECT subject || '|{c}' AS subject, win, y_true, {c} AS y FROM mx" for c in ("y", "y_s1", "y_s2", "y_bayes"))
        + f"), {nine_sql('mg')} SELECT split_part(subject, '|', 1)::BIGINT AS subject, split_part(subject, '|', 2) AS smoothing, {', '.join(NINE)} FROM n9")
 def evt6_36_scores(spark, sf):
-    return rounded(mo.evt6_metrics36(spark, sf), *NINE)
+    return mo.evt6_metrics36(spark, sf)
 
 
 @query(f"WITH RECURSIVE {mo.EL}, mg AS (SELECT element AS subject, row_number() OVER (PARTITION BY element ORDER BY win) - 1 AS win, y AS y_true, (d1 < d0)::INT AS y FROM el), {nine_sql('mg')} SELECT subject AS element, {', '.join(NINE)} FROM n9")
 def evt8_scores_per_element(spark, sf):
-    return rounded(mo.evt8_metrics_per_element(spark, sf), *NINE)
+    return mo.evt8_metrics_per_element(spark, sf)
 
 
 @query(f"""WITH {mo.BAYES}, rg AS (SELECT subject, min(evidence) AS lo, max(evidence) AS hi FROM e GROUP BY 1), gr AS (SELECT subject, (lo + hi) / 2 + i * 0.2 AS t FROM (SELECT subject, lo, hi, unnest(range(0, floor((hi - (lo + hi) / 2) / 0.2)::BIGINT + 1)) AS i FROM rg)),
     sc AS (SELECT gr.subject, t, round(2 * sum((evidence >= t)::INT * y_true) / (sum((evidence >= t)::INT) + sum(y_true)), 9) AS f1 FROM gr JOIN e USING (subject) GROUP BY 1, 2), tp AS (SELECT *, max(f1) OVER (PARTITION BY subject) AS top FROM sc),
     bt AS (SELECT subject, quantile_cont(t, 0.5) AS t FROM tp WHERE f1 = top AND f1 > 0 GROUP BY 1) SELECT subject, round(coalesce(t, 1.5), 5) AS threshold FROM (SELECT DISTINCT subject FROM e) LEFT JOIN bt USING (subject)""")
 def smo4_best_threshold(spark, sf):
-    return mo.smo4_bayes_threshold(spark, sf).select("subject", F.round("threshold", 5).alias("threshold"))
+    return mo.smo4_bayes_threshold(spark, sf)
 
 
 #: Labels of the evidence of full windows at every threshold, each a subject of its own; its scores.
@@ -392,7 +392,7 @@ ORACLES["sel6_greedy_order"] = greedy_sql(8)
 def snk4_item_memory_read_back(spark, sf):
     from hyperloom.plans.streams import snk4_item_memory
 
-    return snk4_item_memory(spark, sf).select("idx", F.array_join(F.transform("hv", lambda x: x.cast("string")), ",").alias("hv"))
+    return snk4_item_memory(spark, sf)
 
 
 @query(ORACLES["smp1_balance"].rpartition("SELECT subject AS event_recording")[0] + """, pairs AS (SELECT subject AS event_recording, start, stop, background_recording, row_number() OVER (PARTITION BY subject ORDER BY start)::INT AS nth FROM e JOIN b ON k % (SELECT count(*) FROM b) = j WHERE n >= need)
@@ -404,3 +404,9 @@ def snk6_pairing_log(spark, sf):
     rows = si.smp1_balance(spark, sf).withColumn("new_name", F.concat(F.lit("r"), F.col("event_recording"), F.lit("_e"), nth))
     rows.select("new_name", "event_recording", "start", "stop", "background_recording").write.parquet(path)
     return spark.read.parquet(path)
+
+
+# ---- the same results under the names of the operators
+
+ORACLES |= {a: ORACLES[b] for a, b in (("evt5_metrics9", "evt5_nine_scores"), ("evt6_metrics36", "evt6_36_scores"), ("evt8_metrics_per_element", "evt8_scores_per_element"), ("smo4_bayes_threshold", "smo4_best_threshold"), ("fea7_sample_entropy", "fea7_sample_entropy_rounded"), ("snk4_item_memory", "snk4_item_memory_read_back"))}
+ORACLES["fea3_band_powers"] = "SELECT subject, win, " + ", ".join([f"max(v) FILTER (band = '{k}') AS {k}" for k in PLACES] + [f"max(rel) FILTER (band = '{k}') AS rel_{k}" for k in PLACES if k != "total"]) + f" FROM ({ORACLES['fea3_band_power_rows']}) GROUP BY 1, 2"

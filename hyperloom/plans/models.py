@@ -369,6 +369,7 @@ def prd10_confidence_grid(spark, sf):
 # ---- smoothing, events, metrics on the label streams of orders
 
 K = ["subject"]
+NINE = ["sens_e", "prec_e", "f1_e", "sens_d", "prec_d", "f1_d", "f1_mean", "f1_gmean", "fp_per_day"]
 VOTE = f"{Y}, v AS (SELECT *, (row_number() OVER w > 5 AND avg(y) OVER (PARTITION BY subject ORDER BY win ROWS 4 PRECEDING) >= 0.5)::INT AS y_s1 FROM y WINDOW w AS (PARTITION BY subject ORDER BY win))"
 MERGE = f"{VOTE}, a AS (SELECT *, max(CASE WHEN y_s1 = 1 THEN win END) OVER (PARTITION BY subject ORDER BY win ROWS UNBOUNDED PRECEDING) AS b, min(CASE WHEN y_s1 = 1 THEN win END) OVER (PARTITION BY subject ORDER BY win ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM v), mg AS (SELECT *, (y_s1 = 1 OR coalesce(f - b - 1 < 3, false))::INT AS y_s2 FROM a)"
 
@@ -406,7 +407,7 @@ def smo3_bayes(spark, sf):
 
 @query()
 def smo4_bayes_threshold(spark, sf):
-    return sm.fit_bayes_threshold(bayes(spark, sf), K)
+    return sm.fit_bayes_threshold(bayes(spark, sf), K).select("subject", F.round("threshold", 5).alias("threshold"))
 
 
 @query(f"WITH {BAYES} SELECT subject, win, (nth >= 5 AND evidence >= (subject % 3) / 2.0 + 0.123)::INT AS y_bayes FROM e")
@@ -455,13 +456,13 @@ def evt4_duration_metrics(spark, sf):
 
 @query()
 def evt5_metrics9(spark, sf):
-    return ev.metrics9(merged(spark, sf), K, 24, y="y_s2")
+    return rounded(ev.metrics9(merged(spark, sf), K, 24, y="y_s2"), *NINE)
 
 
 @query()
 def evt6_metrics36(spark, sf):
     rows = sm.smooth_bayes(merged(spark, sf), K, 5)
-    return ev.metrics36(rows, K, 24, ["y", "y_s1", "y_s2", "y_bayes"])
+    return rounded(ev.metrics36(rows, K, 24, ["y", "y_s1", "y_s2", "y_bayes"]), *NINE)
 
 
 @query(f"""WITH {BOTH}, c AS (SELECT subject, count(*) AS n, count(*) FILTER (y_true = 1 AND y_s2 = 1) AS tp, count(*) FILTER (y_true = 0 AND y_s2 = 0) AS tn, count(*) FILTER (y_true = 0 AND y_s2 = 1) AS fp, count(*) FILTER (y_true = 1 AND y_s2 = 0) AS fn FROM mg GROUP BY 1),
@@ -476,7 +477,7 @@ def evt7_metrics12(spark, sf):
 @query()
 def evt8_metrics_per_element(spark, sf):
     el = elements(spark, sf).withColumn("pred", (F.col("d1") < F.col("d0")).cast("int"))
-    return ev.metrics9(el.select("element", "win", F.col("y").alias("y_true"), F.col("pred").alias("y")), ["element"], 24)
+    return rounded(ev.metrics9(el.select("element", "win", F.col("y").alias("y_true"), F.col("pred").alias("y")), ["element"], 24), *NINE)
 
 
 @query(f"WITH {BOTH} SELECT subject, count(*) AS n, round(avg(stop - start), 6) AS mean, min(stop - start) AS shortest, max(stop - start) AS longest FROM te GROUP BY 1")

@@ -248,7 +248,8 @@ def fea18_extract_features(spark, sf):
 
 @query()
 def fea3_band_powers(spark, sf):
-    return fe.band_powers(windows(spark, sf), KW, 8.0)
+    rows = fe.band_powers(windows(spark, sf), KW, 8.0)
+    return rounded(rows, *[c for c in rows.columns if c not in KW])
 
 
 @query()
@@ -258,7 +259,8 @@ def fea5_approx_zero_cross(spark, sf):
 
 @query()
 def fea7_sample_entropy(spark, sf):
-    return fe.per_group(windows(spark, sf), KW, lambda x: {"sampen": fe.sample_entropy_of(x)}, {"sampen": "double"})
+    rows = fe.per_group(windows(spark, sf), KW, lambda x: {"sampen": fe.sample_entropy_of(x)}, {"sampen": "double"})
+    return rows.select(*KW, F.round("sampen", 5).alias("sampen"))
 
 
 @query()

@@ -203,7 +203,7 @@ def snk4_item_memory(spark, sf):
     path = scratch(spark, "memory")
     k = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
     packed(en.Memories(spark, D, LEVELS, k, 8).feature, "idx").write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("idx", F.array_join(F.transform("hv", lambda x: x.cast("string")), ",").alias("hv"))
 
 
 @query(f"WITH {DIST} SELECT win, label AS y_true, pred AS y_raw, (win % 4)::INT AS fold FROM pred")
