@@ -16,6 +16,8 @@ NAMES = [
     "smo2_merge_close", "evt1_label_events", "evt7_metrics12", "agg6_wilcoxon", "sel5_vote_topk", "sel12_sel13_divergence", "sim4_similarity_summary", "gen3_general_leave_one_out", "str1_window_features", "str3_score_stream",
     "prd4_nearest_centroids", "trn9_centroid_update", "trn11_removal_scores", "trn12_merge_step", "trn14_prd9_knn", "enc14_multi_feature", "enc15_fft", "enc12_lbp", "fea3_band_power_rows", "fea7_sample_entropy_rounded",
     "fea14_spectrum_rows", "evt3_episode_counts", "evt6_36_scores", "evt8_scores_per_element", "smo4_best_threshold", "snk6_pairing_log", "str4_train_stream", "str5_smoothed_events", "str5_bayes_events", "rch1_rechunk_fixed", "fea11_cwt_symbol",
+    "smo4_threshold_scores", "smo4_episode_threshold", "str4_online_models", "trn14_boosted_stumps", "trn14_prd9_boosted", "fea17_percentile_range", "nrm2_percentile_levels", "sel8_agreement", "sel9_prediction_overlap", "prd1_nearest_class",
+    "evt2_match_events", "gen5_evolution_over_orders", "gen6_compare_rules", "sim4_similarity_histogram", "fea11_cwt_symbol_over_noise",
 ]
 
 
