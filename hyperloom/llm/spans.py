@@ -3,6 +3,7 @@
 A text is cut into sentences; from every sentence on, and up to every sentence, the shortest run of at least SENTENCES
 sentences and WORDS words is hashed. The first place of every hash (smallest key, then place) is found by a combined aggregate over all documents, and
 the sentences under any run that is not the first of its hash are removed. Runs that occur once never leave the aggregate.
+Hashes have 128 bits and aren't compared by content: of n different runs about n^2 / 2^129 pairs share one.
 
 A sentence ends at a full stop, exclamation or question mark before white space, or at a line end; one of more than LONG
 words is cut where its content says: after a word whose hash, with the next word, is the smallest among LONG / 2 on either
@@ -64,8 +65,8 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The sentences, and for each run its first sentence, the one behind its last, and its hash."""
-    from xxhash import xxh3_64_intdigest
+    """The sentences, and for each run its first sentence, the one behind its last, and its hash, two numbers of 64 bits."""
+    from xxhash import xxh3_128_digest
 
     pieces = sentences(text)
     plain = [x.split() for x in pieces]
@@ -80,13 +81,13 @@ def runs(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.array([[0, n]])
     starts, ends = np.unique(pairs, axis=0).T
     keys = [" ".join(plain[i]).lower().encode() for i in filled]
-    hashes = np.fromiter((xxh3_64_intdigest(b"\n".join(keys[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+    hashes = np.frombuffer(b"".join(xxh3_128_digest(b"\n".join(keys[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
     place = np.array([*filled, len(pieces)], dtype=np.int64)
     return pieces, place[starts], place[ends - 1] + 1 if len(ends) else ends, hashes
 
 
 def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, same: hash of the text, at: first sentence and the one behind the last in one number, h) of every run."""
+    """(key, same: hash of the text, at: first sentence and the one behind the last in one number, g, h: the hash) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +99,12 @@ def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
                 n.append(len(h))
             take = pa.array(np.repeat(np.arange(len(texts)), n))
             at = np.concatenate(ats).astype(np.int64) if ats else np.empty(0, np.int64)
-            h = np.concatenate(hs).view(np.int64) if hs else np.empty(0, np.int64)
-            out = batch.drop_columns(["text"]).take(take)
-            yield out.append_column("at", pa.array(at, pa.int64())).append_column("h", pa.array(h, pa.int64()))
+            h = np.concatenate(hs) if hs else np.empty((0, 2), np.int64)
+            out = batch.drop_columns(["text"]).take(take).append_column("at", pa.array(at, pa.int64()))
+            yield out.append_column("g", pa.array(h[:, 0], pa.int64())).append_column("h", pa.array(h[:, 1], pa.int64()))
 
     rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("at", T.LongType()), T.StructField("h", T.LongType())])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], *[T.StructField(c, T.LongType()) for c in ("at", "g", "h")]])
     return rows.mapInArrow(run, schema)
 
 
@@ -111,8 +112,8 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     """(key, same, at) of the runs that are not the first of their hash."""
     every = stored(hashed(df, key, text), "runs")
     place = F.struct(F.col("key").isNull().alias("no_key"), "key", "same", "at")
-    first = every.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
-    met = every.join(stored(first, "first-runs"), "h").filter(place != F.col("first"))
+    first = every.groupBy("g", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("g", "h", "first")
+    met = every.join(stored(first, "first-runs"), ["g", "h"]).filter(place != F.col("first"))
     return met.select("key", "same", "at")
 
 
