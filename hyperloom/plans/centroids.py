@@ -359,7 +359,7 @@ GRID = f"""{mo.BAYES}, fw AS (SELECT subject, min(evidence) AS lo, max(evidence)
     mg AS (SELECT subject || '|' || i AS subject, win, y_true, (nth >= 5 AND evidence >= t)::INT AS y FROM e JOIN gd USING (subject)), {episodes_sql('mg')}"""
 
 
-@query(f"""WITH RECURSIVE {GRID} SELECT split_part(ec.subject, '|', 1)::BIGINT AS subject, i::INT AS i, round(t, 6) AS threshold, tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp FROM ec JOIN gd ON ec.subject = gd.subject || '|' || gd.i""")
+@query(f"""WITH RECURSIVE {GRID} SELECT gd.subject, i::INT AS i, round(t, 6) AS threshold, coalesce(tp, 0)::BIGINT AS tp, coalesce(fn, 0)::BIGINT AS fn, coalesce(fp, 0)::BIGINT AS fp FROM gd LEFT JOIN ec ON ec.subject = gd.subject || '|' || gd.i""")
 def smo4_threshold_scores(spark, sf):
     """Episodes hit, missed and made up at every threshold."""
     return rounded(sw.threshold_scores(mo.bayes(spark, sf), ["subject"], 5), "threshold")
