@@ -117,14 +117,14 @@ def metrics12(df: DataFrame, keys: list[str], per_hour: int, early: int, y_true:
     """Older report: events found (also up to ``early`` before), false alarms per hour, and row-wise rates."""
     stream = lambda c: label_events(df.select(*keys, "win", F.col(c).alias("y")), keys)
     t, p = stream(y_true), stream(y)
-    reach = lambda a, b: (F.col(f"{b}.start") < F.col(f"{a}.stop") + (early if a == "p" else 0)) & (F.col(f"{b}.stop") > F.col(f"{a}.start") - (early if a == "t" else 0))
-    same = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in keys]
-    found = t.alias("t").join(p.alias("p"), [*same, reach("t", "p")], "left_semi").groupBy(*keys).agg(F.count("*").alias("found"))
-    false = p.alias("p").join(t.alias("t"), [*same, reach("t", "p")], "left_anti").groupBy(*keys).agg(F.count("*").alias("false"))
+    early_too = t.select(*keys, "event_id", (F.col("start") - early).alias("start"), "stop")
+    met = meet(early_too, p, keys).groupBy(*[F.col(f"l_{k}").alias(k) for k in keys]).agg(F.countDistinct("l_event_id").alias("found"), F.countDistinct("r_event_id").alias("right"))
     count = lambda a, b: F.sum(((F.col(y_true) == a) & (F.col(y) == b)).cast("int"))
     c = df.groupBy(*keys).agg(F.count("*").alias("n"), count(1, 1).alias("tp"), count(0, 0).alias("tn"), count(0, 1).alias("fp"), count(1, 0).alias("fn"))
     n_true = t.groupBy(*keys).agg(F.count("*").alias("events"))
-    rows = c.join(n_true, keys, "left").join(found, keys, "left").join(false, keys, "left").fillna(0, ["events", "found", "false"])
+    n_pred = p.groupBy(*keys).agg(F.count("*").alias("called"))
+    rows = c.join(n_true, keys, "left").join(n_pred, keys, "left").join(met, keys, "left").fillna(0, ["events", "called", "found", "right"])
+    rows = rows.withColumn("false", F.col("called") - F.col("right"))
     sens, spec = ratio(F.col("tp"), F.col("tp") + F.col("fn")), ratio(F.col("tn"), F.col("tn") + F.col("fp"))
     return rows.select(
         *keys, ratio(F.col("found"), F.col("events")).alias("sens_e"), (F.col("false") / (F.col("n") / per_hour)).alias("fp_per_hour"), sens.alias("sens"), spec.alias("spec"),

@@ -20,10 +20,11 @@ def smooth_vote(df: DataFrame, keys: list[str], length: int, share: float = 0.5,
 
 def merge_close(df: DataFrame, keys: list[str], gap: int, inclusive: bool = False, y: str = "y_s1", to: str = "y_s2") -> DataFrame:
     """Zeros between two positives become 1 where the next start is less than (or, inclusive, at most) the gap behind the
-    last positive's end (exclusive)."""
-    w = series(keys, "win")
-    at = F.when(F.col(y) == 1, F.col("win"))
-    before, after = F.last(at, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, W.unboundedFollowing))
+    last positive's end (exclusive). The next start is the last one in descending order: a frame that grows is added to from row
+    to row, one that shrinks is gone through anew for every row."""
+    at, grows = F.when(F.col(y) == 1, F.col("win")), (W.unboundedPreceding, 0)
+    up, down = (W.partitionBy(*keys).orderBy(o).rowsBetween(*grows) for o in ("win", F.desc("win")))
+    before, after = F.last(at, True).over(up), F.last(at, True).over(down)
     wide = after - before - 1
     near = wide <= gap if inclusive else wide < gap
     return df.withColumn(to, F.when((F.col(y) == 1) | F.coalesce(near, F.lit(False)), 1).otherwise(0))
