@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from hyperloom.llm.common import without
 
 #: Bytes of pieces and their ids, about, that a task remembers before it starts anew (a slice of a batch more at most).
-REMEMBERED = 128 << 20
+REMEMBERED = 64 << 20
 #: Bytes of text in a slice of a batch.
 SLICE = 4 << 20
 
@@ -113,16 +113,9 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return batch
 
 
-def encode(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Adds n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers, see :func:`ids_array`).
-
-    With offsets also starts and ends (arrays of int): the code points of the text that each token touches, so that the
-    tokens of a character split over several of them share its place.
-    """
-    spark = df.sparkSession
-    ranks = read_ranks(spark, ranks_path)
-    model = spark.sparkContext.broadcast(tokenizer_json(ranks, pattern))
-    df = without(df, "n_tokens", "ids", "starts", "ends")
+def encoder(spark: SparkSession, ranks_path: str, pattern: str, text: str, offsets: bool = False):
+    """What a task of :func:`encode` does with its batches."""
+    model = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, ranks_path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -150,6 +143,16 @@ def encode(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text",
                 ids = [b"".join(map(known.__getitem__, x)) for x in cut]
                 yield with_columns(batch, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
+    return run
+
+
+def encode(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
+    """Adds n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers, see :func:`ids_array`).
+
+    With offsets also starts and ends (arrays of int): the code points of the text that each token touches, so that the
+    tokens of a character split over several of them share its place.
+    """
+    df, run = without(df, "n_tokens", "ids", "starts", "ends"), encoder(df.sparkSession, ranks_path, pattern, text, offsets)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if offsets:
         added += [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("starts", "ends")]
@@ -172,16 +175,11 @@ def placed(tokenizer, cut: list[list[str]]) -> dict[str, pa.Array]:
     return {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
 
-def decode(df: DataFrame, *, ranks_path: str, ids: str = "ids", text: bool = False) -> DataFrame:
-    """Adds decoded (binary): the characters of the ids in the vocabulary, turned back into bytes by the reversed table; null ids give no bytes, an unknown id raises KeyError.
-
-    With text also decoded_text: the bytes as UTF-8 once all are joined, so that characters split between tokens come
-    out whole; what is no UTF-8 becomes U+FFFD.
-    """
+def decoder(spark: SparkSession, ranks_path: str, ids: str, text: bool = False):
+    """What a task of :func:`decode` does with its batches."""
     byte_of = {c: b for b, c in byte_characters().items()}
-    vocabulary = ((shown(token), i) for token, i in read_ranks(df.sparkSession, ranks_path).items())
-    table = df.sparkSession.sparkContext.broadcast({i: bytes(map(byte_of.__getitem__, characters)) for characters, i in vocabulary})
-    df = without(df, "decoded", "decoded_text")
+    vocabulary = ((shown(token), i) for token, i in read_ranks(spark, ranks_path).items())
+    table = spark.sparkContext.broadcast({i: bytes(map(byte_of.__getitem__, characters)) for characters, i in vocabulary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = table.value.__getitem__
@@ -194,6 +192,16 @@ def decode(df: DataFrame, *, ranks_path: str, ids: str = "ids", text: bool = Fal
                     columns["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in made], pa.string())
                 yield with_columns(batch, **columns)
 
+    return run
+
+
+def decode(df: DataFrame, *, ranks_path: str, ids: str = "ids", text: bool = False) -> DataFrame:
+    """Adds decoded (binary): the characters of the ids in the vocabulary, turned back into bytes by the reversed table; null ids give no bytes, an unknown id raises KeyError.
+
+    With text also decoded_text: the bytes as UTF-8 once all are joined, so that characters split between tokens come
+    out whole; what is no UTF-8 becomes U+FFFD.
+    """
+    df, run = without(df, "decoded", "decoded_text"), decoder(df.sparkSession, ranks_path, ids, text)
     added = [T.StructField("decoded", T.BinaryType())] + ([T.StructField("decoded_text", T.StringType())] if text else [])
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
@@ -206,7 +214,15 @@ def ids_array(df: DataFrame, ids: str = "ids", to: str = "token_ids") -> DataFra
 
 
 def round_trip(df: DataFrame, *, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of the bytes that they decode to."""
-    coded = encode(df, ranks_path=ranks_path, pattern=pattern, text=text)
-    back = decode(coded.drop(text), ranks_path=ranks_path)
-    return without(back, "ids_sha256", "decoded_sha256").withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+    """Adds n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of the bytes that they decode to. Both directions
+    run in one Python process of a task, slice by slice, so half as many processes share an executor's memory."""
+    df = without(df, "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+    there, back = encoder(df.sparkSession, ranks_path, pattern, text), decoder(df.sparkSession, ranks_path, "ids")
+    kept = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from back(x.drop_columns([text]) for x in there(batches))
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    both = df.mapInArrow(run, T.StructType([*kept, *added]))
+    return both.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")

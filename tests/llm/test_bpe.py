@@ -48,3 +48,10 @@ def test_offsets_cover_split_characters(spark):
 
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), ranks_path=PATH, pattern=PATTERN).count() == 0
+
+
+def test_round_trip_takes_one_python_process(spark):
+    """Encoding and decoding in a process each had a task hold two: an executor's memory is shared by half as many now."""
+    df = bpe.round_trip(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), ranks_path=PATH, pattern=PATTERN)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
