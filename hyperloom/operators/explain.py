@@ -47,16 +47,19 @@ def vote_topk(conf: DataFrame, quality: DataFrame, keys: list[str]) -> DataFrame
     return conf.join(ranked, "element").withColumn("pred", (F.round(F.sum("confidence").over(w), 9) > 0).cast("int")).select(*keys, "win", "y", "k", "pred")
 
 
-def greedy_order(el: DataFrame, score, steps: int) -> list[tuple[str, float]]:
+def greedy_order(el: DataFrame, score, steps: int, keep) -> list[tuple[str, float]]:
     """Forward selection: in every step all elements left are tried in one job and the best is taken. ``score`` turns rows
-    (element, win, y, pred) into (element, value). The driver sees one row per element."""
+    (element, win, y, pred) into (element, value). ``keep`` stores a window's elements as one row and reads them back, so the
+    distances are made once and a step moves nothing but what ``score`` does. The driver sees one row per element."""
     chosen: list[tuple[str, float]] = []
-    gap = el.withColumn("gap", F.col("d0") - F.col("d1")).select("element", "win", "y", "gap")
+    gap = F.struct("element", "y", (F.col("d0") - F.col("d1")).alias("gap"))
+    held = keep(el.groupBy("win").agg(F.collect_list(gap).alias("gaps")))
     for _ in range(steps):
         names = [e for e, _ in chosen]
-        done = gap.filter(F.col("element").isin(names)).groupBy("win").agg(F.sum("gap").alias("sum"))
-        tried = gap.filter(~F.col("element").isin(names)).join(done, "win", "left").withColumn("pred", (F.round(F.col("gap") + F.coalesce("sum", F.lit(0.0)), 9) > 0).cast("int"))
-        best = score(tried).orderBy(F.desc("value"), "element").first()
+        taken = F.filter("gaps", lambda g: g["element"].isin(names))
+        done = F.aggregate(taken, F.lit(0.0), lambda s, g: s + F.coalesce(g["gap"], F.lit(0.0)))
+        rows = held.select("win", done.alias("sum"), F.explode(F.filter("gaps", lambda g: ~g["element"].isin(names))).alias("g")).select("win", "sum", "g.*")
+        best = score(rows.withColumn("pred", (F.round(F.col("gap") + F.col("sum"), 9) > 0).cast("int"))).orderBy(F.desc("value"), "element").first()
         if best is None:
             break
         chosen.append((best["element"], best["value"]))

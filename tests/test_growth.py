@@ -4,10 +4,9 @@ import random
 
 import duckdb
 import pytest
-
 from pyspark.sql import functions as F
 
-from hyperloom.operators import events, smooth
+from hyperloom.operators import events, explain, smooth
 from hyperloom.plans import ORACLES, QUERIES
 
 
@@ -45,3 +44,23 @@ def test_equal_class_vectors(spark, tmp_path, name):
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
     assert len(want) == (0 if name == "flt6_useful_bits" else 6)
+
+
+def test_greedy_order_reads_its_elements_once(spark, tmp_path):
+    stored = []
+
+    def keep(df):
+        stored.append(df.columns)
+        df.write.parquet(f"{tmp_path}/{len(stored)}")
+        return spark.read.parquet(f"{tmp_path}/{len(stored)}")
+
+    rng = random.Random(8)
+    rows = [(w, e, w % 2, rng.random(), rng.random()) for w in range(40) for e in "abcd"]
+    right = lambda df: df.groupBy("element").agg(F.round(F.avg((F.col("pred") == F.col("y")).cast("int")), 6).alias("value"))
+    got = explain.greedy_order(spark.createDataFrame(rows, "win long, element string, y int, d0 double, d1 double"), right, 4, keep)
+    gap, want = {(w, e): a - b for w, e, _, a, b in rows}, []
+    for _ in range(4):
+        taken = [e for e, _ in want]
+        value = lambda e: round(sum((sum(gap[w, x] for x in [*taken, e]) > 0) == w % 2 for w in range(40)) / 40, 6)
+        want.append(min(((e, value(e)) for e in "abcd" if e not in taken), key=lambda x: (-x[1], x[0])))
+    assert got == want and stored == [["win", "gaps"]]
