@@ -132,10 +132,11 @@ def reduce_pairs(pairs: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def class_histograms(df: DataFrame, by: list[str], bins: int) -> DataFrame:
-    """(by, label, bin, share) on bins common to the classes; the last bin is closed."""
+    """(by, label, bin, share) on bins common to the classes; the last bin is closed. The ends, a row for each histogram, are sent
+    to the values, which would else be shuffled to as many tasks as there are histograms."""
     ends = df.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    counted = df.join(ends, by).groupBy(*by, "label", at.cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    counted = df.join(F.broadcast(ends), by).groupBy(*by, "label", at.cast("int").alias("bin")).agg(F.count("*").alias("c"))
     return counted.withColumn("share", F.col("c") / F.sum("c").over(W.partitionBy(*by, "label"))).drop("c")
 
 

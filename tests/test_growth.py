@@ -64,3 +64,18 @@ def test_greedy_order_reads_its_elements_once(spark, tmp_path):
         value = lambda e: round(sum((sum(gap[w, x] for x in [*taken, e]) > 0) == w % 2 for w in range(40)) / 40, 6)
         want.append(min(((e, value(e)) for e in "abcd" if e not in taken), key=lambda x: (-x[1], x[0])))
     assert got == want and stored == [["win", "gaps"]]
+
+
+def test_values_of_two_histograms_stay_in_their_tasks(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("name"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").cast("double").alias("v"))
+    session = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in session}
+    for k, v in session.items():
+        spark.conf.set(k, v)
+    try:
+        out = explain.class_histograms(rows, ["name"], 30)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.groupBy("name", "label").agg(F.round(F.sum("share"), 9).alias("s")).filter("s = 1").count() == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
