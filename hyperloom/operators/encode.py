@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,3 +227,83 @@ def encode_spectra(spectra: DataFrame, m: Memories, how: str, keys: list[str]) -
         return majority(turned.withColumn("bit", F.col("bit").bitwiseXOR(F.col("_b"))), keys)
     inner = majority(bound(valued(spectra, m.value), m.feature, "f"), [*keys, "ch"])
     return majority(inner if how == "FreqxVal" else bound(inner, m.channel, "ch"), keys)
+
+
+#: Bits (a byte each) that a task looks up at once.
+HELD = 1 << 23
+
+
+def elected(vectors: np.ndarray, sizes: np.ndarray, tie: np.ndarray | None = None) -> np.ndarray:
+    """Bits set in more than half of the vectors of each row, which has so many of them, one behind another (none has 0);
+    a row of an even number gets the tie vector too."""
+    counts, n = np.add.reduceat(vectors, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32), sizes
+    if tie is not None:
+        even = sizes % 2 == 0
+        counts, n = counts + even[:, None] * tie.astype(np.int32), sizes + even
+    return (counts > (n // 2)[:, None]).astype(np.uint8)
+
+
+def words(bits: np.ndarray) -> pa.ListArray:
+    """Rows of bits as lists of 32-bit words."""
+    v = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 32))), axis=1, bitorder="little").view("<u4").astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+
+
+def parts(batch: pa.RecordBatch, column: str, d: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of which HELD bits are looked up, with the lengths of their lists and the flat numbers."""
+    longest = max(pc.max(pc.list_value_length(batch.column(column))).as_py() or 1, 1)
+    step = max(1, HELD // (d * longest))
+    for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+        lists = part.column(column)
+        yield part, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+def encode_tokens(rows: DataFrame, column: str, table: np.ndarray, keys: list[str], tie: np.ndarray | None = None) -> DataFrame:
+    """(keys, hv): the majority of the vectors whose numbers in ``table`` (of a model's size, sent to the tasks) a row's array
+    has. Bits are counted in numpy, so no row of bits is made or shuffled. Rows without a number have no vector."""
+    sent, types = rows.sparkSession.sparkContext.broadcast((table, tie)), dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, tie = sent.value
+        for batch in batches:
+            for part, sizes, flat in parts(batch, column, table.shape[1]):
+                at = flat.to_numpy(zero_copy_only=False)
+                if at.min() < 0 or at.max() >= len(table):
+                    raise ValueError("a number is out of range")
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], words(elected(table[at], sizes, tie))], names=[*keys, "hv"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", hv array<bigint>"
+    return rows.filter(F.size(column) > 0).select(*keys, column).mapInArrow(run, schema)
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Vectors i of a and j of b bound, as number i * len(b) + j."""
+    return (a[:, None] ^ b[None]).reshape(-1, a.shape[1])
+
+
+def encode_spectra_packed(spectra: DataFrame, m: Memories, hows: list[str], keys: list[str], column: str = "levels") -> DataFrame:
+    """(how, keys, hv): the forms of :func:`encode_spectra` for rows with an array, by channel, of arrays of the levels of the
+    frequencies, all in one pass. No channel is empty or unknown to the memories."""
+    sent, types = spectra.sparkSession.sparkContext.broadcast((bit_table(m.value), bit_table(m.feature), bit_table(m.channel))), dict(spectra.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, feature, channel = sent.value
+        for batch in batches:
+            for part, channels, lists in parts(batch, column, 8 * value.shape[1]):
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                level = lists.flatten().to_numpy(zero_copy_only=False)
+                ch = np.arange(len(sizes)) - np.repeat(np.cumsum(channels) - channels, channels)
+                f = np.arange(len(level)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                if level.min() < 0 or level.max() >= len(value):
+                    raise ValueError("a level is out of range")
+                inner = elected(value[level] ^ feature[f], sizes) if set(hows) != {"PermChFreqxVal"} else None
+                for how in hows:
+                    if how == "PermChFreqxVal":
+                        turned = np.stack([np.roll(channel, -k, axis=1) for k in range(f.max() + 1)])
+                        bits = elected(value[level] ^ turned[f, np.repeat(ch, sizes)], np.add.reduceat(sizes, np.cumsum(channels) - channels))
+                    else:
+                        bits = elected(inner if how == "FreqxVal" else inner ^ channel[ch], channels)
+                    yield pa.RecordBatch.from_arrays([pa.array([how] * part.num_rows), *[part.column(k) for k in keys], words(bits)], names=["how", *keys, "hv"])
+
+    schema = ", ".join(["how string"] + [f"`{k}` {types[k]}" for k in keys]) + ", hv array<bigint>"
+    return spectra.filter(F.size(column) > 0).select(*keys, column).mapInArrow(run, schema)

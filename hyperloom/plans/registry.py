@@ -66,6 +66,21 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
     return discretise(e, fit_minmax(e, ["i"]), ["i"], LEVELS).drop("norm")
 
 
+def level_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """(win, levels): the levels of every vector as an array, by the bounds of each place as one row of arrays."""
+    from hyperloom.operators.normalise import fit_minmax, leveled
+
+    at = fit_minmax(vectors(spark, sf), ["i"]).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("win"), "embedding").crossJoin(F.broadcast(at))
+    norm = lambda v, b: F.when(b["hi"] > b["lo"], (v.cast("double") - b["lo"]) / (b["hi"] - b["lo"]))
+    return rows.filter(F.size("embedding") > 0).select("win", F.transform("embedding", lambda v, i: leveled(norm(v, F.get("b", i)), LEVELS)).alias("levels"))
+
+
+def listed_words(df: DataFrame) -> DataFrame:
+    """Packed vectors as text for comparing engines."""
+    return df.withColumn("hv", F.array_join(F.transform("hv", lambda x: x.cast("string")), ","))
+
+
 def bit_sql(kind: str, idx: str, pos: str) -> str:
     return f"(substr(md5('42|{kind}|' || ({idx})::VARCHAR || '|' || ({pos})::VARCHAR), 1, 1) >= '8')::INT"
 
