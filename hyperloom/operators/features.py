@@ -147,6 +147,18 @@ def fft_peak_levels_of(x: np.ndarray, fs: float, bound: float, levels: int) -> d
     return {"levels": np.minimum(np.floor(np.round((levels - 1) * share, 9)), levels - 1).astype(int).tolist()}
 
 
+def fft_peak_levels_by(x: np.ndarray, size: int, fs: float, bound: float, levels: int) -> list[np.ndarray]:
+    """The same of every ``size`` values in turn of each row, with what is over at its end: arrays (rows, frequencies)."""
+    ends = range(0, x.shape[1], size)
+    out = []
+    for part in (x[:, a : a + size] for a in ends):
+        m = np.abs(np.fft.rfft(part, axis=1))[:, np.fft.rfftfreq(part.shape[1], 1 / fs) <= bound]
+        top = m.max(axis=1, keepdims=True)
+        share = np.divide(m, top, out=np.zeros_like(m), where=top > 0)
+        out.append(np.minimum(np.floor(np.round((levels - 1) * share, 9)), levels - 1).astype(np.int32))
+    return out
+
+
 def cwt_symbol_of(x: np.ndarray, fs: float, freqs: list[float], cycles: float = 6.0) -> int:
     """Index of the Morlet band with the largest root-mean-square energy in the middle fifth of the window."""
     return int(np.argmax(cwt_energies_of(x, fs, freqs, cycles)))
@@ -272,6 +284,26 @@ def per_array(df: DataFrame, keys: list[str], column: str, fn, columns: dict[str
     return df.select(*keys, column).mapInPandas(run, schema)
 
 
+def per_arrays(df: DataFrame, keys: list[str], column: str, fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
+    """The same with a function that takes the arrays of one length together, as rows of a matrix, and gives a dict of columns
+    (arrays or lists)."""
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, pdf in frame.groupby(frame[column].map(len)):
+                for part in (pdf.iloc[i : i + ROWS] for i in range(0, len(pdf), ROWS)):
+                    made = fn(np.stack(part[column].to_numpy()).astype(float), *args)
+                    yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame({c: list(v) if np.ndim(v) != 1 else v for c, v in made.items()}, columns=list(columns))], axis=1)
+
+    return df.select(*keys, column).filter(F.col(column).isNotNull()).mapInPandas(run, schema)
+
+
+#: Rows of a matrix that a function gets.
+ROWS = 1024
+
+
 def per_group(df: DataFrame, keys: list[str], fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
     """One row per group: the group's values in order of t through a numpy function that gives a dict."""
     whole = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("_x"))

@@ -17,7 +17,7 @@ from hyperloom.operators import sweep as sw
 from hyperloom.operators import train as tr
 from hyperloom.plans import models as mo
 from hyperloom.plans import signals as si
-from hyperloom.plans.registry import ENC, IM, LEVELS, LV, ORACLES, STEP, WINS, D, L, S, bit_sql, encoded, hv_sql, levels, query, rounded, shown, table, vectors
+from hyperloom.plans.registry import ENC, IM, LEVELS, LV, ORACLES, STEP, WINS, D, L, S, bit_sql, encoded, hv_sql, levels, listed_words, query, rounded, shown, table, vectors
 from hyperloom.sources.scratch import kept, scratch
 
 # ---- two classes of five centroids: class = label mod 2, centroid = label div 2
@@ -225,9 +225,9 @@ SPECTRA = f"""{LV}, {IM}, dx AS (SELECT win, ch, k.i::INT AS f, sqrt(pow(sum(v *
 
 
 def spectra(spark, sf) -> DataFrame:
-    whole = vectors(spark, sf).groupBy("win", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("x"))
-    rows = fe.per_array(whole, ["win", "ch"], "x", fe.fft_peak_levels_of, {"levels": "array<int>"}, (8.0, 4.0, LEVELS))
-    return rows.select("win", "ch", F.posexplode("levels").alias("f", "level"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("win"), "embedding").filter(F.size("embedding") > 0)
+    by = lambda x: {"levels": [[c.tolist() for c in row] for row in zip(*fe.fft_peak_levels_by(x, 8, 8.0, 4.0, LEVELS))]}
+    return fe.per_arrays(rows, ["win"], "embedding", by, {"levels": "array<array<int>>"})
 
 
 def fft_sql(how: str) -> str:
@@ -244,11 +244,8 @@ FFT = ["FreqxVal", "ChxFreqxVal", "PermChFreqxVal"]
 
 @query(f"WITH {SPECTRA} " + " UNION ALL ".join(f"SELECT '{how}' AS how, win, hv FROM ({hv_sql(fft_sql(how), 'win')})" for how in FFT))
 def enc15_fft(spark, sf):
-    m, rows, out = en.Memories(spark, D, LEVELS, 8, 8), spectra(spark, sf), None
-    for how in FFT:
-        own = shown(en.encode_spectra(rows, m, how, ["win"]), "win").withColumn("how", F.lit(how))
-        out = own if out is None else out.unionByName(own)
-    return out
+    m = en.Memories(spark, D, LEVELS, 8, 8)
+    return listed_words(en.encode_spectra_packed(spectra(spark, sf), m, FFT, ["win"])).select("win", "hv", "how")
 
 
 ORACLES["enc12_lbp"] = f"""WITH {S}, c AS (SELECT * FROM (SELECT subject, channel, t, {" + ".join(f"(lead(x, {i + 1}) OVER o > lead(x, {i}) OVER o)::INT * {1 << 5 - i}" for i in range(6))} AS lbp FROM s WINDOW o AS (PARTITION BY subject ORDER BY t)) WHERE lbp IS NOT NULL),
