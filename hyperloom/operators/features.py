@@ -286,28 +286,34 @@ def per_array(df: DataFrame, keys: list[str], column: str, fn, columns: dict[str
 
 def per_arrays(df: DataFrame, keys: list[str], column: str, fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
     """The same with a function that takes the arrays of one length together, as rows of a matrix, and gives a dict of columns
-    (arrays or lists)."""
+    (arrays or lists). Of a null array all columns are null."""
     types = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, pdf in frame.groupby(frame[column].map(len)):
-                for part in (pdf.iloc[i : i + ROWS] for i in range(0, len(pdf), ROWS)):
+            none = frame[column].isna()
+            if none.any():
+                yield frame.loc[none, keys].reindex(columns=[*keys, *columns])
+            frame = frame[~none]
+            for n, pdf in frame.groupby(frame[column].map(len)):
+                step = max(1, min(ROWS, HELD // max(n, 1) ** 2))
+                for part in (pdf.iloc[i : i + step] for i in range(0, len(pdf), step)):
                     made = fn(np.stack(part[column].to_numpy()).astype(float), *args)
-                    yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame({c: list(v) if np.ndim(v) != 1 else v for c, v in made.items()}, columns=list(columns))], axis=1)
+                    yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(made, columns=list(columns))], axis=1)
 
-    return df.select(*keys, column).filter(F.col(column).isNotNull()).mapInPandas(run, schema)
+    return df.select(*keys, column).mapInPandas(run, schema)
 
 
-#: Rows of a matrix that a function gets.
-ROWS = 1024
+#: Rows of a matrix that a function gets, and pairs of values in them.
+ROWS, HELD = 1024, 1 << 22
 
 
-def per_group(df: DataFrame, keys: list[str], fn, columns: dict[str, str], args: tuple = ()) -> DataFrame:
-    """One row per group: the group's values in order of t through a numpy function that gives a dict."""
+def per_group(df: DataFrame, keys: list[str], fn, columns: dict[str, str], args: tuple = (), per=per_array) -> DataFrame:
+    """One row per group: the group's values in order of t through a numpy function that gives a dict, of each array or (per_arrays)
+    of many."""
     whole = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("_x"))
-    return per_array(whole, keys, "_x", fn, columns, args)
+    return per(whole, keys, "_x", fn, columns, args)
 
 
 def per_series(df: DataFrame, keys: list[str], fn, args: tuple = (), to: str = "y") -> DataFrame:
@@ -353,9 +359,105 @@ def entropy_set_of(x: np.ndarray, level: int, order: int) -> dict[str, float]:
     return out
 
 
+# ---- the same for many windows of one length, as rows of a matrix
+
+
+def dwt_by(x: np.ndarray, level: int) -> list[np.ndarray]:
+    low = np.array(DB4)
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    out, a = [], x
+    for _ in range(level):
+        if a.shape[1] < 2:
+            break
+        wide = np.pad(a, ((0, 0), (len(low) - 1,) * 2), mode="symmetric")
+        n = wide.shape[1] - len(low) + 1  # what spans two rows is left out
+        passed = lambda f: np.pad(np.convolve(wide.ravel(), f, "valid"), (0, len(low) - 1)).reshape(wide.shape)[:, 1:n:2]  # noqa: B023, E731
+        detail, a = passed(high), passed(low)
+        out.append(detail)
+    return [*out, a]
+
+
+def entropy_of_counts(row: np.ndarray, counts: np.ndarray, total: int, n: int) -> np.ndarray:
+    """Entropy (log2) of each of n rows, from counts in any order."""
+    p = counts / total
+    return np.bincount(row, -p * np.log2(p), n)
+
+
+def shape_by(x: np.ndarray) -> dict[str, np.ndarray]:
+    if x.shape[1] == 0:
+        return {k: np.full(len(x), v) for k, v in shape(x[:0].ravel()).items()}
+    lo, hi = x.min(axis=1), x.max(axis=1)
+    if not np.isfinite(hi - lo).all():
+        raise ValueError("values have to be finite")
+    flat = np.where(lo == hi, 0.5, 0.0)
+    edges = np.linspace(lo - flat, hi + flat, 11, axis=1)
+    at = (x[:, :, None] >= edges[:, None, 1:10]).sum(axis=2) + 10 * np.arange(len(x))[:, None]
+    counts = np.bincount(at.ravel(), minlength=10 * len(x)).reshape(-1, 10)
+    row, bin_ = np.nonzero(counts)
+    s2 = ((counts / x.shape[1]) ** 2).sum(axis=1)
+    return {"shannon": entropy_of_counts(row, counts[row, bin_], x.shape[1], len(x)), "renyi": -np.log2(s2), "tsallis": 1 - s2}
+
+
+def perm_entropy_by(x: np.ndarray, order: int = 3) -> np.ndarray:
+    from math import factorial, log2
+
+    n = x.shape[1] - order + 1
+    if n < 1:
+        return np.zeros(len(x))
+    shapes = np.argsort(np.lib.stride_tricks.sliding_window_view(x, order, axis=1), axis=2, kind="stable") @ order ** np.arange(order)
+    found, counts = np.unique(shapes + np.arange(len(x))[:, None] * order**order, return_counts=True)
+    return entropy_of_counts(found // order**order, counts, n, len(x)) / log2(factorial(order))
+
+
+def sample_entropy_by(x: np.ndarray, dim: int = 2, r: float = 0.2, eps: float = 0.001) -> np.ndarray:
+    n = x.shape[1] - dim
+    if n < 1:
+        return np.zeros(len(x))
+    near = np.abs(x[:, :, None] - x[:, None, :]) <= (r * x.std(axis=1))[:, None, None]
+    matches = lambda m: np.logical_and.reduce([near[:, q : q + n, q : q + n] for q in range(m)]).sum(axis=(1, 2)) - n
+    return -np.log((matches(dim + 1) + eps) / (matches(dim) + eps))
+
+
+def entropy_set_by(x: np.ndarray, level: int, order: int) -> dict[str, np.ndarray]:
+    out, bands = {"sampen": sample_entropy_by(x)}, dwt_by(x, level)
+    bands += [np.zeros((len(x), 1))] * (level + 1 - len(bands))
+    for i, band in enumerate(bands):
+        out |= {f"{k}_{i}": v for k, v in shape_by(band).items()} | {f"perm_{i}": perm_entropy_by(band, order)}
+    return out
+
+
+def entropy37_by(x: np.ndarray) -> dict[str, np.ndarray]:
+    *details, _ = dwt_by(x, 7)
+    bands = {f"d{k}": details[k - 1] if k <= len(details) else np.zeros((len(x), 1)) for k in range(7, 2, -1)}
+    out = {f"samp_{i}_{k}": sample_entropy_by(bands[k], 2, r) for i, r in ((1, 0.2), (2, 0.35)) for k in ("d7", "d6")}
+    out |= {f"perm_{k}_{n}": perm_entropy_by(b, n) for k, b in bands.items() for n in (3, 5, 7)}
+    return out | {f"{name}_{k}": v for k, b in {"sig": x, **bands}.items() for name, v in shape_by(b).items()}
+
+
+def band_powers_by(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
+    n = x.shape[1]
+    freq = np.fft.rfftfreq(n, 1 / fs)
+    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2 / (fs * n)
+    power[:, 1 : (n + 1) // 2] *= 2
+    out = {}
+    for name, (lo, hi) in BANDS.items():
+        a, b = max(int(np.argmax(freq > lo)) - 1, 0), max(int(np.argmax(freq > hi)) - 1, 0)
+        part = slice(a, (b if (freq > hi).any() else len(freq) - 1) + 1)
+        out[name] = np.trapezoid(power[:, part], freq[part], axis=1)
+    total = out["total"]
+    return out | {f"rel_{k}": np.divide(v, total, out=np.zeros_like(v), where=total != 0) for k, v in out.items() if k != "total"}
+
+
+def feature_set_by(x: np.ndarray, size: int, fs: float) -> dict[str, np.ndarray]:
+    out = entropy37_by(x)
+    if size > 37:
+        out |= {k: v for k, v in band_powers_by(x, fs).items() if size == 54 or k.startswith("rel_")}
+    return out | ({"mean_ampl": np.abs(x).mean(axis=1)} if size == 46 else {})
+
+
 def entropy_features(windows: DataFrame, keys: list[str], level: int = 7, order: int = 3) -> DataFrame:
     names = ["sampen", *[f"{k}_{i}" for i in range(level + 1) for k in ("shannon", "renyi", "tsallis", "perm")]]
-    return per_group(windows, keys, entropy_set_of, dict.fromkeys(names, "double"), (level, order))
+    return per_group(windows, keys, entropy_set_by, dict.fromkeys(names, "double"), (level, order), per_arrays)
 
 
 def long_form(df: DataFrame, keys: list[str], families: list[Column | str]) -> DataFrame:
@@ -450,4 +552,4 @@ def feature_set_of(x: np.ndarray, size: int, fs: float) -> dict[str, float]:
 
 def feature_set(df: DataFrame, keys: list[str], column: str, size: int, fs: float) -> DataFrame:
     names = list(feature_set_of(np.arange(8.0), size, fs))
-    return per_array(df, keys, column, feature_set_of, dict.fromkeys(names, "double"), (size, fs))
+    return per_arrays(df, keys, column, feature_set_by, dict.fromkeys(names, "double"), (size, fs))

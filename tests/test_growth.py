@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperloom.operators import events, explain, smooth
+from hyperloom.operators import events, explain, features, smooth
 from hyperloom.plans import ORACLES, QUERIES
 
 
@@ -108,3 +109,29 @@ def test_majorities_of_symbols(spark):
     flat = spark.createDataFrame([(i, c, f, v) for i, lists in spectra for c, own in enumerate(lists) for f, v in enumerate(own)], "win long, ch int, f int, level int")
     got = sorted((r.how, r.win, r.hv) for r in encode.encode_spectra_packed(df, m, hows, ["win"]).collect())
     assert got == sorted((how, r.win, r.hv) for how in hows for r in packed(encode.encode_spectra(flat, m, how, ["win"]), "win").collect())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 64, 300])
+def test_features_of_many_windows(n):
+    """Windows of one length go through numpy together and give what each gives alone, constant and repeating ones too."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(size=(20, n)).round(1), np.full((2, n), 0.3), np.tile([1.0, 2.0], (1, n))[:, :n]])
+    pairs = [(features.entropy_set_by(x, 2, 3), [features.entropy_set_of(v, 2, 3) for v in x]), (features.feature_set_by(x, 54, 64.0), [features.feature_set_of(v, 54, 64.0) for v in x])]
+    for many, alone in pairs:
+        assert list(many) == list(alone[0])
+        for k, v in many.items():
+            np.testing.assert_allclose(v, [a[k] for a in alone], rtol=1e-9, atol=1e-12, err_msg=k)
+
+
+def test_features_take_arrays_together(spark, monkeypatch):
+    """The queries' features don't call a function for each row."""
+    def alone(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(features, "per_array", alone)
+    df = spark.createDataFrame([(i, [float(i * j % 7) for j in range(60 + i % 3)] if i < 12 else None) for i in range(13)], "k long, v array<double>")
+    got = features.feature_set(df, ["k"], "v", 54, 64.0).collect()
+    assert [r.k for r in got if r.total is None] == [12] and len(got) == 13
+    for r in (r for r in got if r.k < 12):
+        want = features.feature_set_of(np.array([float(r.k * j % 7) for j in range(60 + r.k % 3)]), 54, 64.0)
+        assert all(abs(r[c] - v) < 1e-9 for c, v in want.items())
