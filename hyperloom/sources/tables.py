@@ -80,3 +80,21 @@ def write_matrix(df: DataFrame, path: str, codec: str = "gzip") -> None:
 def write_by(df: DataFrame, path: str, *by: str) -> None:
     """Parquet with a folder for each value of the columns: features by subject; models and predictions by subject, fold and method."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_hashed(df: DataFrame, path: str, by: str, folders: int = 64) -> None:
+    """Parquet in a number of folders that doesn't grow with the values of the column: a value lies in one folder and task, in
+    order among its rows, so a reader of one value skips the others. For values as many as subjects of a large study."""
+    rows = df.withColumn("_folder", F.pmod(F.xxhash64(by), F.lit(folders)).cast("int"))
+    rows.repartition(folders, "_folder").sortWithinPartitions("_folder", by).write.mode("overwrite").partitionBy("_folder").parquet(path)
+
+
+def read_hashed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_folder")
+
+
+def read_value(spark: SparkSession, path: str, by: str, value, folders: int = 64) -> DataFrame:
+    """The rows of one value, from its folder alone."""
+    rows = spark.read.parquet(path)
+    own = F.lit(value).cast(rows.schema[by].dataType)
+    return rows.filter((F.col("_folder") == F.pmod(F.xxhash64(own), F.lit(folders)).cast("int")) & (F.col(by) == own)).drop("_folder")
