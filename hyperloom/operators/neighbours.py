@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Numbers of training rows in a block that is sent, and distances that a task holds at once.
-SENT, HELD = 1 << 23, 1 << 22
+#: Numbers of training rows in a block that is sent, distances that a task holds at once, and training rows that it takes at once.
+SENT, HELD, TAKEN = 1 << 22, 1 << 20, 1 << 13
 
 
 def best(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -26,23 +26,49 @@ def best(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         d = np.stack([((rows - own) ** 2).sum(axis=1) for own in x])
     limit = np.partition(d, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
     i, j = np.nonzero(d <= limit[:, None])
-    order = np.lexsort((j, d[i, j], i))
-    i, j = i[order], j[order]
+    return first(i, j, d[i, j], k)
+
+
+def first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least d of each i, ties to the smaller j."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
     nth = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[nth < k], j[nth < k], d[i, j][nth < k]
+    return i[nth < k], j[nth < k], d[nth < k]
+
+
+def best_of_block(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, TAKEN rows at a time, so that what a task holds doesn't grow with a block."""
+    out = (np.zeros(0, dtype=np.int64),) * 3
+    for a in range(0, len(rows), TAKEN):
+        i, j, d = best(x, rows[a : a + TAKEN].astype(np.int64), k)
+        out = first(*(np.concatenate(c) for c in zip(out, (i, j + a, d))), k)
+    return out
 
 
-def blocks(train: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, vectors, labels) of SENT numbers at most; the driver holds one block at a time."""
+def narrow(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest signed type that holds them."""
+    lo, hi = v.min(initial=0), v.max(initial=0)
+    return v.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max))
+
+
+def blocks(train: DataFrame, key: str, features: str, label: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, vectors, labels) of SENT numbers at most; the driver holds one block at a time, vectors as bytes."""
     most, held = max(1, SENT // max(size, 1)), []
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").flatten().cast(pa.int64()).to_numpy().reshape(batch.num_rows, size)  # a null fails
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([row.tobytes() for row in v], pa.binary())], names=["key", "label", "v"])
+
     def made():
         keys, labels, vectors = zip(*held)
         order = np.argsort(np.array(keys), kind="stable")
-        return np.array(keys)[order], np.array(vectors, dtype=np.int64).reshape(len(held), -1)[order], np.array(labels)[order]
+        return np.array(keys)[order], narrow(np.frombuffer(b"".join(vectors), dtype="<i8").reshape(len(held), size)[order]), np.array(labels)[order]
 
-    for row in train.toLocalIterator():
-        held.append(tuple(row))
+    rows, types = train.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(features).alias("v")), dict(train.dtypes)
+    for row in rows.mapInArrow(packed, f"key {types[key]}, label {types[label]}, v binary").toLocalIterator():
+        held.append((row.key, row.label, bytes(row.v)))
         if len(held) == most:
             yield made()
             held = []
@@ -59,15 +85,15 @@ def knn(train: DataFrame, test: DataFrame, k: int, key: str, features: str = "v"
     size = train.agg(F.max(F.size(features))).first()[0] or 0
     rows = test.select(F.col(key).alias("key"), F.col(features).alias("v")).filter(F.size("v") == size)
     found = None
-    for block in blocks(train.filter(F.size(features) == size).select(key, label, features), size):
+    for block in blocks(train.filter(F.size(features) == size), key, features, label, size):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             keys, vectors, labels = sent.value
-            step = max(1, HELD // max(len(keys), 1))
+            step = max(1, HELD // max(min(len(keys), TAKEN), 1))
             for batch in batches:
                 for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                    i, j, d = best(np.asarray(part.column("v").flatten(), dtype=np.int64).reshape(part.num_rows, -1), vectors, k)
+                    i, j, d = best_of_block(np.asarray(part.column("v").flatten(), dtype=np.int64).reshape(part.num_rows, -1), vectors, k)
                     yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(i)), pa.array(keys[j]), pa.array(labels[j].astype(np.int64)), pa.array(d)], names=["key", "other", "own", "d"])
 
         own = rows.mapInArrow(run, f"key {types[key]}, other {dict(train.dtypes)[key]}, own long, d long")

@@ -135,3 +135,33 @@ def test_features_take_arrays_together(spark, monkeypatch):
     for r in (r for r in got if r.k < 12):
         want = features.feature_set_of(np.array([float(r.k * j % 7) for j in range(60 + r.k % 3)]), 54, 64.0)
         assert all(abs(r[c] - v) < 1e-9 for c, v in want.items())
+
+
+def test_features_of_many_subjects(spark, tmp_path):
+    """The number of folders doesn't grow with that of subjects, and one subject is read from one file."""
+    from hyperloom.sources import tables
+
+    path = str(tmp_path / "rows")
+    df = spark.range(3000).select((F.col("id") % 500).cast("int").alias("subject"), F.col("id").alias("t"))
+    tables.write_hashed(df, path, "subject", 8)
+    assert len([p for p in (tmp_path / "rows").glob("_folder=*")]) == 8 and len([p for p in (tmp_path / "rows").glob("*/*.parquet")]) == 8
+    back = tables.read_hashed(spark, path)
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    own = tables.read_value(spark, path, "subject", 77, 8)
+    assert sorted(r.t for r in own.collect()) == list(range(77, 3000, 500)) and len(own.inputFiles()) <= 8
+    assert own.select(F.input_file_name()).distinct().count() == 1
+
+
+def test_neighbours_hold_a_part_of_a_block(monkeypatch):
+    """A block of training rows is taken in parts, with ties across them to the earlier row."""
+    from hyperloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TAKEN", 7)
+    seen, best, rng = [], neighbours.best, np.random.default_rng(5)
+    monkeypatch.setattr(neighbours, "best", lambda x, rows, k: (seen.append(len(rows)), best(x, rows, k))[1])
+    for n in (0, 1, 7, 40):
+        x, rows = rng.integers(-2, 3, (9, 3)), rng.integers(-2, 3, (n, 3))
+        got = neighbours.best_of_block(x, neighbours.narrow(rows), 5)
+        assert [c.tolist() for c in got] == [c.tolist() for c in best(x, rows, 5)]
+    assert max(seen) == 7
+    assert [neighbours.narrow(np.array([v, 0])).dtype for v in (-128, 128, 1 << 40)] == [np.int8, np.int16, np.int64]
