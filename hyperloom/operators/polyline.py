@@ -7,12 +7,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Samples of a chunk.
-CHUNK = 1 << 16
+#: Samples of a chunk, and samples that a task has as arrays at once.
+CHUNK, HELD = 1 << 16, 1 << 18
+
+
+def slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with HELD samples or a row more, from the samples of each row."""
+    part = (np.cumsum(sizes) - sizes) // HELD
+    ends = [*np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+    for a, b in zip([0, *ends], ends):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """The arrays of a column, as parts of one."""
+    lists = batch.column(name)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def repeated(batch: pa.RecordBatch, names: list[str], found: list[np.ndarray]) -> list[pa.Array]:
+    at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+    return [batch.column(n).take(at) for n in names]
 
 
 def hull(x: np.ndarray) -> np.ndarray:
@@ -111,16 +133,21 @@ def kept_points(chunks: DataFrame, keys: list[str], eps: list[float], keep, chun
     for x in inside[1:]:
         rest = rest.unionByName(x)
     held = rest.groupBy(*keys, at("a").alias("chunk")).agg(F.collect_list(F.struct("eps", "a", "b")).alias("chords"))
-
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for key, c, xs, own in zip(pdf[keys].itertuples(index=False, name=None), pdf["chunk"], pdf["xs"], pdf["chords"]):
-                x = np.asarray(xs, dtype=float)
-                out += [(*key, r["eps"], k, x[k - c * chunk]) for r in own for k in split(x, c * chunk, r["a"], r["b"], r["eps"])]
-            yield pd.DataFrame(out, columns=[*keys, "eps", "t", "x"])
-
-    done = held.join(chunks.select(*keys, "chunk", "xs"), [*keys, "chunk"]).mapInPandas(finish, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", eps double, t long, x double")
+    held = held.select(*keys, "chunk", *[F.col(f"chords.{c}").alias(f"chord_{c}") for c in ("eps", "a", "b")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column("xs").value_lengths().to_numpy(zero_copy_only=False)):
+                ts, es, vs = [], [], []
+                for c, x, *own in zip(part.column("chunk").to_pylist(), *(arrays(part, n) for n in ("xs", "chord_eps", "chord_a", "chord_b"))):
+                    found = [np.array(split(x, c * chunk, int(a), int(b), e), dtype=np.int64) for e, a, b in zip(*own)]
+                    t = np.concatenate(found)
+                    ts.append(t)
+                    es.append(np.repeat(own[0], [len(f) for f in found]))
+                    vs.append(x[t - c * chunk])
+                yield pa.RecordBatch.from_arrays([*repeated(part, keys, ts), *(pa.array(np.concatenate(v)) for v in (es, ts, vs))], names=[*keys, "eps", "t", "x"])
+
+    done = held.join(chunks.select(*keys, "chunk", "xs"), [*keys, "chunk"]).mapInArrow(finish, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", eps double, t long, x double")
     for p in points:
         done = done.unionByName(p)
     return done.distinct()
@@ -134,16 +161,18 @@ def simplified_series(df: DataFrame, keys: list[str], eps: list[float], keep, ch
     w = W.partitionBy(*keys, "eps").orderBy("t")
     lines = points.select(*keys, "eps", "t", "x", F.lead("t").over(w).alias("u"), F.lead("x").over(w).alias("z")).withColumn("u", F.coalesce("u", "t"))
     lines = lines.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("t") / chunk), F.floor(F.col("u") / chunk))))
-    held = lines.groupBy(*keys, "chunk", "eps").agg(F.collect_list(F.struct("t", "x", "u", "z")).alias("lines"))
+    ends = F.array(F.struct("t", "x"), F.struct(F.col("u").alias("t"), F.col("z").alias("x")))  # the last point has no line behind it
+    held = lines.groupBy(*keys, "chunk", "eps").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(ends, lambda p: p["x"].isNotNull()))))).alias("points"))
+    held = held.select(*keys, "chunk", "eps", *[F.col(f"points.{c}").alias(f"point_{c}") for c in ("t", "x")])
     types = dict(chunks.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for key, c, e, n, own in zip(pdf[keys].itertuples(index=False, name=None), pdf["chunk"], pdf["eps"], pdf["n"], pdf["lines"]):
-                at = {r["t"]: r["x"] for r in own} | {r["u"]: r["z"] for r in own if r["z"] is not None}
-                places = sorted(at)
-                t = np.arange(c * chunk, c * chunk + n)
-                yield pd.DataFrame({**dict(zip(keys, key)), "eps": e, "t": t, "x": np.interp(t, places, [at[p] for p in places])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column("n").to_numpy(zero_copy_only=False)):
+                firsts, sizes = (part.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "n"))
+                ts = [np.arange(c * chunk, c * chunk + n) for c, n in zip(firsts, sizes)]
+                xs = [np.interp(t, at, x) for t, at, x in zip(ts, arrays(part, "point_t"), arrays(part, "point_x"))]
+                yield pa.RecordBatch.from_arrays([*repeated(part, [*keys, "eps"], ts), pa.array(np.concatenate(ts)), pa.array(np.concatenate(xs))], names=[*keys, "eps", "t", "x"])
 
     met = held.join(chunks.select(*keys, "chunk", F.size("xs").alias("n")), [*keys, "chunk"])
-    return met.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", eps double, t long, x double")
+    return met.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", eps double, t long, x double")

@@ -165,3 +165,20 @@ def test_neighbours_hold_a_part_of_a_block(monkeypatch):
         assert [c.tolist() for c in got] == [c.tolist() for c in best(x, rows, 5)]
     assert max(seen) == 7
     assert [neighbours.narrow(np.array([v, 0])).dtype for v in (-128, 128, 1 << 40)] == [np.int8, np.int16, np.int64]
+
+
+def test_slices_of_long_series(monkeypatch):
+    """Parts of a batch hold a bounded number of samples, each row once."""
+    import pyarrow as pa
+
+    from hyperloom.operators import polyline
+
+    monkeypatch.setattr(polyline, "HELD", 10)
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30):
+        sizes = rng.integers(1, 9, n)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([list(range(k)) for k in sizes], pa.list_(pa.int64()))], names=["k", "xs"])
+        parts = list(polyline.slices(batch, sizes))
+        assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(n))
+        assert all(sum(map(len, polyline.arrays(p, "xs"))) < 10 + 9 for p in parts)
+        assert [v.tolist() for p in parts for v in polyline.arrays(p, "xs")] == [list(range(k)) for k in sizes]
