@@ -2,7 +2,9 @@
 
 The merges are derived once on the driver from a file of ranks and sent to the executors in a broadcast (some MB, fixed by
 the vocabulary). In a task each batch's texts are cut before blanks that follow a visible character: no match of the
-splitting pattern can span such a place, so every piece is encoded by the library on its own, once per distinct piece.
+splitting pattern can span such a place, so every piece is encoded by the library on its own, once per distinct piece of
+those that the task remembers. Pieces are places in Arrow's buffer of the texts; Arrow finds the distinct ones and puts
+their ids, and the bytes of ids, in order, so Python sees a piece once for each slice and a token never.
 
 Defined results: a null text counts as empty (no tokens); tables may be empty; repeated rows are encoded alike; columns
 of the input stay, one that clashes with an output column is replaced. Texts of any length are handled in pieces, so
@@ -15,6 +17,7 @@ import base64
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from sys import getsizeof
 
 import numpy as np
@@ -25,10 +28,14 @@ from pyspark.sql import types as T
 
 from hyperloom.llm.common import without
 
-#: Bytes of pieces and their ids, about, that a task remembers before it starts anew (a slice of a batch more at most).
+#: Bytes of pieces and their ids, about, that a task remembers (a slice of a batch more at most).
 REMEMBERED = 64 << 20
 #: Bytes of text in a slice of a batch.
 SLICE = 4 << 20
+#: A pattern by which letters and digits share no match with a mark after them, so texts are also cut there.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Of each byte: 1 an ASCII letter or digit, 2 another visible ASCII character, 0 the rest.
+KINDS = np.array([0 if not 32 < b < 127 else 1 if chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
 
 
 def byte_characters() -> dict[int, str]:
@@ -113,6 +120,72 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return batch
 
 
+def offsets_of(column: pa.Array) -> np.ndarray:
+    """Where each of the texts or bytes starts in the column's buffer, and where the last one ends."""
+    return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+
+
+def joined(values: pa.Array, first: np.ndarray) -> pa.Array:
+    """The bytes of successive values as one, from each given place to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(offsets_of(values)[first]), values.buffers()[2] or pa.py_buffer(b"")])
+
+
+def after_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bytes before each place, where a character of several bytes ends, are white space beyond ASCII."""
+    a, b, c = data[at - 1], data[at - 2], data[at - 3]
+    general = (b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF)) | (b == 0x81) & (a == 0x9F)
+    return (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE1) & (b == 0x9A) & (a == 0x80) | (c == 0xE2) & general | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+
+
+def pieces(texts: pa.Array, apart: bool) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts in order, and the place among them of each text's first and of the end: cut as in
+    :func:`pieces_of`, with apart also between an ASCII letter or digit and a mark."""
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    at = offsets_of(texts)
+    data, at = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+    cut, kinds = np.zeros(len(data) + 1, dtype=bool), KINDS[data]
+    blanks = np.flatnonzero(data[1:] == 32) + 1
+    cut[blanks[kinds[blanks - 1] > 0]] = True
+    wide = blanks[data[blanks - 1] > 127]
+    cut[wide[~after_white(data, wide)]] = True
+    if apart:
+        cut[1:-1] |= (kinds[:-1] == 1) & (kinds[1:] == 2)
+    cut[at] = True
+    starts = np.flatnonzero(cut).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]), np.searchsorted(starts, at)
+
+
+def remembering(tokenizer, most: int = REMEMBERED):
+    """A function from different pieces to their ids as bytes. It remembers the pieces met in this turn and in the last;
+    a turn ends at half of the size, so pieces that keep coming stay."""
+    last, now, held = {}, {}, 0
+
+    def ids_of(pieces: list[str]) -> list[bytes]:
+        nonlocal last, now, held
+        if held > most // 2:
+            last, now, held = now, {}, 0
+        new = []
+        for x in pieces:
+            if x not in now:
+                if x in last:
+                    now[x] = last[x]
+                    held += getsizeof(x) + 100
+                else:
+                    new.append(x)
+        for i in range(0, len(new), 8192):
+            part = [e.ids for e in tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)]
+            data, start = np.fromiter(chain.from_iterable(part), "<u4").tobytes(), 0
+            held += len(data)
+            for x, e in zip(new[i : i + 8192], part, strict=True):
+                now[x] = data[start : (start := start + 4 * len(e))]
+                held += getsizeof(x) + 100
+        return [now[x] for x in pieces]
+
+    return ids_of
+
+
 def encoder(spark: SparkSession, ranks_path: str, pattern: str, text: str, offsets: bool = False):
     """What a task of :func:`encode` does with its batches."""
     model = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, ranks_path), pattern))
@@ -123,25 +196,18 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str, text: str, offse
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, known, held = Tokenizer.from_str(model.value), {}, 0
+        tokenizer = Tokenizer.from_str(model.value)
+        ids_of = remembering(tokenizer)
         for whole in batches:
             for a, b in slices(whole.column(text)):
                 batch = whole.slice(a, b - a)
-                cut = [pieces_of(x or "") for x in batch.column(text).to_pylist()]
                 if offsets:
-                    yield with_columns(batch, **placed(tokenizer, cut))
+                    yield with_columns(batch, **placed(tokenizer, [pieces_of(x or "") for x in batch.column(text).to_pylist()]))
                     continue
-                if held > REMEMBERED:
-                    known.clear()
-                    held = 0
-                if new := [x for x in set().union(*cut) if x not in known]:
-                    held += sum(map(getsizeof, new)) + 100 * len(new)
-                    for i in range(0, len(new), 8192):
-                        for x, e in zip(new[i : i + 8192], tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False), strict=True):
-                            known[x] = np.asarray(e.ids, dtype="<u4").tobytes()
-                            held += 4 * len(e.ids)
-                ids = [b"".join(map(known.__getitem__, x)) for x in cut]
-                yield with_columns(batch, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
+                cut, first = pieces(batch.column(text), pattern == APART)
+                coded = cut.dictionary_encode()
+                ids = joined(pa.array(ids_of(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices), first)
+                yield with_columns(batch, n_tokens=pa.array(np.diff(offsets_of(ids)) // 4, pa.int64()), ids=ids)
 
     return run
 
@@ -182,14 +248,26 @@ def decoder(spark: SparkSession, ranks_path: str, ids: str, text: bool = False):
     table = spark.sparkContext.broadcast({i: bytes(map(byte_of.__getitem__, characters)) for characters, i in vocabulary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = table.value.__getitem__
+        import pyarrow.compute as pc
+
+        token = pa.array([table.value.get(i) for i in range(max(table.value, default=-1) + 1)], pa.binary())
         for whole in batches:
             for a, b in slices(whole.column(ids)):
                 batch = whole.slice(a, b - a)
-                made = [b"".join(map(token, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(ids).to_pylist()]
-                columns = {"decoded": pa.array(made, pa.binary())}
+                column = pc.fill_null(batch.column(ids).cast(pa.binary()), b"")
+                at = offsets_of(column)
+                if (np.diff(at) % 4).any():
+                    raise ValueError("ids have 4 bytes each")
+                numbers = np.frombuffer((column.buffers()[2] or b"")[at[0] : at[-1]], "<u4").astype(np.int64)
+                if (unknown := numbers[numbers >= len(token)]).size:
+                    raise KeyError(int(unknown[0]))
+                found = token.take(pa.array(numbers))
+                if found.null_count:
+                    raise KeyError(int(numbers[np.asarray(found.is_null()).argmax()]))
+                made = joined(found, (at - at[0]) // 4)
+                columns = {"decoded": made}
                 if text:
-                    columns["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in made], pa.string())
+                    columns["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()], pa.string())
                 yield with_columns(batch, **columns)
 
     return run

@@ -1,7 +1,9 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -55,3 +57,54 @@ def test_round_trip_takes_one_python_process(spark):
     df = bpe.round_trip(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), ranks_path=PATH, pattern=PATTERN)
     assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+class Alone:
+    """Stands for the session where a task's work runs in the test's own process."""
+
+    class sparkContext:
+        @staticmethod
+        def broadcast(value):
+            return type("Sent", (), {"value": value})
+
+
+def test_cuts_change_no_ids(reference):
+    """Random texts of white space of all kinds, marks, contractions and characters of 1 to 4 bytes."""
+    rng = np.random.default_rng(1)
+    alphabet = [*"  \n\n\t\r\x0b\x1c\x00\x7f'''.,$abstz019", *"\x85\xa0   ​   　᠎", *"éàÅ’“—日🙂́½", "'s", "'ll", "'S", " a", "  ", ". "]
+    texts = [None, "", *("".join(rng.choice(alphabet, n)) for n in rng.integers(1, 40, 4000)), "", None]
+    there, back = bpe.encoder(Alone, PATH, PATTERN, "text"), bpe.decoder(Alone, PATH, "ids", text=True)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["left out", *texts])}).slice(1)
+    (got,) = back(there(iter([batch])))
+    for t, n, ids, made in zip(texts, *(got.column(x).to_pylist() for x in ("n_tokens", "ids", "decoded_text")), strict=True):
+        want = reference.encode_ordinary(t or "")
+        assert (n, np.frombuffer(ids, "<u4").tolist(), made) == (len(want), want, t or ""), t
+
+
+class Counted:
+    def __init__(self):
+        self.seen = Counter()
+
+    def encode_batch_fast(self, pieces, add_special_tokens):
+        self.seen.update(pieces)
+        return [type("Coded", (), {"ids": [len(x)]}) for x in pieces]
+
+
+def test_pieces_that_keep_coming_are_encoded_once():
+    """All was forgotten when the memory was full, so frequent pieces were encoded again and again."""
+    tokenizer = Counted()
+    ids_of = bpe.remembering(tokenizer, 1 << 20)
+    for k in range(100):  # ten times the memory
+        assert ids_of(["of", *(f" rare{k}x{i}" for i in range(600))])[0] == (2).to_bytes(4, "little")
+    assert set(tokenizer.seen.values()) == {1} and len(tokenizer.seen) == 60001
+
+
+def test_words_before_marks_are_the_same_pieces():
+    cut, first = bpe.pieces(pa.array(["a word, a word. A word$$$", None, " word　 a"]), True)
+    assert cut.to_pylist() == ["a", " word", ",", " a", " word", ".", " A", " word", "$$$", " word　 a"] and first.tolist() == [0, 9, 9, 10]
+
+
+def test_unknown_ids():
+    for wrong in (np.asarray([60000], "<u4").tobytes(), b"\xff\xff\xff\xff"):
+        with pytest.raises(KeyError):
+            list(bpe.decoder(Alone, PATH, "ids")(iter([pa.RecordBatch.from_pydict({"ids": pa.array([b"", wrong], pa.binary())})])))
