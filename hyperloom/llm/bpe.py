@@ -31,7 +31,7 @@ from hyperloom.llm.common import without
 #: Bytes of pieces and their ids, about, that a task remembers (a slice of a batch more at most).
 REMEMBERED = 64 << 20
 #: Bytes of text in a slice of a batch.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: A pattern by which letters and digits share no match with a mark after them, so texts are also cut there.
 APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Of each byte: 1 an ASCII letter or digit, 2 another visible ASCII character, 0 the rest.
